@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagoon.llm import bpe, langid, licences, packing, quality, rlz, simhash, toxicity
+from lagoon.llm import bpe, langid, licences, packing, quality, rlz, simhash, topk, toxicity, urls
 from lagoon.llm.common import crc_bucket, table
 
 
@@ -21,6 +21,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
@@ -34,6 +38,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.verdicts(table(spark, sf_dir, "pages"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
     langs, probability = langid.learn(docs, crc_bucket("doc_id", 4) != 2, path)
@@ -53,7 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_byte_bpe, op4_license_scan, op5_packing, op7_language_id, op8_quality_rules, op9_substring_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_topk, op3_byte_bpe, op4_license_scan, op5_packing, op6_url_filter, op7_language_id, op8_quality_rules, op9_substring_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
