@@ -169,7 +169,8 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
     )
     told = docs.join(lists, "doc_id", "left")
-    keys = told.select("doc_id", "text", "only", "first").mapInArrow(_keys, "anchor long, name long, doc long, first boolean")
+    # all columns of told, so that both uses share one shuffle of the texts
+    keys = told.mapInArrow(_keys, "anchor long, name long, doc long, first boolean")
     earliest = keys.groupBy("anchor", "name").agg(F.min(F.struct("doc", "first")).alias("at"))
     mine = earliest.where("not at.first").groupBy(F.col("at.doc").alias("doc_id")).agg(F.collect_list("name").alias("mine"))
     schema = T.StructType([*docs.select("row", "doc_id", "text").schema, *T._parse_datatype_string("n_words long, kept string, starts array<long>, ends array<long>")])
