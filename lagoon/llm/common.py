@@ -63,26 +63,36 @@ def crc_bucket(column: str, buckets: int):
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b), both long and not null: rows (node, root), root the smallest node reachable.
 
-    Hook and contract: each round points every node to its smallest neighbour, follows the pointers
-    twice and relabels the edges; at least halves the roots. All state stays in DataFrames, cut by
-    checkpoint each round, so every join has plain exchanges below it and hot roots can be split by AQE.
+    Hook and contract over hashed names (a bijection of 64 bits, so that runs of ascending ids make no
+    long chains): each round points every name to its smallest neighbour, follows the pointers twice and
+    relabels the edges. All state stays in DataFrames that are cut each round. Each is dealt by its key
+    first, so that a cut plan carries no partitioning of the joins before it, and every later join has
+    plain exchanges below it, whose hot roots AQE can split.
     """
-    edges = cut_lineage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    label = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node"))
-    label = cut_lineage(label)
+
+    def cut(df: DataFrame, *keys: str) -> DataFrame:
+        return cut_lineage(df.repartition(*keys))
+
+    def ordered(df: DataFrame, a: str, b: str) -> DataFrame:
+        return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+    edges = edges.where("a <> b")
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    label = cut(nodes.select("node", F.xxhash64("node").alias("root")), "root")
+    edges = cut_lineage(ordered(edges.select(F.xxhash64("a").alias("x"), F.xxhash64("b").alias("y")), "x", "y"))
     while not edges.isEmpty():
         both = edges.select(F.col("b").alias("node"), F.col("a").alias("up")).union(edges.select("a", "a"))
-        up = cut_lineage(both.groupBy("node").agg(F.min("up").alias("up")))
+        up = cut(both.groupBy("node").agg(F.min("up").alias("up")), "node")
         for _ in range(2):
             far = up.select(F.col("node").alias("up"), F.col("up").alias("far"))
-            up = cut_lineage(up.join(far, "up", "left").select("node", F.coalesce("far", "up").alias("up")))
+            up = cut(up.join(far, "up", "left").select("node", F.coalesce("far", "up").alias("up")), "node")
         step = up.select(F.col("node").alias("root"), F.col("up").alias("new"))
-        label = cut_lineage(label.join(step, "root", "left").select("node", F.coalesce("new", "root").alias("root")))
+        label = cut(label.join(step, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "node")
         left = up.select(F.col("node").alias("a"), F.col("up").alias("ra"))
         right = up.select(F.col("node").alias("b"), F.col("up").alias("rb"))
-        edges = edges.join(left, "a").join(right, "b").where("ra <> rb")
-        edges = cut_lineage(edges.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-    return label
+        edges = cut_lineage(ordered(edges.join(left, "a").join(right, "b").where("ra <> rb"), "ra", "rb"))
+    least = cut(label.groupBy("root").agg(F.min("node").alias("least")), "root")
+    return label.join(least, "root").select("node", F.col("least").alias("root"))
 
 
 def powers(base: int, n: int, _kept: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
