@@ -109,7 +109,7 @@ class Features(dict):
     def __missing__(self, token: bytes) -> tuple[int, ...]:
         if len(self) >= KEPT_TOKENS:
             self.clear()
-        word = token.decode("utf-8", "replace").lower().strip(".,;:!?\"'()[]{}<>#*%&|=")
+        word = token.decode("utf-8", "replace").lower().rstrip(".,;:!?\"'()[]{}<>#*%&|=").lstrip(".,;:?\"'([{<#*%&=")
         last = word[-1:]
         if not last.isalpha() and word.endswith(last * 3):
             word = word.rstrip(last)
