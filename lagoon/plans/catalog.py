@@ -1,11 +1,604 @@
-"""Named queries over the shared tables, each with the SQL that gives the same rows."""
+"""Named queries over the shared tables, each with the SQL that gives the same rows where SQL can say it.
+
+Main series: sums of event values by hour, for two event types, on a full grid. Sums of two-decimal
+values are taken in decimals, so that both engines get the same doubles; other results are rounded.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lagoon.functions import time as tf
+from lagoon.functions.linalg import make_stable, spectral_radius
+from lagoon.operators import joins, models, moments, optim, resample, seasonal, spatial, spectrum, windows
+from lagoon.series import TICK, TimeSeries
+from lagoon.sources import generate
+
+HOUR = tf.MICROS["h"]
+NAMES = ["click", "error"]
+LAGS = 3
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _hourly(spark: SparkSession, sf_dir: str, names=NAMES, bck: int = 6, fwd: int = 6) -> TimeSeries:
+    grid = resample.hourly_grid(_table(spark, sf_dir, "events"), "ts", "event_type", list(names), "value")
+    return TimeSeries.from_df(grid, "k", [f"v{i}" for i in range(len(names))], delta=1, bck=bck, fwd=fwd, block=256)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events")
+    return events.withColumn("t", tf.micros(events, "ts"))
+
+
+def _panel(spark: SparkSession, sf_dir: str, bck: int = 6 * HOUR, fwd: int = 6 * HOUR) -> TimeSeries:
+    return TimeSeries.from_df(_events(spark, sf_dir).select("t", "user_id", "event_id", "value"), "t", "value", delta=HOUR, bck=bck, fwd=fwd, keys=("user_id",))
+
+
+def _round(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in names})
+
+
+def _dec(col) -> F.Column:
+    return F.sum(F.col(col).cast("decimal(28,2)")).cast("double")
+
+
+# SQL of the main series, and pieces of SQL
+S = """b AS (SELECT epoch_us(ts) // 3600000000 AS k,
+  CAST(SUM(CAST(CASE WHEN event_type = 'click' THEN value ELSE 0 END AS DECIMAL(18,2))) AS DOUBLE) AS v0,
+  CAST(SUM(CAST(CASE WHEN event_type = 'error' THEN value ELSE 0 END AS DECIMAL(18,2))) AS DOUBLE) AS v1
+  FROM events GROUP BY 1),
+g AS (SELECT unnest(generate_series((SELECT min(k) FROM b), (SELECT max(k) FROM b))) AS k),
+s AS (SELECT g.k, COALESCE(v0, 0) AS v0, COALESCE(v1, 0) AS v1 FROM g LEFT JOIN b USING (k))"""
+
+
+def _lag_sql(mean0: str = "(SELECT avg(v0) FROM s)", mean1: str = "(SELECT avg(v1) FROM s)", lags: int = LAGS) -> str:
+    """c(h, i, j, value): E x_t[i] x_{t-h}[j] over full windows, less the means' product."""
+    shifted = ", ".join(f"lag(v{j}, {h}) OVER (ORDER BY k) AS l{h}_{j}" for h in range(1, lags + 1) for j in (0, 1))
+    parts = [
+        f"SELECT {h} AS h, {i} AS i, {j} AS j, avg(v{i} * {f'l{h}_{j}' if h else f'v{j}'}) - {(mean0, mean1)[i]} * {(mean0, mean1)[j]} AS value FROM w WHERE l{lags}_0 IS NOT NULL"
+        for h in range(lags + 1) for i in (0, 1) for j in (0, 1)
+    ]
+    return f"w AS (SELECT *, {shifted} FROM s), c AS ({' UNION ALL '.join(parts)})"
+
+
+BOTH = f"WITH {S}, {_lag_sql()}, x AS (SELECT -h AS lag, i, j, value FROM c UNION ALL SELECT h, j, i, value FROM c WHERE h > 0)"
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# resampling and merging
+
+
+@query("SELECT epoch_us(ts) // 3600000000 AS k, event_type, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
+def sum_resample_hourly(spark, sf_dir):
+    events = _table(spark, sf_dir, "events")
+    return resample.resample(events, {"k": resample.bucket(events, "ts", "1h"), "event_type": F.col("event_type")}, {"total": _dec("value")})
+
+
+@query("SELECT epoch_us(ts) // 3600000000 AS k, round(CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*), 6) AS mean FROM events GROUP BY 1")
+def mean_resample_hourly(spark, sf_dir):
+    events = _table(spark, sf_dir, "events")
+    return resample.resample(events, {"k": resample.bucket(events, "ts", "1h")}, {"mean": _dec("value") / F.count("*")}, after={"mean": F.round("mean", 6)})
+
+
+@query("SELECT epoch_us(ts) // 60000000 + 1 AS k, COUNT(*) AS n FROM events GROUP BY 1")
+def minute_align_count(spark, sf_dir):
+    return resample.align_up_count(_table(spark, sf_dir, "events"), "ts", "1m")
+
+
+@query(f"WITH {S} SELECT k, v0, v1 FROM s")
+def fill_hourly_grid(spark, sf_dir):
+    return _hourly(spark, sf_dir).df.select("k", "v0", "v1")
+
+
+@query("""SELECT epoch_us(o_orderdate) // 86400000000 AS k,
+  CAST(SUM(CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS f,
+  CAST(SUM(CASE WHEN o_orderstatus = 'O' THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS o,
+  CAST(SUM(CASE WHEN o_orderstatus = 'P' THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS p FROM orders GROUP BY 1""")
+def pivot_outer_merge(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders")
+    out = resample.pivot_merge(orders, resample.bucket(orders, "o_orderdate", "1d"), "o_orderstatus", ["F", "O", "P"], _dec("o_totalprice"))
+    return out.select("k", *(F.col(c).alias(c.lower()) for c in ("F", "O", "P")))
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, user_id, value FROM events WHERE event_type = 'error'")
+def row_bind(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id", "value", "event_type")
+    parts = [events.where(F.col("event_type") == n).drop("event_type") for n in NAMES]
+    return parts[0].unionByName(parts[1])
+
+
+# projections, filters, reductions
+
+
+@query(f"WITH {S} SELECT k, round(sqrt(v0), 6) AS r0, round(ln(v1 + 1), 6) AS r1 FROM s")
+def map_transform(spark, sf_dir):
+    ts = _hourly(spark, sf_dir).with_values(r0=F.sqrt("v0"), r1=F.ln(F.col("v1") + 1))
+    return _round(ts.df.select("k", "r0", "r1"), 6, "r0", "r1")
+
+
+@query(f"WITH {S} SELECT k, v0, v1 FROM s WHERE v0 > 50 AND k % 2 = 0")
+def filter_series(spark, sf_dir):
+    return _hourly(spark, sf_dir).filter("v0 > 50 and k % 2 = 0").df.select("k", "v0", "v1")
+
+
+@query("SELECT vec_id, round(CAST(embedding[3] AS DOUBLE), 6) AS e2, round(CAST(embedding[5] AS DOUBLE), 6) AS e4 FROM embeddings")
+def dimension_slice(spark, sf_dir):
+    ts = TimeSeries.from_array(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 64, delta=1)
+    part = ts.dims(2, 5)
+    return part.df.select("vec_id", *(F.round(part.values[i], 6).alias(f"e{i + 2}") for i in (0, 2)))
+
+
+@query("SELECT min(epoch_us(ts)) AS first_t, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total, max(value) AS most FROM events")
+def reduce_min_sum(spark, sf_dir):
+    return TimeSeries.from_df(_events(spark, sf_dir), "t", "value", delta=1).fold(first_t=F.min("t"), total=_dec("value"), most=F.max("value"))
+
+
+@query("SELECT event_type, round(sum(sqrt(value)), 4) AS total, COUNT(*) AS n FROM events GROUP BY 1")
+def fold_sqrt_sum(spark, sf_dir):
+    ts = TimeSeries.from_df(_events(spark, sf_dir), "t", "value", delta=1, keys=("event_type",))
+    return _round(ts.fold(total=F.sum(F.sqrt("value")), n=F.count("*")), 4, "total")
+
+
+@query("SELECT max(v0) AS m0, max(v1) AS m1 FROM (WITH " + S + " SELECT * FROM s)")
+def reduce_combine_max(spark, sf_dir):
+    out = _hourly(spark, sf_dir).reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y)), "m")
+    return out.select(F.get("m", F.lit(0)).alias("m0"), F.get("m", F.lit(1)).alias("m1"))
+
+
+@query("SELECT COUNT(*) AS n FROM events")
+def count_series(spark, sf_dir):
+    return TimeSeries.from_df(_events(spark, sf_dir), "t", "value", delta=1).fold(n=F.count("*"))
+
+
+@query("SELECT event_id, epoch_us(ts) AS t, value FROM events ORDER BY ts, event_id LIMIT 100")
+def take_first_n(spark, sf_dir):
+    return _events(spark, sf_dir).orderBy("t", "event_id").limit(100).select("event_id", "t", "value")
+
+
+@query("SELECT event_id, user_id, rank FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 3")
+def top_k_by_key(spark, sf_dir):
+    out = joins.ranked(_table(spark, sf_dir, "events"), ["user_id"], [F.desc("value"), "event_id"])
+    return out.where("rank <= 3").select("event_id", "user_id", F.col("rank").cast("long").alias("rank"))
+
+
+# moments
+
+
+@query(f"WITH {S} SELECT 0 AS dim, round(avg(v0), 6) AS mean FROM s UNION ALL SELECT 1, round(avg(v1), 6) FROM s")
+def series_mean(spark, sf_dir):
+    return _round(moments.average(_hourly(spark, sf_dir)), 6, "mean")
+
+
+_CELLS = [(i, j) for i in (0, 1) for j in (0, 1)]
+
+
+@query(f"WITH {S} " + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(avg(v{i} * v{j}), 4) AS value FROM s" for i, j in _CELLS))
+def second_moment(spark, sf_dir):
+    return _round(moments.second_moment(_hourly(spark, sf_dir)), 4, "value")
+
+
+@query(f"WITH {S} " + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(covar_pop(v{i}, v{j}), 4) AS value FROM s" for i, j in _CELLS))
+def covariance(spark, sf_dir):
+    return _round(moments.centred_covariance(_hourly(spark, sf_dir)), 4, "value")
+
+
+@query(f"{BOTH} SELECT lag, i, j, round(value, 4) AS value FROM x")
+def cross_covariance(spark, sf_dir):
+    return _round(moments.cross_covariance(_hourly(spark, sf_dir), LAGS).df, 4, "value")
+
+
+@query(f"{BOTH} SELECT x.lag, x.i, x.j, round(x.value / sqrt(a.value * b.value), 6) AS value FROM x JOIN c a ON a.h = 0 AND a.i = x.i AND a.j = x.i JOIN c b ON b.h = 0 AND b.i = x.j AND b.j = x.j")
+def cross_correlation(spark, sf_dir):
+    return _round(moments.cross_correlation(_hourly(spark, sf_dir), LAGS).df, 6, "value")
+
+
+@query(f"WITH {S}, {_lag_sql('0', '0')} SELECT i AS dim, h AS lag, round(value, 4) AS value FROM c WHERE i = j")
+def auto_covariance(spark, sf_dir):
+    return _round(moments.auto_covariance(_hourly(spark, sf_dir), LAGS), 4, "value")
+
+
+# windows
+
+_PANEL = "SELECT event_id, round({a} OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND {f}), 4) AS x{m} FROM events"
+
+
+@query(_PANEL.format(a="sum(value)", f="INTERVAL 6 HOUR FOLLOWING", m=", COUNT(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND INTERVAL 6 HOUR FOLLOWING) AS n"))
+def moving_sum_sym(spark, sf_dir):
+    out = windows.sliding_agg(_panel(spark, sf_dir), {"x": F.sum("value"), "n": F.count("*")})
+    return _round(out.select("event_id", "x", "n"), 4, "x")
+
+
+@query(_PANEL.format(a="avg(value)", f="CURRENT ROW", m=""))
+def moving_avg_bck_range(spark, sf_dir):
+    return _round(windows.sliding_agg(_panel(spark, sf_dir), {"x": F.avg("value")}, fwd=0).select("event_id", "x"), 4, "x")
+
+
+_HALO = "WITH " + S + ", w AS (SELECT k, v0, CAST(sum(v0) OVER f AS DOUBLE) AS x, COUNT(*) OVER f AS n FROM s WINDOW f AS (ORDER BY k RANGE BETWEEN 4 PRECEDING AND 2 FOLLOWING)) "
+
+
+@query(_HALO + "SELECT k, round(x, 4) AS x FROM w WHERE n = 7")
+def full_window_only(spark, sf_dir):
+    return _round(windows.sliding_agg(_hourly(spark, sf_dir), {"x": F.sum("v0")}, 4, 2, full=7).select("k", "x"), 4, "x")
+
+
+@query(_HALO + "SELECT k, round(x, 4) AS x FROM w WHERE k % 3 = 0")
+def target_filter(spark, sf_dir):
+    return _round(windows.sliding_agg(_hourly(spark, sf_dir), {"x": F.sum("v0")}, 4, 2, target_filter="k % 3 = 0").select("k", "x"), 4, "x")
+
+
+@query("WITH " + S + ", w AS (SELECT k, sum(v0) OVER f AS x, min(v0) OVER f AS least FROM s WINDOW f AS (ORDER BY k RANGE BETWEEN 4 PRECEDING AND 2 FOLLOWING)) SELECT k, round(x, 4) AS x FROM w WHERE least > 0")
+def window_filter(spark, sf_dir):
+    return _round(windows.sliding_agg(_hourly(spark, sf_dir), {"x": F.sum("v0"), "least": F.min("v0")}, 4, 2, window_filter="least > 0").select("k", "x"), 4, "x")
+
+
+@query("WITH " + S + ", w AS (SELECT (max(v0) OVER f) - (min(v0) OVER f) AS x FROM s WINDOW f AS (ORDER BY k RANGE BETWEEN 4 PRECEDING AND 2 FOLLOWING)) SELECT round(sum(x), 4) AS total, COUNT(*) AS n FROM w")
+def sliding_fold_total(spark, sf_dir):
+    out = windows.sliding_fold(_hourly(spark, sf_dir), {"hi": F.max("v0"), "lo": F.min("v0")}, {"total": F.sum(F.col("hi") - F.col("lo")), "n": F.count("*")}, bck=4, fwd=2)
+    return _round(out, 4, "total")
+
+
+@query("WITH " + S + ", t AS (SELECT DISTINCT k * 2 - k % 5 - (SELECT min(k) FROM s) AS target FROM s WHERE k % 5 = 0) SELECT target, round(sum(v0), 4) AS x, COUNT(*) AS n FROM t JOIN s ON k BETWEEN target - 4 AND target + 2 GROUP BY target")
+def sliding_explicit_targets(spark, sf_dir):
+    ts = _hourly(spark, sf_dir)
+    first = ts.df.agg(F.min("k").alias("k0"))
+    targets = ts.df.where("k % 5 = 0").join(F.broadcast(first))  # one row
+    targets = targets.select((F.col("k") * 2 - F.col("k") % 5 - F.col("k0")).alias("target")).distinct()
+    return _round(windows.at_targets(ts, targets, "target", {"x": F.sum("v0"), "n": F.count("*")}, 4, 2), 4, "x")
+
+
+@query("WITH " + S + ", w AS (SELECT k, quantile_cont(v0, 0.5) OVER (ORDER BY k RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS x FROM s) SELECT k, round(x, 6) AS x FROM w")
+def sliding_kernel_median(spark, sf_dir):
+    out = windows.sliding_kernel(_hourly(spark, sf_dir), lambda t, v: (float(np.median(v[:, 0])),), "x double", 3, 3)
+    return _round(out.select(F.col(TICK).alias("k"), "x"), 6, "x")
+
+
+@query("SELECT user_id, epoch_us(ts) AS t, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING), 4) AS x FROM events")
+def memory_cumulative(spark, sf_dir):
+    step = lambda t, v, s: ((s[0] + 1, s[1] + float(v[-1, 0])), (s[0] + 1, s[1] + float(v[-1, 0])))
+    out = windows.sliding_with_memory(_panel(spark, sf_dir, 0, 0), step, (0, 0.0), "n long, x double")
+    return _round(out.select("user_id", F.col(TICK).alias("t"), "n", "x"), 4, "x")
+
+
+@query("""WITH RECURSIVE o AS (SELECT user_id, epoch_us(ts) AS t, value, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+r AS (SELECT user_id, t, n, value AS x FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.t, o.n, 0.7 * r.x + 0.3 * o.value FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)
+SELECT user_id, t, round(x, 4) AS x FROM r""")
+def memory_ewma(spark, sf_dir):
+    def step(t, v, s):
+        x = float(v[-1, 0]) if s is None else 0.7 * s + 0.3 * float(v[-1, 0])
+        return (x,), x
+
+    out = windows.sliding_with_memory(_panel(spark, sf_dir, 0, 0), step, None, "x double")
+    return _round(out.select("user_id", F.col(TICK).alias("t"), "x"), 4, "x")
+
+
+@query("SELECT user_id, round(sum(x), 2) AS total FROM (SELECT user_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS x FROM events) GROUP BY 1")
+def memory_fold(spark, sf_dir):
+    step = lambda t, v, s: ((s + float(v[-1, 0]),), s + float(v[-1, 0]))
+    return _round(windows.fold_with_memory(_panel(spark, sf_dir, 0, 0), step, 0.0, "x double", {"total": F.sum("x")}), 2, "total")
+
+
+@query("WITH " + S + ", a AS (SELECT k, sum(v0) OVER (ORDER BY k RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS x FROM s) SELECT k, round(max(x) OVER (ORDER BY k RANGE BETWEEN 3 PRECEDING AND 1 FOLLOWING), 4) AS y FROM a")
+def chained_slidings(spark, sf_dir):
+    ts = _hourly(spark, sf_dir)
+    first = windows.sliding_agg(ts, {"x": F.sum("v0")}, 2, 0)
+    return _round(windows.sliding_agg(ts.with_df(first, ["x"]), {"y": F.max("x")}, 3, 1).select("k", "y"), 4, "y")
+
+
+# seasons
+
+_WEEK = "CAST((isodow(ts) - 1) * 288 + greatest(hour(ts) * 60 + minute(ts) - 1, 0) // 5 AS BIGINT)"
+
+
+@query(f"SELECT {_WEEK} AS bucket, round(avg(value), 6) AS value FROM events GROUP BY 1")
+def seasonal_profile(spark, sf_dir):
+    ts = TimeSeries.from_df(_events(spark, sf_dir), "t", "value", delta=1)
+    return _round(seasonal.mean_profile(ts, tf.week_bucket(F.col("ts"))), 6, "value")
+
+
+@query("WITH p AS (SELECT hour(ts) AS h, avg(value) AS m FROM events GROUP BY 1) SELECT event_id, round(value - m, 6) + 0.0 AS value FROM events JOIN p ON h = hour(ts)")
+def remove_season(spark, sf_dir):
+    ts = TimeSeries.from_df(_events(spark, sf_dir), "t", "value", delta=1)
+    profile = seasonal.mean_profile(ts, tf.day_bucket(F.col("ts")))
+    return _round(seasonal.remove_season(ts, profile, tf.day_bucket(F.col("ts"))).df.select("event_id", "value"), 6, "value")
+
+
+@query()
+def smoothed_profile(spark, sf_dir):
+    ts = TimeSeries.from_df(_events(spark, sf_dir), "t", "value", delta=1)
+    profile = seasonal.mean_profile(ts, tf.week_bucket(F.col("ts"), 60))
+    m = seasonal.smooth_profile(profile, "value", 7, 24, (1, 3), (1.0, 4.0))
+    return spark.createDataFrame([(d, h, round(float(m[d, h]), 6)) for d in range(7) for h in range(24)], "day int, hour int, value double")
+
+
+# models
+
+
+_AR = f"WITH {S}, {_lag_sql('0', '0', 2)}, y AS (SELECT i, max(CASE WHEN h = 0 THEN value END) AS g0, max(CASE WHEN h = 1 THEN value END) AS g1, max(CASE WHEN h = 2 THEN value END) AS g2 FROM c WHERE i = j GROUP BY i) "
+
+
+@query(_AR + "SELECT i AS dim, 'ar' AS kind, 1 AS lag, round(g1 * (g0 - g2) / (g0 * g0 - g1 * g1), 6) AS value FROM y UNION ALL SELECT i, 'ar', 2, round((g0 * g2 - g1 * g1) / (g0 * g0 - g1 * g1), 6) FROM y UNION ALL SELECT i, 'noise', 0, round(g0 - g1 * g1 * (g0 - g2) / (g0 * g0 - g1 * g1) - g2 * (g0 * g2 - g1 * g1) / (g0 * g0 - g1 * g1), 6) FROM y")
+def ar2_coef(spark, sf_dir):
+    return _round(models.fit_ar(_hourly(spark, sf_dir), 2).to_df(spark), 6, "value")
+
+
+@query(f"WITH {S}, {_lag_sql('0', '0', 1)}, y AS (SELECT i, max(CASE WHEN h = 0 THEN value END) AS g0, max(CASE WHEN h = 1 THEN value END) AS g1 FROM c WHERE i = j GROUP BY i) SELECT i AS dim, 'ar' AS kind, 1 AS lag, round(g1 / g0, 6) AS value FROM y UNION ALL SELECT i, 'noise', 0, round(g0 - g1 * g1 / g0, 6) FROM y")
+def ar1_coef(spark, sf_dir):
+    return _round(models.fit_ar(_hourly(spark, sf_dir), 1).to_df(spark), 6, "value")
+
+
+@query(f"""WITH {S}, {_lag_sql(lags=1)}, y AS (SELECT
+  max(CASE WHEN h=0 AND i=0 AND j=0 THEN value END) a, max(CASE WHEN h=0 AND i=0 AND j=1 THEN value END) b, max(CASE WHEN h=0 AND i=1 AND j=1 THEN value END) d,
+  max(CASE WHEN h=1 AND i=0 AND j=0 THEN value END) p, max(CASE WHEN h=1 AND i=0 AND j=1 THEN value END) q, max(CASE WHEN h=1 AND i=1 AND j=0 THEN value END) r, max(CASE WHEN h=1 AND i=1 AND j=1 THEN value END) u FROM c)
+SELECT 0 AS i, 0 AS j, round((p*d - q*b) / (a*d - b*b), 6) AS value FROM y UNION ALL SELECT 0, 1, round((q*a - p*b) / (a*d - b*b), 6) FROM y
+UNION ALL SELECT 1, 0, round((r*d - u*b) / (a*d - b*b), 6) FROM y UNION ALL SELECT 1, 1, round((u*a - r*b) / (a*d - b*b), 6) FROM y""")
+def var1_coef(spark, sf_dir):
+    fitted = models.fit_var(_hourly(spark, sf_dir), 1).to_df(spark)
+    return _round(fitted.where("kind = 'ar'").select("i", "j", "value"), 6, "value")
+
+
+_PHI = [[0.4, -0.2], [0.3, 0.1]]
+
+
+@query(f"WITH {S} SELECT k, round(v0 - 0.4 * coalesce(lag(v0, 1) OVER (ORDER BY k), 0) + 0.2 * coalesce(lag(v0, 2) OVER (ORDER BY k), 0), 6) AS r0, round(v1 - 0.3 * coalesce(lag(v1, 1) OVER (ORDER BY k), 0) - 0.1 * coalesce(lag(v1, 2) OVER (ORDER BY k), 0), 6) AS r1 FROM s")
+def ar_residuals(spark, sf_dir):
+    out = models.ar_residuals(_hourly(spark, sf_dir), [np.array(p) for p in _PHI])
+    return _round(out.select("k", "r0", "r1"), 6, "r0", "r1")
+
+
+@query(f"WITH {S}, r AS (SELECT v0 - 10 - 0.5 * coalesce(lag(v0) OVER (ORDER BY k) - 10, 0) - 0.1 * coalesce(lag(v1) OVER (ORDER BY k) - 20, 0) AS r0, v1 - 20 + 0.2 * coalesce(lag(v0) OVER (ORDER BY k) - 10, 0) AS r1 FROM s) " + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(avg(r{i} * r{j}), 4) AS value FROM r" for i, j in _CELLS))
+def var_residual_moment(spark, sf_dir):
+    ts = _hourly(spark, sf_dir)
+    out = models.var_residuals(ts, [np.array([[0.5, 0.1], [-0.2, 0.0]])], [10.0, 20.0])
+    return _round(moments.second_moment(models.residual_series(ts, out)), 4, "value")
+
+
+def _model(fit):
+    def run(spark, sf_dir):
+        return _round(fit(_hourly(spark, sf_dir, bck=40, fwd=40)).to_df(spark), 6, "value")
+
+    return run
+
+
+QUERIES |= {
+    "ma_model": _model(lambda ts: models.fit_ma(ts, 2, moments.mean_of(ts), depth=20)),
+    "arma_model": _model(lambda ts: models.fit_arma(ts, 1, 1, moments.mean_of(ts), depth=20)),
+    "var_model": _model(lambda ts: models.fit_var(ts, 3)),
+    "vma_model": _model(lambda ts: models.fit_vma(ts, 1, depth=20)),
+    "varma_model": _model(lambda ts: models.fit_varma(ts, 1, 1, depth=20)),
+    "var_gradient_descent": _model(lambda ts: optim.fit_var_gd(ts, 2)),
+    "var_l1_descent": _model(lambda ts: optim.fit_var_l1(ts, 2, 0.05)),
+    "var_l1_truncated": _model(lambda ts: optim.fit_var_l1(ts, 2, 0.05, truncate=0.2)),
+    "vma_gradient_descent": _model(lambda ts: optim.fit_vma_gd(ts, 1, max_iter=2, depth=10)),
+}
+
+
+@query()
+def partial_cross_correlation(spark, sf_dir):
+    found, _ = moments.partial_cross_correlation(_hourly(spark, sf_dir), LAGS)
+    rows = [(h + 1, i, j, round(float(m[i, j]), 6)) for h, m in enumerate(found) for i in (0, 1) for j in (0, 1)]
+    return spark.createDataFrame(rows, "lag int, i int, j int, value double")
+
+
+@query()
+def stability(spark, sf_dir):
+    found = models.fit_var(_hourly(spark, sf_dir), 2).ar
+    wild = [a * 4 for a in found]
+    rows = [("fitted", round(spectral_radius(found), 6)), ("stabilised", round(spectral_radius(make_stable(wild)), 6))]
+    return spark.createDataFrame(rows, "model string, radius double")
+
+
+# spectra
+
+_L = 2
+
+
+def _spectrum_sql() -> str:
+    width = 2 * _L + 1
+    w, scale = ([float(x) for x in y] if getattr(y, 'ndim', 0) else float(y) for y in spectrum.taper(width))
+    near = ", ".join(f"lag(v{j}, {_L - m}) OVER (ORDER BY k) AS x{j}_{m}" if m <= _L else f"lead(v{j}, {m - _L}) OVER (ORDER BY k) AS x{j}_{m}" for j in (0, 1) for m in range(width))
+    parts, out = [], []
+    for f in range(width):
+        for j in (0, 1):
+            for name, fn, sign in (("re", "cos", ""), ("im", "sin", "-")):
+                parts.append(f"{sign}(" + " + ".join(f"{w[m]!r} * x{j}_{m} * {fn}(2 * pi() * {f * m} / {width})" for m in range(width)) + f") AS {name}{j}_{f}")
+    for f in range(width):
+        for i, j in _CELLS:
+            re, im = f"avg(re{i}_{f} * re{j}_{f} + im{i}_{f} * im{j}_{f})", f"avg(im{i}_{f} * re{j}_{f} - re{i}_{f} * im{j}_{f})"
+            out.append(f"SELECT {i} AS i, {j} AS j, {f} AS freq_idx, round({re} * {scale!r}, 4) + 0.0 AS re, round({im} * {scale!r}, 4) + 0.0 AS im FROM z")
+    return f"WITH {S}, w AS (SELECT {near} FROM s), z AS (SELECT {', '.join(parts)} FROM w WHERE x0_0 IS NOT NULL AND x0_{width - 1} IS NOT NULL) {' UNION ALL '.join(out)}"
+
+
+@query(_spectrum_sql())
+def cross_spectrum(spark, sf_dir):
+    return _round(spectrum.cross_spectrum(_hourly(spark, sf_dir), _L).select("i", "j", "freq_idx", "re", "im"), 4, "re", "im")
+
+
+@query()
+def power_spectrum(spark, sf_dir):
+    return _round(spectrum.log_periodogram(_hourly(spark, sf_dir), 6), 6, "power", "log_power")
+
+
+# space: the first two numbers of an embedding as lon and lat
+
+_BOX = (-0.3, -0.3, 0.3, 0.3)
+_POINTS = "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS lon, CAST(embedding[2] AS DOUBLE) AS lat FROM embeddings"
+
+
+def _points(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("lon"), F.get("embedding", F.lit(1)).cast("double").alias("lat"))
+
+
+def _cell_sql(x: str, n: int) -> str:
+    return f"CAST(least(floor(({x} - -0.3) / ((0.3 - -0.3) / {n})), {n - 1}) AS INTEGER)"
+
+
+@query(f"SELECT * FROM ({_POINTS}) WHERE lon BETWEEN -0.1 AND 0.1 AND lat BETWEEN -0.05 AND 0.2")
+def bounding_box(spark, sf_dir):
+    return spatial.bounding_box(_points(spark, sf_dir), "lon", "lat", (-0.1, -0.05, 0.1, 0.2))
+
+
+@query(f"WITH p AS ({_POINTS}), q AS (SELECT quantile_cont(lon, 0.1) a, quantile_cont(lon, 0.9) b, quantile_cont(lat, 0.1) c, quantile_cont(lat, 0.9) d FROM p) SELECT vec_id FROM p, q WHERE lon BETWEEN a AND b AND lat BETWEEN c AND d")
+def quantile_box(spark, sf_dir):
+    return spatial.quantile_box(_points(spark, sf_dir), "lon", "lat").select("vec_id")
+
+
+@query(f"SELECT {_cell_sql('lon', 8)} AS ix, {_cell_sql('lat', 8)} AS iy, COUNT(*) AS n FROM ({_POINTS}) WHERE lon BETWEEN -0.3 AND 0.3 AND lat BETWEEN -0.3 AND 0.3 GROUP BY 1, 2")
+def geo_grid_count(spark, sf_dir):
+    return spatial.grid_counts(_points(spark, sf_dir), "lon", "lat", _BOX, 8, 8)
+
+
+@query(f"SELECT concat_ws('_', CAST(greatest(ceil((lon - -0.3) / ((0.3 - -0.3) / 19)), 1) AS INTEGER), CAST(greatest(ceil((lat - -0.3) / ((0.3 - -0.3) / 19)), 1) AS INTEGER)) AS bin, COUNT(*) AS n FROM ({_POINTS}) WHERE lon BETWEEN -0.3 AND 0.3 AND lat BETWEEN -0.3 AND 0.3 GROUP BY 1")
+def spatial_bins(spark, sf_dir):
+    inside = spatial.bounding_box(_points(spark, sf_dir), "lon", "lat", _BOX)
+    return spatial.spatial_bins(inside, "lon", "lat", _BOX).groupBy("bin").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT CAST(floor(lon / 0.05) AS BIGINT) AS ix, CAST(floor(lat / 0.05) AS BIGINT) AS iy, COUNT(*) AS n FROM ({_POINTS}) GROUP BY 1, 2")
+def density_map(spark, sf_dir):
+    return spatial.density(_points(spark, sf_dir), "lon", "lat", 0.05, 0.05)
+
+
+def _tree(spark, sf_dir):
+    counts = spatial.grid_counts(_points(spark, sf_dir), "lon", "lat", _BOX, 32, 32)
+    return spatial.QuadTree.build(counts, _BOX, 32, 32, 40)
+
+
+@query()
+def quadtree_leaves(spark, sf_dir):
+    return _tree(spark, sf_dir).leaves_df(spark)
+
+
+@query()
+def quadtree_align(spark, sf_dir):
+    return _tree(spark, sf_dir).align(_points(spark, sf_dir), "lon", "lat").groupBy("leaf_id", "lon_c", "lat_c").agg(F.count("*").alias("n"))
+
+
+# joins and other relational operators
+
+
+@query("SELECT a.event_id, b.value AS error_value FROM (SELECT * FROM events WHERE event_type = 'click') a ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'error') b ON a.user_id = b.user_id AND a.ts >= b.ts")
+def asof_join(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    left = e.where("event_type = 'click'").select("event_id", "user_id", "t")
+    right = e.where("event_type = 'error'").select("user_id", "t", F.col("value").alias("error_value"))
+    return joins.asof_join(left, right, "t", ["user_id"], ["error_value"]).select("event_id", "error_value")
+
+
+@query("SELECT i.event_id AS start_id, COUNT(*) AS n FROM (SELECT * FROM events WHERE event_type = 'signup') i JOIN events e ON e.user_id = i.user_id AND epoch_us(e.ts) BETWEEN epoch_us(i.ts) AND epoch_us(i.ts) + 7200000000 GROUP BY 1")
+def interval_join(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    spans = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("start_id"), F.col("t").alias("a"), (F.col("t") + 2 * HOUR).alias("b"))
+    return joins.interval_join(e.select("user_id", "t"), spans, "t", "a", "b", 2 * HOUR, ("user_id",)).groupBy("start_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {S} SELECT a.k, round(a.v0 * b.v1, 4) AS x FROM s a JOIN s b ON b.k = a.k - 2")
+def lag_join(spark, sf_dir):
+    out = joins.lag_join(_hourly(spark, sf_dir).df, "k", ["v1"], 2)
+    return out.select("k", F.round(F.col("v0") * F.col("lagged_v1"), 4).alias("x"))
+
+
+@query("SELECT event_id, lag(value, 1) OVER (PARTITION BY user_id ORDER BY ts) AS before, lead(value, 1) OVER (PARTITION BY user_id ORDER BY ts) AS after FROM events")
+def lag_lead(spark, sf_dir):
+    out = joins.shifted(_events(spark, sf_dir), ["user_id"], "t", "value", 1, "before")
+    return joins.shifted(out, ["user_id"], "t", "value", -1, "after").select("event_id", "before", "after")
+
+
+@query("WITH d AS (SELECT user_id, epoch_us(ts) AS t, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events), x AS (SELECT user_id, t, sum(CASE WHEN gap > 7200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS session FROM d) SELECT user_id, CAST(session AS BIGINT) AS session, COUNT(*) AS n, max(t) - min(t) AS length FROM x GROUP BY 1, 2")
+def sessions(spark, sf_dir):
+    out = joins.sessions(_events(spark, sf_dir), ["user_id"], "t", 2 * HOUR)
+    return out.groupBy("user_id", "session").agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("length"))
+
+
+@query("SELECT event_type, CAST(hour(ts) AS INTEGER) AS hour, COUNT(*) AS n, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY ROLLUP (event_type, CAST(hour(ts) AS INTEGER))")
+def rollup_hours(spark, sf_dir):
+    return _events(spark, sf_dir).rollup("event_type", F.hour("ts").alias("hour")).agg(F.count("*").alias("n"), _dec("value").alias("total"))
+
+
+@query("SELECT l_returnflag, l_linestatus, COUNT(*) AS n, CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def cube_flags(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), _dec("l_quantity").alias("quantity"))
+
+
+@query("SELECT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'error' EXCEPT SELECT user_id FROM events WHERE event_type = 'signup'")
+def set_operations(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    users = lambda kind: e.where(F.col("event_type") == kind).select("user_id")
+    return users("click").intersect(users("error")).subtract(users("signup"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def anti_join(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return _table(spark, sf_dir, "customer").where("c_acctbal > 0").join(orders, "c_custkey", "left_anti").select("c_custkey")
+
+
+@query("SELECT n_name, COUNT(*) AS n, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def orders_by_nation(spark, sf_dir):
+    orders, customer, nation = (_table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    joined = orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).join(nation, customer["c_nationkey"] == nation["n_nationkey"])
+    return joined.groupBy("n_name").agg(F.count("*").alias("n"), _dec("o_totalprice").alias("total"))
+
+
+# generators and whole programs
+
+
+@query()
+def generated_ma1_theory(spark, sf_dir):
+    """An MA(1) series: theta * variance at lag 1, (1 + theta^2) * variance at lag 0."""
+    df = generate.ma(spark, [[0.5]], 20_000, sigma=2.0, seed=11)
+    ts = TimeSeries.from_df(df, "t", "v0", delta=1, bck=3)
+    return _round(moments.cross_covariance(ts, 3).df, 4, "value")
+
+
+@query()
+def generated_varma(spark, sf_dir):
+    df = generate.varma(spark, [[[0.4, 0.1], [0.0, 0.3]]], [[[0.2, 0.0], [0.1, 0.2]]], 5_000, seed=3)
+    return _round(models.fit_varma(TimeSeries.from_df(df, "t", ["v0", "v1"], delta=1, bck=40), 1, 1, depth=20).to_df(spark), 6, "value")
+
+
+@query("SELECT CAST(k AS BIGINT) AS k, 10.0 AS total, 1.0 AS mean FROM (SELECT unnest(generate_series(0, 99)) AS k)")
+def ones_resampled(spark, sf_dir):
+    df = generate.ones(spark, 2, 1000)
+    return resample.resample(df, {"k": tf.floor_div(F.col("t"), 10)}, {"total": F.sum("v0"), "mean": F.avg("v1")})
+
+
+@query("SELECT COUNT(*) AS n, true AS bounded FROM (SELECT unnest(generate_series(1, 10000)))")
+def noise_bounds(spark, sf_dir):
+    df = generate.white_noise(spark, 1, 10_000, kind="uniform", seed=5)
+    return df.agg(F.count("*").alias("n"), F.bool_and(F.abs("v0") <= 0.5).alias("bounded"))
+
+
+@query()
+def season_to_residuals(spark, sf_dir):
+    """A whole program: grid, seasonal profile, de-seasoned series, VAR, residual moments."""
+    ts = _hourly(spark, sf_dir)
+    bucket = F.pmod("k", F.lit(24))
+    flat = seasonal.remove_season(ts, seasonal.mean_profile(ts, bucket), bucket)
+    fitted = models.fit_var(flat, 2)
+    out = models.residual_series(flat, models.var_residuals(flat, fitted.ar))
+    return _round(moments.second_moment(out), 4, "value")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
