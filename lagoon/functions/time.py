@@ -31,7 +31,8 @@ def span(text: str | int) -> int:
 
 def floor_div(x: Column, width: int) -> Column:
     """Bucket of a long, rounded down for negative values too."""
-    return F.floor(x / F.lit(width)).cast("long") if width == 1 else ((x - F.pmod(x, F.lit(width))) / F.lit(width)).cast("long")
+    x = x.cast("long")
+    return x if width == 1 else F.call_function("div", x - F.pmod(x, F.lit(width)), F.lit(width))
 
 
 def week_bucket(ts: Column, minutes: int = 5) -> Column:
