@@ -13,7 +13,8 @@ def micros(df: DataFrame, col: str) -> Column:
     """A time column as a long: microseconds since the epoch for timestamps (no session zone involved for zoneless ones), itself for numbers."""
     kind = df.schema[col].dataType
     if isinstance(kind, T.TimestampNTZType):
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{col}`)")
+        since = f"CAST(`{col}` - TIMESTAMP_NTZ'1970-01-01 00:00:00' AS INTERVAL SECOND)"
+        return F.expr(f"CAST(CAST({since} AS DECIMAL(20, 6)) * 1000000 AS BIGINT)")
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(col)
     if isinstance(kind, T.DateType):

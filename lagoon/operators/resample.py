@@ -35,11 +35,18 @@ def align_up_count(df: DataFrame, ts: str, width: str | int, by: tuple[str, ...]
     return df.groupBy(*by, (bucket(df, ts, width) + 1).alias("k")).agg(F.count("*").alias("n"))
 
 
+#: Ticks of a grid that one row is exploded to; a longer grid is dealt out in such pieces.
+GRID_PIECE = 1 << 16
+
+
 def fill_grid(df: DataFrame, tick: str, values: list[str], delta: int = 1, fill: float = 0.0, keys: tuple[str, ...] = ()) -> DataFrame:
     """Every tick from the first to the last (of each key), missing ones filled."""
     edge = (df.groupBy(*keys) if keys else df).agg(F.min(tick).alias("_lo"), F.max(tick).alias("_hi"))
     # without rows there is no grid
-    grid = edge.where("_lo is not null").select(*keys, F.explode(F.sequence("_lo", "_hi", F.lit(delta).cast("long"))).alias(tick))
+    piece = F.lit(delta * GRID_PIECE).cast("long")
+    pieces = edge.where("_lo is not null").select(*keys, "_hi", F.explode(F.sequence("_lo", "_hi", piece)).alias("_lo"))
+    pieces = pieces.repartition(*keys, "_lo")
+    grid = pieces.select(*keys, F.explode(F.sequence(F.col("_lo"), F.least(F.col("_hi"), F.col("_lo") + piece - 1), F.lit(delta).cast("long"))).alias(tick))
     return grid.join(df.select(*keys, tick, *values), [*keys, tick], "left").fillna(fill, values)
 
 

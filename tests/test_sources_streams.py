@@ -77,6 +77,12 @@ def test_ticks(spark):
     df = spark.sql("select timestamp_ntz'1969-12-31 23:59:59' a, timestamp'2024-01-01 00:00:00' b, date'1970-01-02' c, 7L d")
     row = df.select(*(tf.micros(df, c) for c in "abcd")).first()
     assert tuple(row) == (-1_000_000, 1_704_067_200_000_000, 86_400_000_000, 7)
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        gap = spark.sql("select timestamp_ntz'2024-03-10 02:30:00.000001' a")
+        assert gap.select(tf.micros(gap, "a")).first()[0] == 1_710_037_800_000_001
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert tf.span("5m") == 300_000_000 and tf.span("h") == tf.MICROS["h"] and tf.span(3) == 3
     big = spark.range(1).select(tf.floor_div(F.lit(-(2**60) - 1), 7).alias("x"), tf.floor_div(F.lit(-1), 1).alias("y")).first()
     assert tuple(big) == ((-(2**60) - 1) // 7, -1)

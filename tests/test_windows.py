@@ -157,6 +157,12 @@ def test_resampling_edges(spark):
     grid = resample.fill_grid(df, "k", ["v"])
     assert sorted((r["k"], r["v"]) for r in grid.collect()) == [(k, {3: 1.0, -1: 2.0}.get(k, 0.0)) for k in range(-1, 8)]
     assert resample.fill_grid(df.limit(0), "k", ["v"]).collect() == []
+    resample.GRID_PIECE, piece = 3, resample.GRID_PIECE
+    try:
+        again = resample.fill_grid(df, "k", ["v"], delta=2)
+        assert sorted(r["k"] for r in again.collect()) == [-1, 1, 3, 5, 7]
+    finally:
+        resample.GRID_PIECE = piece
     assert sorted((r["k"], r["v"]) for r in resample.sum_resample(df, F.floor(F.col("k") / 4), ["v"], 2).collect()) == [(-1, 2.0), (0, 1.0), (1, None)]
 
 
