@@ -20,12 +20,16 @@ files give equal results; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +40,9 @@ SEQUENCE = 4096
 WINDOW_SEQUENCES = 16
 MAX_QUEUES = 4096
 END = 2
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 250_000
+#: Whole chunks of printable Latin letters, digits and signs: normal forms and case are plain there.
+LATIN = re.compile("[!-~\u00a1-\u024f]+").fullmatch
 #: Rows of (partition, queue) starts that may be broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, source string"
@@ -46,6 +52,9 @@ class Tokens(dict):
     """Ids of blank-separated chunks as little-endian 16- or 32-bit bytes; bounded.
 
     The tokenizer drops white space and matches no pre-token across it, so chunks encode on their own.
+    Latin chunks go to a bare merge engine: lower-cased, cut by the tokenizer's own pattern, and merged by
+    ranks that are its merge list, with a last byte 0xFF (in no UTF-8 text) for the end of a word. All other
+    chunks go through the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -53,19 +62,63 @@ class Tokens(dict):
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.kind = "<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4"
-        self.end = np.array([END], self.kind).tobytes()
+        self.kind, self.code = ("<u2", "H") if self.model.get_vocab_size() <= 1 << 16 else ("<u4", "I")
+        self.end = array(self.code, [END]).tobytes()
+        self.words: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            table = json.load(f)
+        self.pattern = self.ids = None
+        self._bare_engine(table)
+
+    def _bare_engine(self, table: dict) -> None:
+        """Only for the layout that it is right for: NFC, blanks, lower case; one Split; byte level; a word-end suffix."""
+        steps = [x["type"] for x in (table.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (table.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        suffix, vocab = table["model"].get("end_of_word_suffix"), table["model"].get("vocab", {})
+        if steps != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in cuts] != ["Split", "ByteLevel"] or not suffix or cuts[1].get("add_prefix_space"):
+            return
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte level's printable names
+        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
+        raw = lambda t: bytes(byte[c] for c in t.removesuffix(suffix)) + b"\xff" * t.endswith(suffix)
+        merges = [m.split(" ") if isinstance(m, str) else m for m in table["model"]["merges"]]
+        order = [bytes([b]) for b in range(256)] + [bytes([b, 255]) for b in range(256) if b != 255]
+        order += [raw("".join(m)) for m in merges]
+        if len(set(order)) != len(order):
+            return
+        import tiktoken
+
+        names = {raw(t): i for t, i in vocab.items() if all(c in byte for c in t.removesuffix(suffix))}
+        self.ids = [names.get(t, -1) for t in order]
+        self.merge = tiktoken.Encoding("merges", pat_str=r".+", mergeable_ranks={t: i for i, t in enumerate(order)}, special_tokens={})._core_bpe.encode_single_piece
+        self.pattern = regex.compile(cuts[0]["pattern"]["Regex"])
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) >= KEPT_CHUNKS:
+                self.words.clear()
+            ids = self.ids
+            self.words[word] = found = array(self.code, [ids[i] for i in self.merge(word.encode() + b"\xff")]).tobytes()
+        return found
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= KEPT_CHUNKS:
+            self.clear()
+        if self.pattern is not None and LATIN(chunk):
+            low = chunk.lower()
+            if low.isalpha():
+                found = self._word(low)
+            elif low[-1] in ".," and low[:-1].isalpha():
+                found = self._word(low[:-1]) + self._word(low[-1])
+            else:
+                found = b"".join(map(self._word, self.pattern.findall(low)))
+        else:
+            found = array(self.code, self.model.encode(chunk, add_special_tokens=False).ids).tobytes()
+        self[chunk] = found
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        found = [x.replace("\n", " ").replace("\t", " ").split(" ") for x in texts]
-        new = list(set().union(*found) - self.keys())
-        if len(self) + len(new) > KEPT_CHUNKS:
-            self.clear()
-            new = list(set().union(*found))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.update((w, np.array(x.ids, self.kind).tobytes()) for w, x in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        return [b"".join(map(self.__getitem__, x)) + self.end for x in found]
+        return [b"".join(map(self.__getitem__, x.replace("\n", " ").replace("\t", " ").split(" "))) + self.end for x in texts]
 
 
 @lru_cache(1)
