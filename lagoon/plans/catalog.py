@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from lagoon.functions import time as tf
 from lagoon.functions.linalg import make_stable, spectral_radius
-from lagoon.operators import joins, models, moments, optim, resample, seasonal, spatial, spectrum, windows
+from lagoon.operators import intervals, joins, models, moments, optim, resample, seasonal, spatial, spectrum, windows
 from lagoon.series import TICK, TimeSeries
 from lagoon.sources import generate
+from lagoon.streaming import streams
 
 HOUR = tf.MICROS["h"]
 NAMES = ["click", "error"]
@@ -596,6 +597,70 @@ def season_to_residuals(spark, sf_dir):
     return _round(moments.second_moment(out), 4, "value")
 
 
+_TRIPS = """p AS (SELECT ts, CAST(embedding[1] AS DOUBLE) AS lon, CAST(embedding[2] AS DOUBLE) AS lat FROM events JOIN embeddings ON vec_id = event_id % 500),
+q AS (SELECT quantile_cont(lon, 0.1) a, quantile_cont(lon, 0.9) b, quantile_cont(lat, 0.1) c, quantile_cont(lat, 0.9) d FROM p),
+t AS (SELECT ts, CASE WHEN lon <= 0 THEN 'w' ELSE 'e' END || CASE WHEN lat <= 0 THEN 's' ELSE 'n' END AS bin FROM p, q WHERE lon BETWEEN a AND b AND lat BETWEEN c AND d)"""
+
+
+@query("WITH " + _TRIPS + " SELECT epoch_us(ts) // 3600000000 + 1 AS k, " + ", ".join(f"COUNT(*) FILTER (bin = '{b}') AS {b}" for b in ("es", "en", "ws", "wn")) + " FROM t GROUP BY 1")
+def trips_by_bin(spark, sf_dir):
+    """A whole program: trips in a quantile box, spatial bins, counts stamped with the next hour, merged wide."""
+    place = _points(spark, sf_dir)
+    trips = _table(spark, sf_dir, "events").withColumn("vec_id", F.col("event_id") % 500).join(place, "vec_id")
+    inside = spatial.quantile_box(trips, "lon", "lat")
+    side = lambda c, low, high: F.when(F.col(c) <= 0, low).otherwise(high)
+    binned = inside.withColumn("bin", F.concat(side("lon", "w", "e"), side("lat", "s", "n")))
+    return resample.pivot_merge(binned, resample.bucket(binned, "ts", "1h") + 1, "bin", ["es", "en", "ws", "wn"], F.count(F.lit(1)), 0)
+
+
+@query()
+def generated_var_program(spark, sf_dir):
+    """A whole program: stabilised VAR(3), correlations, AR and VAR fits, and the residuals' second moments."""
+    rng = np.random.default_rng(4)
+    phis = make_stable([rng.uniform(-0.6, 0.6, (3, 3)) for _ in range(3)])
+    ts = TimeSeries.from_df(generate.var(spark, phis, 10_000, seed=4), "t", ["v0", "v1", "v2"], delta=1, bck=8, fwd=8)
+    scalar, vector = models.fit_ar(ts, 3), models.fit_var(ts, 3)
+    parts = [("correlation", moments.cross_correlation(ts, 6).df.where("lag = 1").select("i", "j", "value"))]
+    for name, out in (("ar", models.ar_residuals(ts, scalar.ar)), ("var", models.var_residuals(ts, vector.ar))):
+        parts.append((name, moments.second_moment(models.residual_series(ts, out))))
+    named = [df.select(F.lit(n).alias("step"), "i", "j", F.round("value", 4).alias("value")) for n, df in parts]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+@query("WITH " + S + " SELECT COUNT(*) AS n FROM s")
+def interval_rows(spark, sf_dir):
+    """Every row of the grid falls into one of the balanced intervals."""
+    grid = _hourly(spark, sf_dir).df
+    found = intervals.cut_points(grid, "k", 8)
+    return grid.where(intervals.interval_of(F.col("k"), found).between(0, len(found) - 1)).agg(F.count("*").alias("n"))
+
+
+def _streamed(spark, sf_dir):
+    schema = _table(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the table may be one file or a folder
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _run(df: DataFrame, name: str) -> DataFrame:
+    """All that a bounded stream gives, from a table in memory."""
+    q = df.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.table(name)
+
+
+@query("SELECT epoch_us(ts) // 86400000000 AS day, event_type, COUNT(*) AS n, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
+def stream_tumbling(spark, sf_dir):
+    out = streams.stream_resample(_streamed(spark, sf_dir), "ts", "1 day", {"n": F.count("*"), "total": _dec("value")}, ("event_type",))
+    done = _run(out, "stream_tumbling")
+    return done.select(F.floor(F.unix_seconds("start") / 86400).cast("long").alias("day"), "event_type", "n", "total")
+
+
+@query("SELECT h AS start_hour, COUNT(*) AS n FROM (SELECT unnest([epoch_us(ts) // 3600000000, epoch_us(ts) // 3600000000 - 1]) AS h FROM events) GROUP BY 1")
+def stream_sliding(spark, sf_dir):
+    out = streams.stream_resample(_streamed(spark, sf_dir), "ts", "2 hours", {"n": F.count("*")}, slide="1 hour")
+    return _run(out, "stream_sliding").select(F.floor(F.unix_seconds("start") / 3600).cast("long").alias("start_hour"), "n")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

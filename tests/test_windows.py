@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lagoon.operators import joins, moments, resample, windows
+from lagoon.operators import intervals, joins, moments, resample, windows
 from lagoon.series import TICK, TimeSeries
 
 RNG = np.random.default_rng(0)
@@ -171,3 +171,17 @@ def test_asof_join_with_tolerance(spark):
     right = spark.createDataFrame([(1, 9, "a"), (1, 12, "b"), (1, 20, "c")], "g long, t long, x string")
     got = sorted(tuple(r) for r in joins.asof_join(left, right, "t", ["g"], ["x"], tolerance=2).collect())
     assert got == [(1, 3, None), (1, 10, "a"), (1, 20, "c"), (2, 5, None)]
+
+
+def test_intervals(spark):
+    df = spark.createDataFrame([(int(x),) for x in SERIES["peers"]], "k long")
+    found = intervals.cut_points(df, "k", 4)
+    assert found[0][0] == SERIES["peers"].min() and found[-1][1] == SERIES["peers"].max()
+    assert all(a[1] == b[0] for a, b in zip(found, found[1:], strict=False))
+    probe = spark.createDataFrame([(-100,), (found[1][0],), (found[1][0] + 1,), (1000,)], "k long")
+    assert [r[0] for r in probe.orderBy("k").select(intervals.interval_of(F.col("k"), found)).collect()] == [0, 0, 1, len(found) - 1]
+    assert intervals.cut_points(df.limit(0), "k", 4) == [] and intervals.cut_points(df.limit(1), "k", 1)[0][0] == df.first()[0]
+    with pytest.raises(ValueError):
+        intervals.cut_points(df, "k", 0)
+    parts = intervals.range_partitioned(df, "k", 3).select("k", F.spark_partition_id().alias("p")).groupBy("p").agg(F.min("k").alias("a"), F.max("k").alias("b")).orderBy("a").collect()
+    assert all(x["b"] <= y["a"] for x, y in zip(parts, parts[1:], strict=False))
