@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lagoon.llm import stages
-from lagoon.llm.common import shared_folder, table
+from lagoon.llm.common import remove, shared_folder, table
 
 STAGES = [
     ("toxicity", stages.drop_toxic),
@@ -22,10 +22,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written to the shared folder as Parquet and read again."""
+    """All stages over documents; each is written to the shared folder as Parquet and read again; only the last one stays."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
