@@ -14,11 +14,10 @@ to the smaller language name; a row with a null doc_id is scored and not learned
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,10 +29,11 @@ MAX_WORD = 24
 MARK = "▁"
 SMOOTH = 0.1
 UNKNOWN = 1e-7
-KEPT_WORDS = 150_000
-FLUSH_WORDS = 50_000
+#: Chunks that a worker keeps scores of, and counts before it turns them into piece counts.
+KEPT_CHUNKS = 400_000
+FLUSH_CHUNKS = 150_000
+SLOT_BITS = 22
 BASE = np.uint64(0x9E3779B97F4A7C15)
-LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Pieces:
@@ -45,25 +45,48 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
         self.pieces = sorted(p for p in found if len(p) <= MAX_PIECE and all(c.isalpha() or c == MARK for c in p))
-        names = [int(self.hashes(np.array([[ord(c) for c in p]], np.uint64))[0]) for p in self.pieces]
-        self.index = pd.Index(np.array(names, np.uint64))
+        names = np.zeros(len(self.pieces) + 1, np.uint64)  # the last one stands for no piece
+        for i, p in enumerate(self.pieces):
+            h = np.zeros(1, np.uint64)
+            for c in p:
+                h = self.step(h, np.array([ord(c)], np.uint64))
+            names[i] = h[0]
+        self.names = names
+        self.slot = np.full(1 << SLOT_BITS, -1, np.int32)
+        at = names[:-1] >> np.uint64(64 - SLOT_BITS)
+        self.slot[at] = np.arange(len(self.pieces))
+        self.spilled = np.flatnonzero(self.slot[at] != np.arange(len(self.pieces)))  # names whose slot another one took
+        self.spilled = self.spilled[np.argsort(names[self.spilled])]
 
     @staticmethod
-    def hashes(codes: np.ndarray) -> np.ndarray:
-        h = np.full(len(codes), codes.shape[1], np.uint64)
-        for k in range(codes.shape[1]):
-            h = (h + codes[:, k]) * BASE
-            h ^= h >> np.uint64(29)
-        return h
+    def step(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The hash of a string and one more character."""
+        h = (h + c) * BASE
+        return h ^ (h >> np.uint64(29))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Piece by hash; -1 for none."""
+        i = self.slot[h >> np.uint64(64 - SLOT_BITS)]
+        other = self.names[i] != h
+        taken = np.flatnonzero(other & (i >= 0))
+        i[other] = -1
+        if len(taken) and len(self.spilled):
+            own = self.names[self.spilled]
+            at = np.minimum(np.searchsorted(own, h[taken]), len(own) - 1)
+            i[taken] = np.where(own[at] == h[taken], self.spilled[at], -1)
+        return i
 
     def lattice(self, codes: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
         """(start, length): for each word the piece there; len(pieces) an unknown character, +1 none."""
         n, width = codes.shape
         out = {}
-        for size in range(1, min(MAX_PIECE, width) + 1):
-            for at in range(width - size + 1):
-                found = self.index.get_indexer(self.hashes(codes[:, at : at + size]))
-                out[at, size] = np.where(found < 0, len(self.pieces) + (size > 1), found)
+        for at in range(width):
+            h = np.zeros(n, np.uint64)
+            for size in range(1, min(MAX_PIECE, width - at) + 1):
+                h = self.step(h, codes[:, at + size - 1])
+                found = self.find(h)
+                found[found < 0] = len(self.pieces) + (size > 1)
+                out[at, size] = found
         return out
 
 
@@ -104,10 +127,16 @@ def expected(pieces: Pieces, words: list[str], counts: np.ndarray) -> np.ndarray
     return total[:n]
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-cased letter runs, cut after MAX_WORD letters."""
-    found = LETTERS.findall(text.lower())
-    if max(map(len, found), default=0) <= MAX_WORD:
+def words_of(chunk: str) -> list[str]:
+    """Lower-cased runs of letters, cut after MAX_WORD letters."""
+    low = chunk.lower()
+    if low.isalpha():
+        found = [low]
+    elif low[:-1].isalpha():
+        found = [low[:-1]]
+    else:
+        found = "".join([c if c.isalpha() else " " for c in low]).split()
+    if len(low) <= MAX_WORD:
         return found
     return [w[i : i + MAX_WORD] for w in found for i in range(0, len(w), MAX_WORD)]
 
@@ -131,33 +160,27 @@ def learn(docs: DataFrame, train: Column, path: str, lang_col: str = "lang", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_at(path)
-        langs: dict[str, int] = {}
-        number: dict[str, int] = {}
-        seen: list[dict] = []
+        seen: dict[str, Counter] = {}  # by language, blank-separated chunks
 
         def flush() -> Iterator[pa.RecordBatch]:
-            counts = np.zeros((len(number), len(langs)))
-            for g, found in enumerate(seen):
-                counts[list(found), g] = list(found.values())
+            number: dict[str, int] = {}
+            found = [[(number.setdefault(w, len(number)), n) for chunk, n in c.items() for w in words_of(chunk)] for c in seen.values()]
+            counts = np.zeros((len(number), len(seen)))
+            for g, pairs in enumerate(found):
+                if pairs:
+                    at, n = np.array(pairs).T
+                    counts[:, g] = np.bincount(at, n, len(number))
             total = expected(pieces, list(number), counts)
-            for name, g in langs.items():
+            for g, name in enumerate(seen):
                 at = np.flatnonzero(total[:, g])
                 yield rows_out(lang=([name] * (len(at) + 1), pa.string()), piece=([-1, *at], pa.int64()), n=([0.0, *total[at, g]], pa.float64()))
 
         for part in slices(batches):
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                g = langs.setdefault(lang, len(langs))
-                if g == len(seen):
-                    seen.append({})
-                mine = seen[g]
-                for w in words_of(text):
-                    i = number.setdefault(w, len(number))
-                    mine[i] = mine.get(i, 0) + 1
-            if len(number) > FLUSH_WORDS:
+                seen.setdefault(lang, Counter()).update(text.split())
+            if sum(map(len, seen.values())) > FLUSH_CHUNKS:
                 yield from flush()
-                number.clear()
-                for x in seen:
-                    x.clear()
+                seen.clear()
         yield from flush()
 
     rows = kept.mapInArrow(run, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
@@ -171,40 +194,68 @@ def learn(docs: DataFrame, train: Column, path: str, lang_col: str = "lang", tex
 
 
 class Scorer(dict):
-    """Word to its row of log probabilities; new words are scored together. Bounded."""
+    """Blank-separated chunk to the row of its words' summed log probabilities; row 0 is for no letter. New words are scored together. Bounded."""
 
     def __init__(self, pieces: Pieces, probability: np.ndarray):
         self.pieces, k = pieces, probability.shape[1]
         self.weights = np.concatenate([probability, np.full((1, k), UNKNOWN), np.zeros((1, k))])
-        self.rows = np.empty((0, k))
+        self.words: dict[str, int] = {}
+        self.rows = np.zeros((1, k))
 
-    def add(self, words: set[str]) -> None:
-        if len(self) + len(words) > KEPT_WORDS:
+    def add(self, chunks: set[str]) -> None:
+        """Makes sure that all of chunks have a row."""
+        if len(self) + len(chunks) > KEPT_CHUNKS:
             self.clear()
-            self.rows = self.rows[:0]
-        new = sorted(words - self.keys())
-        if not new:
-            return
-        found = np.empty((len(new), self.weights.shape[1]))
-        for at, codes in by_length(new):
+            self.words.clear()
+            self.rows = self.rows[:1]
+        new = chunks.difference(self)
+        plain, several = [], []  # chunks of one word, which are most, and others
+        for c in new:
+            low = c.lower()
+            if len(low) > MAX_WORD:
+                several.append((c, words_of(c)))
+            elif low.isalpha():
+                plain.append((c, low))
+            elif low[:-1].isalpha():
+                plain.append((c, low[:-1]))
+            else:
+                several.append((c, words_of(c)))
+        known = self.words
+        words = {w for _, w in plain}
+        words.update(*(x for _, x in several))
+        words = list(words.difference(known))
+        found = np.empty((len(words), self.weights.shape[1]))
+        for at, codes in by_length(words):
             found[at] = np.log(forward(self.pieces.lattice(codes), self.weights, codes.shape[1])[-1])
-        start = len(self.rows)
-        self.rows = np.concatenate([self.rows, found])
-        self.update((w, start + i) for i, w in enumerate(new))
+        known.update(zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True))
+        self.update([(c, known[w]) for c, w in plain])
+        rows, more = np.concatenate([self.rows, found]), []
+        for c, x in several:
+            if len(x) > 1:
+                self[c] = len(rows) + len(more)
+                more.append(rows[[known[w] for w in x]].sum(axis=0))
+            else:
+                self[c] = known[x[0]] if x else 0
+        self.rows = np.concatenate([rows, more]) if more else rows
+
+    def score(self, chunks: list[str]) -> np.ndarray | None:
+        at = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+        return self.rows[at].sum(axis=0) if at.any() else None
 
     def scores(self, texts: list[str]) -> list[np.ndarray | None]:
-        found = [words_of(x) for x in texts]
-        needed = set().union(*found) if found else set()
-        if len(needed) <= KEPT_WORDS:
+        found = [x.split() for x in texts]
+        needed = set().union(*found)
+        if len(needed) <= KEPT_CHUNKS:
             self.add(needed)
-            return [self.rows[list(map(self.__getitem__, x))].sum(axis=0) if x else None for x in found]
+            return [self.score(x) for x in found]
         out = []
-        for x in found:  # very many words: by parts of a text
-            total = np.zeros(self.weights.shape[1]) if x else None
-            for i in range(0, len(x), KEPT_WORDS):
-                part = x[i : i + KEPT_WORDS]
+        for x in found:  # very many chunks: by parts of a text
+            total = None
+            for i in range(0, len(x), KEPT_CHUNKS):
+                part = x[i : i + KEPT_CHUNKS]
                 self.add(set(part))
-                total = total + self.rows[list(map(self.__getitem__, part))].sum(axis=0)
+                value = self.score(part)
+                total = value if total is None else total if value is None else total + value
             out.append(total)
         return out
 
@@ -214,7 +265,7 @@ def predict(docs: DataFrame, langs: list[str], probability: np.ndarray, path: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(pieces_at(path), probability)
-        for part in slices(batches):
+        for part in slices(batches, 1024):
             names, values = [], []
             for x in scorer.scores(part.column(1).to_pylist()) if langs else [None] * part.num_rows:
                 if x is None:
