@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagoon.llm import bpe, langid, licences, packing, quality, rlz, simhash, topk, toxicity, urls
+from lagoon.llm import bpe, langid, licences, oracles, packing, quality, rlz, simhash, topk, toxicity, urls
 from lagoon.llm.common import crc_bucket, table
 
 
@@ -65,4 +65,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_exact_topk": oracles.OP2, "op8_quality_rules": oracles.OP8, "op9_substring_dedup": oracles.OP9}

@@ -170,6 +170,9 @@ def test_language_forward_sums_all_segmentations():
     scorer.add(set(words))
     for w in words:
         assert scorer.rows[scorer[w]] == pytest.approx(np.log(plain("▁" + w)))
+    scorer.add({"The-question,", "12"})
+    assert scorer["12"] == 0 and scorer.rows[scorer["The-question,"]] == pytest.approx(scorer.rows[scorer["the"]] + scorer.rows[scorer["question"]])
+    assert [pieces.find(pieces.names[i : i + 1])[0] for i in range(0, len(pieces.pieces), 7)] == list(range(0, len(pieces.pieces), 7))
 
 
 def test_language_prediction(spark):
@@ -225,3 +228,13 @@ def test_empty_tables(spark):
     assert langs == [] and langid.predict(empty, langs, probability, PIECES).collect() == []
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.scores(empty, toxicity.fit(empty, labels)).collect() == []
+
+
+def test_bare_merges_equal_the_tokenizer():
+    rng = __import__("random").Random(6)
+    known = packing.Tokens(WORDS)
+    assert known.pattern is not None
+    words = [prose(rng, 1, "abcdefghijklmnopqrstuvwxyz") for _ in range(3000)]
+    words += [prose(rng, 1, "aAeéÉüßñçŒĲǅſ'’.,1-_Ⅷ́") for _ in range(3000)]
+    words += ["", "aaaaaaaaa", "İ", "ΑΣ", "don't", "<|endoftext|>", "x y", "\u0085", "a\x1cb", "ſ", "ŉ", "ª", "1²½", "''s", "漢字", "é"]
+    assert [known.encode([w])[0] for w in words] == [np.array([*known.model.encode(w, add_special_tokens=False).ids, 2], known.kind).tobytes() for w in words]
