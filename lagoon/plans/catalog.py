@@ -319,7 +319,10 @@ def remove_season(spark, sf_dir):
     return _round(seasonal.remove_season(ts, profile, tf.day_bucket(F.col("ts"))).df.select("event_id", "value"), 6, "value")
 
 
-@query()
+@query("""WITH p AS (SELECT CAST(isodow(ts) - 1 AS INTEGER) AS day, CAST(greatest(hour(ts) * 60 + minute(ts) - 1, 0) // 60 AS INTEGER) AS hour, avg(value) AS v FROM events GROUP BY 1, 2),
+g AS (SELECT CAST(d AS INTEGER) AS day, CAST(h AS INTEGER) AS hour, coalesce(v, 0) AS v FROM (SELECT unnest(range(7)) AS d), (SELECT unnest(range(24)) AS h) LEFT JOIN p ON day = d AND hour = h),
+a AS (SELECT x.day, x.hour, sum(exp(-power(x.day - y.day, 2) / 1.0) * y.v) / sum(exp(-power(x.day - y.day, 2) / 1.0)) AS v FROM g x JOIN g y ON x.hour = y.hour AND abs(x.day - y.day) <= 1 GROUP BY 1, 2)
+SELECT x.day, x.hour, round(sum(exp(-power(x.hour - y.hour, 2) / 4.0) * y.v) / sum(exp(-power(x.hour - y.hour, 2) / 4.0)), 6) AS value FROM a x JOIN a y ON x.day = y.day AND abs(x.hour - y.hour) <= 3 GROUP BY 1, 2""")
 def smoothed_profile(spark, sf_dir):
     ts = TimeSeries.from_df(_events(spark, sf_dir), "t", "value", delta=1)
     profile = seasonal.mean_profile(ts, tf.week_bucket(F.col("ts"), 60))
@@ -406,23 +409,35 @@ def stability(spark, sf_dir):
 
 # spectra
 
-_L = 2
+_L, _LP = 2, 6
 
 
-def _spectrum_sql() -> str:
-    width = 2 * _L + 1
-    w, scale = ([float(x) for x in y] if getattr(y, 'ndim', 0) else float(y) for y in spectrum.taper(width))
-    near = ", ".join(f"lag(v{j}, {_L - m}) OVER (ORDER BY k) AS x{j}_{m}" if m <= _L else f"lead(v{j}, {m - _L}) OVER (ORDER BY k) AS x{j}_{m}" for j in (0, 1) for m in range(width))
-    parts, out = [], []
+def _transform_sql(max_lag: int) -> str:
+    """z(re{dim}_{f}, im{dim}_{f}): the tapered transform of every full window."""
+    width = 2 * max_lag + 1
+    w = [float(x) for x in spectrum.taper(width)[0]]
+    near = ", ".join(f"lag(v{j}, {max_lag - m}) OVER (ORDER BY k) AS x{j}_{m}" if m <= max_lag else f"lead(v{j}, {m - max_lag}) OVER (ORDER BY k) AS x{j}_{m}" for j in (0, 1) for m in range(width))
+    parts = []
     for f in range(width):
         for j in (0, 1):
             for name, fn, sign in (("re", "cos", ""), ("im", "sin", "-")):
                 parts.append(f"{sign}(" + " + ".join(f"{w[m]!r} * x{j}_{m} * {fn}(2 * pi() * {f * m} / {width})" for m in range(width)) + f") AS {name}{j}_{f}")
-    for f in range(width):
+    return f"WITH {S}, w AS (SELECT {near} FROM s), z AS (SELECT {', '.join(parts)} FROM w WHERE x0_0 IS NOT NULL AND x0_{width - 1} IS NOT NULL)"
+
+
+def _spectrum_sql() -> str:
+    scale, out = float(spectrum.taper(2 * _L + 1)[1]), []
+    for f in range(2 * _L + 1):
         for i, j in _CELLS:
             re, im = f"avg(re{i}_{f} * re{j}_{f} + im{i}_{f} * im{j}_{f})", f"avg(im{i}_{f} * re{j}_{f} - re{i}_{f} * im{j}_{f})"
             out.append(f"SELECT {i} AS i, {j} AS j, {f} AS freq_idx, round({re} * {scale!r}, 4) + 0.0 AS re, round({im} * {scale!r}, 4) + 0.0 AS im FROM z")
-    return f"WITH {S}, w AS (SELECT {near} FROM s), z AS (SELECT {', '.join(parts)} FROM w WHERE x0_0 IS NOT NULL AND x0_{width - 1} IS NOT NULL) {' UNION ALL '.join(out)}"
+    return f"{_transform_sql(_L)} {' UNION ALL '.join(out)}"
+
+
+def _power_sql() -> str:
+    scale = float(spectrum.taper(2 * _LP + 1)[1])
+    power = [(i, f, f"avg(re{i}_{f} * re{i}_{f} + im{i}_{f} * im{i}_{f}) * {scale!r}") for i in (0, 1) for f in range(2 * _LP + 1)]
+    return _transform_sql(_LP) + " UNION ALL ".join(f" SELECT {i} AS dim, {f} AS freq_idx, round({x}, 4) AS power, round(ln({x}), 6) AS log_power FROM z" for i, f, x in power)
 
 
 @query(_spectrum_sql())
@@ -430,9 +445,9 @@ def cross_spectrum(spark, sf_dir):
     return _round(spectrum.cross_spectrum(_hourly(spark, sf_dir), _L).select("i", "j", "freq_idx", "re", "im"), 4, "re", "im")
 
 
-@query()
+@query(_power_sql())
 def power_spectrum(spark, sf_dir):
-    return _round(spectrum.log_periodogram(_hourly(spark, sf_dir), 6), 6, "power", "log_power")
+    return _round(_round(spectrum.log_periodogram(_hourly(spark, sf_dir), _LP), 4, "power"), 6, "log_power")
 
 
 # space: the first two numbers of an embedding as lon and lat
