@@ -95,41 +95,48 @@ def sliding_with_memory(ts: TimeSeries, kernel: Callable, init, schema: str, bck
     keys, values = list(ts.keys), list(ts.values)
     names = [c.strip().split()[0] for c in schema.split(",")]
 
+    columns = [*keys, TICK, *values]
+
+    def fresh():
+        return init() if callable(init) else init
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        series, state, at = None, None, 0
-
-        def targets(rows: pd.DataFrame, final: bool) -> tuple[pd.DataFrame, int]:
-            nonlocal state
-            t, v = rows[TICK].to_numpy(), rows[values].to_numpy()
-            done, out = at, []
-            limit = len(t) if final else int(np.searchsorted(t, t[-1] - fwd, "left"))
-            first, last = np.searchsorted(t, t - bck, "left"), np.searchsorted(t, t + fwd, "right")
-            for i in range(at, limit):
-                result, state = kernel(t[first[i] : last[i]], v[first[i] : last[i]], state)
-                out.append(result)
-                done = i + 1
-            got = rows.iloc[at:done][[*keys, TICK]].reset_index(drop=True)
-            for n, column in zip(names, zip(*out, strict=True) if out else [[]] * len(names), strict=True):
-                got[n] = list(column)
-            return got, done
+        held: list[np.ndarray] = []  # the rows that targets of the last series may still need
+        state, at = fresh(), 0  # of the last series: its state, and the first of its held rows that is no finished target
+
+        def work(rows: list[np.ndarray], ended: bool) -> pd.DataFrame:
+            nonlocal held, state, at
+            t, v, n = rows[len(keys)], np.stack(rows[len(keys) + 1 :], axis=1), len(rows[0])
+            cut = np.zeros(max(n - 1, 0), bool)
+            for k in rows[: len(keys)]:
+                empty = pd.isna(k)
+                cut |= (k[1:] != k[:-1]) & ~(empty[1:] & empty[:-1])
+            starts = [0, *(np.flatnonzero(cut) + 1)]
+            done, found = [], []
+            for a, b in zip(starts, [*starts[1:], n], strict=True):
+                if a:
+                    state, at = fresh(), 0
+                own, x = t[a:b], v[a:b]
+                # later rows may still fall into the windows of targets near the end of an unfinished series
+                limit = len(own) if ended or b < n else int(np.searchsorted(own, own[-1] - fwd, "left"))
+                first, last = np.searchsorted(own, own[at:limit] - bck, "left"), np.searchsorted(own, own[at:limit] + fwd, "right")
+                for i, j in zip(first.tolist(), last.tolist(), strict=True):
+                    result, state = kernel(own[i:j], x[i:j], state)
+                    found.append(result)
+                done.append(np.arange(a + at, a + max(at, limit)))
+                at = max(at, limit)
+            keep = min(at, int(np.searchsorted(own, (own[at] if at < len(own) else own[-1]) - bck, "left")))
+            held, at = [c[a + keep :] for c in rows], at - keep
+            index = np.concatenate(done)
+            out = {c: x[index] for c, x in zip([*keys, TICK], rows, strict=False)}
+            return pd.DataFrame(out | dict(zip(names, zip(*found, strict=True) if found else [[]] * len(names), strict=True)))
 
         for batch in batches:
-            groups = [((), batch)] if not keys else batch.groupby(keys, sort=False, dropna=False)
-            for name, rows in groups:
-                if series is not None and name != series and held is not None:
-                    yield targets(held, True)[0]
-                    held = None
-                if held is None:
-                    series, state, at = name, init() if callable(init) else init, 0
-                held = rows if held is None else pd.concat([held, rows])
-                out, at = targets(held, False)
-                yield out
-                t = held[TICK].to_numpy()
-                keep = min(at, int(np.searchsorted(t, (t[at] if at < len(t) else t[-1]) - bck, "left")))
-                held, at = held.iloc[keep:], at - keep
-        if held is not None:
-            yield targets(held, True)[0]
+            now = [batch[c].to_numpy() for c in columns]
+            if len(now[0]):
+                yield work([np.concatenate(x) for x in zip(held, now, strict=True)] if held else now, False)
+        if held and len(held[0]):
+            yield work(held, True)
 
     kinds = ", ".join(f"`{c}` {ts.df.schema[c].dataType.simpleString()}" for c in [*keys, TICK])
     rows = ts.df.select(*keys, TICK, *values)
