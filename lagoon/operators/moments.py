@@ -64,9 +64,9 @@ def by_block(ts: TimeSeries, bck: int, fwd: int, kernel: Callable[[np.ndarray, n
     Blocks stream through each task, which keeps one partial array; partial arrays are summed by position in Spark, so the driver gets one array, however many blocks there are.
     """
     keys = list(ts.keys)
-    df = ts.df if keys else with_halo(ts, bck, fwd)
-    group = F.xxhash64(*keys) if keys else F.col(BLOCK)
-    target = F.lit(True) if keys else F.col(BLOCK) == F.col(OWN)
+    df = with_halo(ts, bck, fwd)
+    group = F.xxhash64(*keys, BLOCK) if keys else F.col(BLOCK)
+    target = F.col(BLOCK) == F.col(OWN)
     rows = df.select(group.alias("g"), F.col(TICK).alias("t"), target.alias("target"), *(F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(ts.values)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

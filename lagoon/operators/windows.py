@@ -24,15 +24,14 @@ def with_halo(ts: TimeSeries, bck: int, fwd: int) -> DataFrame:
 
 
 def framed(ts: TimeSeries, bck: int, fwd: int) -> tuple[DataFrame, WindowSpec, WindowSpec]:
-    """Rows, the range frame of each row's window, and the ordering alone. Panels partition by key; a single series by halo block."""
-    df = ts.df if ts.keys else with_halo(ts, bck, fwd)
-    order = Window.partitionBy(*(ts.keys or (BLOCK,))).orderBy(TICK)
-    return df, order.rangeBetween(-bck, fwd), order
+    """Rows, the range frame of each row's window, and the ordering alone. Partitioned by halo block, and by key in a panel, so one long series of many is spread too."""
+    order = Window.partitionBy(*ts.keys, BLOCK).orderBy(TICK)
+    return with_halo(ts, bck, fwd), order.rangeBetween(-bck, fwd), order
 
 
 def owned(df: DataFrame) -> DataFrame:
     """Only targets, without replicas and block columns."""
-    return df.where(F.col(BLOCK) == F.col(OWN)).drop(BLOCK, OWN) if BLOCK in df.columns else df
+    return df.where(F.col(BLOCK) == F.col(OWN)).drop(BLOCK, OWN)
 
 
 def sliding_agg(ts: TimeSeries, aggregates: dict[str, Column], bck: int | None = None, fwd: int | None = None, target_filter: Column | str | None = None, window_filter: Column | str | None = None, full: int | None = None) -> DataFrame:
@@ -68,14 +67,13 @@ def sliding_kernel(ts: TimeSeries, kernel: Callable[[np.ndarray, np.ndarray], tu
     bck, fwd = ts.bck if bck is None else bck, ts.fwd if fwd is None else fwd
     keys, values = list(ts.keys), list(ts.values)
     names = [c.strip().split()[0] for c in schema.split(",")]
-    df = ts.df if keys else with_halo(ts, bck, fwd)
-    columns = [*keys, TICK, *values, *([] if keys else [BLOCK, OWN])]
+    df = with_halo(ts, bck, fwd)
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(TICK, kind="stable")
         t, v = block[TICK].to_numpy(), block[values].to_numpy()
         first, last = np.searchsorted(t, t - bck, "left"), np.searchsorted(t, t + fwd, "right")
-        target = np.ones(len(t), bool) if keys else (block[BLOCK] == block[OWN]).to_numpy()
+        target = (block[BLOCK] == block[OWN]).to_numpy()
         found = {i: r for i in np.flatnonzero(target) if (r := kernel(t[first[i] : last[i]], v[first[i] : last[i]])) is not None}
         out = block.iloc[list(found)][[*keys, TICK]].reset_index(drop=True)
         for n, column in zip(names, zip(*found.values(), strict=True) if found else [[]] * len(names), strict=True):
@@ -83,7 +81,7 @@ def sliding_kernel(ts: TimeSeries, kernel: Callable[[np.ndarray, np.ndarray], tu
         return out
 
     kinds = ", ".join(f"`{c}` {ts.df.schema[c].dataType.simpleString()}" for c in [*keys, TICK])
-    return df.select(*columns).groupBy(*(keys or [BLOCK])).applyInPandas(run, f"{kinds}, {schema}")
+    return df.select(*keys, TICK, *values, BLOCK, OWN).groupBy(*keys, BLOCK).applyInPandas(run, f"{kinds}, {schema}")
 
 
 def sliding_with_memory(ts: TimeSeries, kernel: Callable, init, schema: str, bck: int | None = None, fwd: int | None = None) -> DataFrame:

@@ -48,6 +48,19 @@ def test_kernel_and_fold(spark, block):
     assert total == pytest.approx(sum(np.ptp(x[(t >= a - 3) & (t <= a + 2)]) for a in t))
 
 
+@pytest.mark.parametrize("block", [3, 1000])
+def test_panels(spark, block):
+    rows = [(g, int(t), float(x)) for g in ("a", "b", None) for t, x in zip(SERIES["peers"], RNG.random(60), strict=True)]
+    df = spark.createDataFrame(rows, "g string, k long, v0 double").repartition(3)
+    ts = TimeSeries.from_df(df, "k", "v0", delta=1, bck=5, fwd=5, keys=("g",), block=block)
+    got = sorted((str(r["g"]), r["k"], round(r["s"], 9)) for r in windows.sliding_agg(ts, {"s": F.sum("v0")}, 2, 3).collect())
+    again = sorted((str(r["g"]), r[TICK], round(r["s"], 9)) for r in windows.sliding_kernel(ts, lambda a, v: (float(v.sum()),), "s double", 2, 3).collect())
+    want = sorted((str(g), t, round(sum(x for h, u, x in rows if h == g and t - 2 <= u <= t + 3), 9)) for g, t, _ in rows)
+    assert got == want == again
+    gram = moments.lag_gram(ts, 1)
+    assert gram.n == 180 and gram.total[0] == pytest.approx(sum(x for _, _, x in rows))
+
+
 def test_ones_in_a_symmetric_window(spark):
     """h rows at both edges have no full window; the fold of full ones is (2h + 1)(n - 2h)."""
     n, h = 800, 5
