@@ -26,13 +26,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     extra = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("copies"), F.max(F.expr("int(doc_id = component_id)")).alias("chosen"))
     told = cut_lineage(extra.where("chosen = 0 or copies > 1"))
     name = "_" + "_".join(docs.columns)  # clashes with no column
-    told = told.select(F.col("doc_id").alias(f"{name}_id"), F.struct("copies", "chosen").alias(name))
-    marked = docs.join(told, docs["doc_id"].cast("long") == told[f"{name}_id"], "left")
-    once = marked.where(F.col(name).isNull()).select(*(F.col(f"`{c}`") for c in docs.columns))
-    repeated = marked.where(F.col(f"{name}.chosen") == 1)
+    gone = told.select(F.col("doc_id").alias(name))
+    once = docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
+    repeated = told.where("chosen = 1 and copies > 1").select(F.col("doc_id").alias(name))
+    if repeated.isEmpty():  # else the texts need not be read and dealt a second time
+        return once
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    one = repeated.withColumn(f"{name}_n", F.row_number().over(first)).where(F.col(f"{name}_n") == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
-    return once.union(one)
+    several = docs.join(repeated, docs["doc_id"].cast("long") == repeated[name])
+    one = several.withColumn(f"{name}_n", F.row_number().over(first)).where(F.col(f"{name}_n") == 1)
+    return once.union(one.select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
