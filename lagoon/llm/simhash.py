@@ -80,27 +80,23 @@ def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def tile_links(fp: np.ndarray, pairs: list[tuple[int, int]] | None = None, radius: int = RADIUS, tile: int = TILE_ROWS) -> np.ndarray:
-    """A label for each row of fp, equal for rows joined by links; compares tile pairs (all, or those given by row offsets).
-
-    fp is in order of its population counts within each tile.
-    """
-    ones = np.bitwise_count(fp)
-    label, starts = np.arange(len(fp)), range(0, len(fp), tile)
-    for a, b in pairs or [(a, b) for a in starts for b in starts if a <= b]:
-        x, y = ones[a : a + tile], ones[b : b + tile]
-        if int(y.min()) - int(x.max()) > radius or int(x.min()) - int(y.max()) > radius:
-            continue
-        near = np.bitwise_count(fp[a : a + tile, None] ^ fp[None, b : b + tile]) <= radius
-        i, j = np.nonzero(near)
-        label = _joined(label, i + a, j + b)
-    return label
+def tile_pairs(fp: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, int]]:
+    """Offsets of the pairs of tiles that may hold links; fp is in order of its population counts."""
+    ones, starts = np.bitwise_count(fp).astype(int), range(0, len(fp), TILE_ROWS)
+    for a in starts:
+        most = ones[min(a + TILE_ROWS, len(fp)) - 1]
+        yield from ((a, b) for b in starts if b >= a and ones[b] - most <= radius)
+
+
+def compared(label: np.ndarray, fp: np.ndarray, a: int, b: int, radius: int = RADIUS) -> np.ndarray:
+    """Labels after joining the links between the tiles at a and b."""
+    i, j = np.nonzero(np.bitwise_count(fp[a : a + TILE_ROWS, None] ^ fp[None, b : b + TILE_ROWS]) <= radius)
+    return _joined(label, i + a, j + b)
 
 
-def _edges(fp: np.ndarray, rep: np.ndarray, pairs=None) -> pa.RecordBatch | None:
-    label = tile_links(fp, pairs)
-    below = label != np.arange(len(fp))
-    return _batch(rep[below], rep[label[below]]) if below.any() else None
+def _edges(rep: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    below = label != np.arange(len(rep))
+    return rep[below], rep[label[below]]
 
 
 def _batch(a, b, left=None, right=None) -> pa.RecordBatch:
@@ -121,15 +117,14 @@ def _blocks(masks: np.ndarray):
             order = np.argsort(np.bitwise_count(fp), kind="stable")
             fp, rep = fp[order], rep[order]
             if len(fp) <= SPLIT_ROWS:
-                if (out := _edges(fp, rep)) is not None:
-                    yield out
+                label = np.arange(len(fp))
+                for a, b in tile_pairs(fp):
+                    label = compared(label, fp, a, b)
+                yield _batch(*_edges(rep, label))
                 return
-            ones, starts = np.bitwise_count(fp).astype(int), range(0, len(fp), TILE_ROWS)
-            for a in starts:
-                for b in starts:
-                    if a <= b and ones[b] - ones[min(a + TILE_ROWS, len(fp)) - 1] <= RADIUS:
-                        left, right = (_packed(fp[x : x + TILE_ROWS], rep[x : x + TILE_ROWS]) for x in (a, b))
-                        yield _batch([None], [None], [left], [right])
+            for a, b in tile_pairs(fp):
+                left, right = (_packed(fp[x : x + TILE_ROWS], rep[x : x + TILE_ROWS]) for x in (a, b))
+                yield _batch([None], [None], [left], [right])
 
         for batch in batches:
             part, fp, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
@@ -150,19 +145,18 @@ def _blocks(masks: np.ndarray):
 
 
 def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within and between the two tiles of each row."""
     for batch in slices(batches, 1):
-        (a, ra), (b, rb) = (np.frombuffer(batch.column(x)[0].as_py(), np.int64).reshape(2, -1) for x in ("left", "right"))
-        fp, rep = np.concatenate([a, b]).view(np.uint64), np.concatenate([ra, rb])
-        ones = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= RADIUS if len(fp) <= 2 * TILE_ROWS else None
-        label = _joined(np.arange(len(fp)), *np.nonzero(ones))
-        below = label != np.arange(len(fp))
-        if below.any():
-            yield rows_out(a=(rep[below], pa.int64()), b=(rep[label[below]], pa.int64()))
+        tiles = [np.frombuffer(batch.column(x)[0].as_py(), np.int64).reshape(2, -1) for x in ("left", "right")]
+        fp, rep = np.concatenate([x[0] for x in tiles]).view(np.uint64), np.concatenate([x[1] for x in tiles])
+        label = _joined(np.arange(len(fp)), *np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= RADIUS))
+        a, b = _edges(rep, label)
+        yield rows_out(a=(a, pa.int64()), b=(b, pa.int64()))
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
+def links(nodes: DataFrame) -> DataFrame:
     """A spanning forest (a, b) of the links between nodes(fp, rep); fp distinct, rep its name."""
-    masks = block_masks(parts, radius)
+    masks = block_masks()
     signed = [int(np.uint64(m).view(np.int64)) for m in masks]
     keyed = nodes.select(F.posexplode(F.array(*[F.lit(m) for m in signed])).alias("part", "mask"), "fp", "rep")
     dealt = keyed.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).repartition("part", "key").sortWithinPartitions("part", "key")
