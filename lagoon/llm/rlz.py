@@ -65,22 +65,23 @@ def windows(words: list[bytes], known: WordHashes) -> Iterator[tuple[int, np.nda
 
 
 def whole(text: bytes) -> np.uint64:
-    """The name of a whole word sequence, told from anchors by its seed."""
+    """The name of a whole word sequence."""
     return np.uint64(xxhash.xxh64_intdigest(b" ".join(text.split()), 7))
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
     for part in slices(batches):
-        ids, found = [], []
+        ids, found, sizes = [], [], []
         for doc, text in zip(part.column(0).to_numpy(), as_bytes(part.column(1)), strict=True):
             words = text.split()
             if len(words) >= WINDOW:
-                own = np.unique(np.concatenate([[whole(text)], *(a for _, a, _ in windows(words, known))]).astype(np.uint64))
-                ids.append(np.full(len(own), doc))
-                found.append(own)
+                own = np.unique(np.concatenate([a for _, a, _ in windows(words, known)]))
+                ids.append(np.full(len(own) + 1, doc))
+                found += [[whole(text)], own]
+                sizes += [[len(own)], np.zeros(len(own), np.int64)]
         if ids:
-            yield rows_out(anchor=(np.concatenate(found).view(np.int64), pa.int64()), doc=(np.concatenate(ids), pa.int64()))
+            yield rows_out(anchor=(np.concatenate(found).astype(np.uint64).view(np.int64), pa.int64()), doc=(np.concatenate(ids), pa.int64()), size=(np.concatenate(sizes), pa.int64()))
 
 
 def _lists(part: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
@@ -90,14 +91,17 @@ def _lists(part: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
 
 
 def _states(part: pa.RecordBatch, known: WordHashes):
-    """For each row: its words, and None (nothing removed), "copy", or windows with what its lists say of them."""
-    for doc, text, only, first in zip(part.column("doc_id"), as_bytes(part.column("text")), _lists(part, "only"), _lists(part, "first"), strict=True):
+    """For each row: its words, and None (nothing is shared), "copy" (of a smaller document), or windows with what its lists say of them."""
+    for doc, alone, text, only, first in zip(part.column("doc_id"), part.column("alone").to_pylist(), as_bytes(part.column("text")), _lists(part, "only"), _lists(part, "first"), strict=True):
         words = text.split()
         if not doc.is_valid or len(words) < WINDOW:
             yield words, None
             continue
         name = whole(text)
-        yield words, windows_of(words, known, only, first) if (name == only).any() or (name == first).any() else "copy"
+        if not ((name == only).any() or (name == first).any()):
+            yield words, "copy"
+        else:
+            yield words, None if alone else windows_of(words, known, only, first)
 
 
 def windows_of(words, known, only, first):
@@ -160,12 +164,15 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    anchors = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_anchors, "anchor long, doc long")
-    index = anchors.groupBy("anchor").agg(F.min("doc").alias("doc_id"), F.max("doc").alias("last"))
+    anchors = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_anchors, "anchor long, doc long, size long")
+    # rows that name a whole text have the number of its anchors as their size; rows of anchors have none
+    index = anchors.groupBy("anchor").agg(F.min("doc").alias("doc_id"), F.max("doc").alias("last"), F.max("size").alias("size"))
     lists = cut_lineage(
         index.groupBy("doc_id").agg(
             F.collect_list(F.expr("if(doc_id = last, anchor, null)")).alias("only"),
             F.collect_list(F.expr("if(doc_id < last, anchor, null)")).alias("first"),
+            # whether nobody else has any anchor of its texts (those that it is the first with)
+            (F.sum(F.expr("int(size = 0 and doc_id = last)")) >= F.sum("size")).alias("alone"),
         )
     )
     told = docs.join(lists, "doc_id", "left")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lagoon.llm import rlz, simhash
 from lagoon.llm.common import components, window_hashes
-from tests.llm.cases import documents, frame, rows_of
+from tests.llm.cases import documents, frame, prose, rows_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -117,6 +117,13 @@ def test_duplicate_spans_match_brute_force(spark):
     assert rows_of(removed(rlz.duplicate_spans(frame(spark)))) == plain_dedup(documents())
 
 
+def test_one_doc_id_with_several_texts(spark):
+    rng = __import__("random").Random(9)
+    a, b, c = (prose(rng, n) for n in (70, 120, 90))
+    docs = [(1, a, None, None, 0), (5, a, None, None, 0), (5, b, None, None, 0), (5, c, None, None, 0), (5, c, None, None, 0), (7, c + " x " + b, None, None, 0), (3, b[:500], None, None, 0)]
+    assert rows_of(removed(rlz.duplicate_spans(frame(spark, docs)))) == plain_dedup(docs)
+
+
 def test_segments_do_not_change_the_result(spark, monkeypatch):
     known = rlz.WordHashes()
     words = (documents()[20][1] * 3).encode().split()
