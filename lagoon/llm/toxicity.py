@@ -6,8 +6,8 @@
    nothing (a separator, a repeat). Viterbi finds the likeliest letters under the character model and
    the channel's costs.
 3. A classifier over restored words and their beginnings, learned from a bounded sample of labelled rows
-   (SAMPLE_ROWS, by hash of doc_id), whose features must pass a likelihood-ratio test. A row's
-   probability is a logistic function of the weights of its distinct features.
+   (SAMPLE_ROWS, by hash of doc_id). Features must pass a likelihood-ratio test and explain toxic rows
+   that better ones leave unexplained; a logistic regression weighs them.
 
 Defined cases: null text is empty and has the score of a text without features; without labels of both
 kinds every score is 0; a row with a null doc_id is scored and not learned from; repeated rows get equal
@@ -28,8 +28,12 @@ from pyspark.sql import functions as F
 from lagoon.llm.common import as_bytes, crc_bucket, cut_lineage, id_and_text, rows_out, slices
 
 SAMPLE_ROWS = 16000
-MIN_RATIO = 26.0
-MIN_ROWS = 5
+#: Chance that any of the features without meaning passes the likelihood-ratio test, and the rows that a feature needs.
+ALPHA = 0.1
+MIN_ROWS = 4
+#: Features, best first, that are looked at together, and how many must explain a toxic row.
+MAX_CANDIDATES = 20_000
+COVERED = 3
 PREFIXES = (4, 5)
 KEPT_TOKENS = 200_000
 #: Characters and the letters that they imitate.
@@ -141,27 +145,61 @@ def sample_labels(labels: DataFrame, id_col: str, label_col: str, rows: int) ->
 
 
 class Model:
-    def __init__(self, cost: np.ndarray, weights: dict[int, float], slope: float, shift: float):
-        self.cost, self.weights, self.slope, self.shift = cost, weights, slope, shift
+    """Weights of features, and the shift of the logistic function."""
 
-    def raw(self, found) -> float:
-        return math.fsum(sorted(self.weights[f] for f in found if f in self.weights))
+    def __init__(self, cost: np.ndarray, weights: dict[int, float], shift: float):
+        self.cost, self.weights, self.shift = cost, weights, shift
 
     def score(self, found) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * self.raw(found) + self.shift))))
-
-
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1.0) -> tuple[float, float]:
-    """Slope and shift by Newton's method, the slope kept small by a ridge."""
-    a, w = np.stack([x, np.ones_like(x)], 1), np.zeros(2)
+        raw = math.fsum(self.weights[f] for f in found if f in self.weights) + self.shift
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, raw))))
+
+
+def likelihood_ratio(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Twice the log likelihood ratio of a feature in c1 of n1 toxic and c0 of n0 other rows; 0 unless it is commoner in toxic ones."""
+    c1, c0 = np.asarray(c1, float), np.asarray(c0, float)
+    share = (c1 + c0) / max(n1 + n0, 1)
+    total = np.zeros(len(c1))
+    for o, e in ((c1, n1 * share), (c0, n0 * share), (n1 - c1, n1 * (1 - share)), (n0 - c0, n0 * (1 - share))):
+        total += np.where(o > 0, o * np.log(np.maximum(o, 1) / np.maximum(e, 1e-12)), 0.0)
+    return np.where(c1 * n0 > c0 * n1, 2 * total, 0.0)
+
+
+def cover(rows: list[np.ndarray], label: np.ndarray, features: int, least: float) -> list[int]:
+    """Features that explain the toxic rows: the best by likelihood ratio over the rows not yet covered, again and again.
+
+    A row is covered by COVERED of them, so the many odd words that copies of one toxic text share are not taken for its cause.
+    """
+    at = np.repeat(np.arange(len(rows)), list(map(len, rows)))
+    flat = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
+    toxic = label[at] == 1
+    c0, n0 = np.bincount(flat[~toxic], minlength=features), int((label == 0).sum())
+    at, flat, need = at[toxic], flat[toxic], np.where(label == 1, COVERED, 0)
+    chosen: list[int] = []
+    while True:
+        c1 = np.bincount(flat, minlength=features)
+        ratio = likelihood_ratio(c1, c0, int((need > 0).sum()), n0)
+        ratio[c1 < MIN_ROWS] = 0
+        best = int(np.argmax(ratio)) if features else 0
+        if not features or ratio[best] < least:
+            return chosen
+        chosen.append(best)
+        need[at[flat == best]] -= 1
+        left = (need[at] > 0) & (flat != best)
+        at, flat = at[left], flat[left]
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 100) -> np.ndarray:
+    """Weights and, last, the shift, by Newton's method with a ridge."""
+    a = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    w, keep = np.zeros(a.shape[1]), np.full(a.shape[1], ridge)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = a.T @ (a * (p * (1 - p))[:, None]) + np.diag([ridge, 1e-3])
-        move = np.linalg.solve(h, a.T @ (y - p) - np.array([ridge, 1e-3]) * w)
-        w += move
-        if np.abs(move).max() < 1e-9:
+        move = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + np.diag(keep), a.T @ (y - p) - keep * w)
+        w += np.clip(move, -2, 2)
+        if np.abs(move).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> Model | None:
@@ -180,29 +218,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     chosen = docs.sparkSession.createDataFrame([(k, v) for k, v in sorted(known.items())], "doc_id long, label int")
     texts = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
-    seen = cut_lineage(texts.mapInArrow(featured, "label int, found array<long>"))
+    # one text counts once, however many copies the sample has of it
+    seen = cut_lineage(texts.mapInArrow(featured, "label int, found array<long>").dropDuplicates(["label", "found"]))
     n0, n1 = (seen.where(F.col("label") == x).count() for x in (0, 1))
     if not n0 or not n1:
         return None
     each = seen.select("label", F.explode("found").alias("feature")).groupBy("feature")
     count = each.agg(F.sum(F.expr("int(label = 1)")).alias("c1"), F.sum(F.expr("int(label = 0)")).alias("c0"))
-    weights = {}
-    for f, c1, c0 in count.where(f"c1 >= {MIN_ROWS} and c1 * {n0} > c0 * {n1}").collect():
-        share = (c1 + c0) / (n1 + n0)
-        if share < 1:
-            parts = ((c1, n1 * share), (c0, n0 * share), (n1 - c1, n1 * (1 - share)), (n0 - c0, n0 * (1 - share)))
-            if 2 * sum(o * math.log(o / e) for o, e in parts if o) >= MIN_RATIO:
-                weights[f] = math.log((c1 + 0.5) / (n1 + 1)) - math.log((c0 + 0.5) / (n0 + 1))
-    model = Model(cost, weights, 1.0, 0.0)
-
-    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = np.array(count.where(f"c1 >= {MIN_ROWS} and c1 * {n0} > c0 * {n1}").collect(), np.int64).reshape(-1, 3)
+    ratio = likelihood_ratio(found[:, 1], found[:, 2], n1, n0)
+    order = np.lexsort((found[:, 0], -ratio))[:MAX_CANDIDATES]
+    least = 2 * math.log(max(len(found), 1) / ALPHA)  # for as many tests as there are features
+    names = found[order[ratio[order] >= least], 0].tolist()
+    number = {f: i for i, f in enumerate(names)}
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            yield rows_out(label=(part.column(0), pa.int32()), raw=([model.raw(x) for x in part.column(1).to_pylist()], pa.float64()))
-
-    pairs = sorted(map(tuple, seen.mapInArrow(valued, "label int, raw double").collect()))  # at most `rows`, and repeats of their ids
-    y, x = np.array(pairs, float).T
-    model.slope, model.shift = logistic(x, y)
-    return model
+            rows = [[number[f] for f in x if f in number] for x in part.column(1).to_pylist()]
+            yield rows_out(label=(part.column(0), pa.int32()), found=(rows, pa.list_(pa.int64())))
+
+    pairs = sorted((r["label"], r["found"]) for r in seen.mapInArrow(numbered, "label int, found array<long>").collect())  # at most `rows`, and repeats of their ids
+    label, sets = np.array([y for y, _ in pairs]), [np.array(x, np.int64) for _, x in pairs]
+    chosen = cover(sets, label, len(names), least)
+    x = np.stack([np.isin(chosen, s) for s in sets]).astype(float) if chosen else np.zeros((len(sets), 0))
+    w = logistic(x, label.astype(float))
+    return Model(cost, {names[c]: float(v) for c, v in zip(chosen, w[:-1], strict=True)}, float(w[-1]))
 
 
 def _scores(model: Model | None):

@@ -199,6 +199,19 @@ def test_restoration_of_disguised_words(spark):
     assert features.of(b"") == set()
 
 
+def test_cover_prefers_causes_to_odd_words_of_copies():
+    rng = np.random.default_rng(0)
+    rows, label = [], []
+    for i in range(600):
+        bad = i % 3 == 0
+        causes = rng.choice(6, 3, replace=False) if bad else []
+        odd = [100 + k for k in range(20)] if bad and i < 90 else []  # near copies of one toxic text
+        rows.append(np.array([*causes, *odd, *(200 + rng.choice(50, 5, replace=False))], np.int64))
+        label.append(int(bad))
+    assert sorted(toxicity.cover(rows, np.array(label), 250, 20.0)) == list(range(6))
+    assert toxicity.cover([], np.array([], int), 0, 20.0) == []
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rng = __import__("random").Random(2)
     docs, labels = [], []
