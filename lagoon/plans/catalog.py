@@ -6,6 +6,8 @@ values are taken in decimals, so that both engines get the same doubles; other r
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -658,6 +660,7 @@ def _streamed(spark, sf_dir):
 
 def _run(df: DataFrame, name: str) -> DataFrame:
     """All that a bounded stream gives, from a table in memory."""
+    name = f"{name}_{uuid.uuid4().hex}"
     q = df.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
