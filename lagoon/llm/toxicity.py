@@ -17,6 +17,7 @@ scores; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,7 @@ KEPT_TOKENS = 200_000
 #: Characters and the letters that they imitate.
 IMITATES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 SEPARATORS = set(".-_*'~,:;/\\\"^` ")
+THRICE = re.compile(r"(.)\1\1").search
 COST_IMITATE, COST_DROP, COST_REPEAT, COST_KEEP_REPEAT = 1.0, 0.5, 0.2, 0.8
 
 #: Character classes of the model: 0 other, 1..26 letters, 27 letters beyond a-z.
@@ -68,12 +70,11 @@ def char_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 def disguised(token: str) -> bool:
     """Whether letters are mixed with characters that imitate or separate them, or a character is repeated thrice."""
-    letters = sum(map(str.isalpha, token))
-    if not letters or len(token) < 3:
+    if len(token) < 3:
         return False
-    if letters == len(token):
-        return any(a == b == c for a, b, c in zip(token, token[1:], token[2:], strict=False))
-    return any(x in IMITATES or x in SEPARATORS for x in token)
+    if token.isalpha():
+        return THRICE(token) is not None
+    return any(map(str.isalpha, token)) and any(x in IMITATES or x in SEPARATORS for x in token)
 
 
 def restore(token: str, cost: list) -> str:
@@ -105,10 +106,10 @@ def feature(kind: str, word: str) -> int:
 
 
 class Features(dict):
-    """Token to the features of the restored word; bounded."""
+    """Token to the features of the restored word, or to those of them that are wanted; bounded."""
 
-    def __init__(self, cost: np.ndarray):
-        self.cost = cost.tolist()
+    def __init__(self, cost: np.ndarray, wanted=None):
+        self.cost, self.wanted = cost.tolist(), wanted
 
     def __missing__(self, token: bytes) -> tuple[int, ...]:
         if len(self) >= KEPT_TOKENS:
@@ -121,9 +122,9 @@ class Features(dict):
         self[token] = found
         return found
 
-    @staticmethod
-    def named(word: str) -> tuple[int, ...]:
-        return (feature("w", word), *(feature("p", word[:n]) for n in PREFIXES if len(word) >= n)) if word else ()
+    def named(self, word: str) -> tuple[int, ...]:
+        found = (feature("w", word), *(feature("p", word[:n]) for n in PREFIXES if len(word) >= n)) if word else ()
+        return found if self.wanted is None else tuple(f for f in found if f in self.wanted)
 
     def of(self, text: bytes) -> set[int]:
         tokens = text.split()
@@ -250,7 +251,7 @@ def _scores(model: Model | None):
         if model is None:
             return [0.0] * len(texts)
         if not _kept or _kept[0] is not model:
-            _kept[:] = [model, Features(model.cost)]
+            _kept[:] = [model, Features(model.cost, model.weights)]
         return [model.score(_kept[1].of(x)) for x in texts]
 
     return run
