@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lagoon.llm import packing, quality, rlz, simhash, toxicity
+from lagoon.llm import nearcopies, packing, quality, rlz, toxicity
 from lagoon.llm.common import cut_lineage, table
 
 
@@ -22,7 +22,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest doc_id of each class; of rows that repeat it, one. Rows with a null doc_id stay."""
-    found = cut_lineage(simhash.classes(docs))
+    found = cut_lineage(nearcopies.classes(docs))
     extra = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("copies"), F.max(F.expr("int(doc_id = component_id)")).alias("chosen"))
     told = cut_lineage(extra.where("chosen = 0 or copies > 1"))
     name = "_" + "_".join(docs.columns)  # clashes with no column
