@@ -98,7 +98,7 @@ def suffixes(df: DataFrame) -> DataFrame:
 def verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages."""
     rows = judged(pages, id_col, url_col)
-    sample = rows.drop("page_id").where("url is not null").orderBy(F.xxhash64("url"), "url").limit(2 * SAMPLE_ROWS).distinct()
+    sample = rows.drop("page_id").where("url is not null").dropDuplicates(["url"])  # before the limit, which repeats would use up
     seeded = reduce(lambda a, b: a | b, [F.col("host").contains(x) for x in SEED_TERMS])
     blocked = F.coalesce(F.col("rule_verdict") == "block", seeded).cast("double")
     sample = cut_lineage(suffixes(sample.orderBy(F.xxhash64("url"), "url").limit(SAMPLE_ROWS)).withColumn("blocked", blocked).coalesce(1))

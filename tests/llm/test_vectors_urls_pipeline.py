@@ -67,6 +67,20 @@ def test_url_rules_and_verdicts(spark):
     assert urls.verdicts(df.limit(0)).collect() == []
 
 
+def test_url_sample_is_of_distinct_urls(spark, monkeypatch):
+    monkeypatch.setattr(urls, "SAMPLE_ROWS", 100)
+    each = [f"https://{'casino-win' if i % 2 else 'site' + str(i)}.example.edu/x/{i}" for i in range(100)]
+    by_hash = [r["u"] for r in spark.createDataFrame([(u,) for u in each], "u string").orderBy(F.xxhash64("u"), "u").collect()]
+    first = next(u for u in by_hash if "casino" not in u)
+    before = by_hash[: by_hash.index(first)]
+    rows = each + [first] * 400 + [u for u in before for _ in range(20)]  # a hot URL, and groups of repeats
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string").repartition(3)
+    got = {r["page_id"]: r["verdict"] for r in urls.verdicts(df).collect()}
+    assert got == {i: "block" if "casino" in u else "allow" for i, u in enumerate(rows)}
+    hot = spark.createDataFrame(list(enumerate([by_hash[0]] * 400 + each)), "page_id long, url string")
+    assert {r["verdict"] for r in urls.verdicts(hot).collect()} == {"allow", "block"}
+
+
 def test_near_copies_leave_one_of_each_class(spark):
     docs = documents()
     kept = stages.drop_near_copies(spark, frame(spark), "")
