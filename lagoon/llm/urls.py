@@ -5,7 +5,7 @@ Native: only DataFrame functions and Spark's own tree learner, no Python on exec
 Learned from labelled URLs: a bounded sample (SAMPLE_ROWS distinct URLs, by hash) of all rows, where a
 rule's verdict is the label, or else whether the host holds one of SEED_TERMS. Features: lengths, depth,
 digit share, entropy of the characters, parameter counts, and suffix statistics (how often the host's
-last label and last two labels occur in the sample; at most SAMPLE_ROWS rows, so they may be broadcast).
+last label and last two labels occur, over all rows; joined by a shuffle above SAMPLE_ROWS values).
 
 Defined cases: a null URL, or one without ://, has an empty host and path, fits no rule and is judged by
 the trees; with labels of one kind only, or no rows, every such verdict is that kind (allow); repeated
@@ -95,6 +95,14 @@ def suffixes(df: DataFrame) -> DataFrame:
     return df.withColumns({"suffix1": F.substring_index("host", ".", -1), "suffix2": F.substring_index("host", ".", -2)})
 
 
+def suffix_counts(rows: DataFrame) -> dict[str, DataFrame]:
+    """For suffix1 and suffix2: each value and the logarithm of its count over all rows; broadcast only if it has few values."""
+    two = cut_lineage(suffixes(rows).groupBy("suffix2").agg(F.count("*").alias("n")))
+    one = cut_lineage(two.groupBy(F.substring_index("suffix2", ".", -1).alias("suffix1")).agg(F.sum("n").alias("n")))
+    found = {c: (df.select(c, F.log1p(F.col("n").cast("double")).alias(f"f_{c}")), df.count()) for c, df in (("suffix1", one), ("suffix2", two))}
+    return {c: F.broadcast(df) if n <= SAMPLE_ROWS else df for c, (df, n) in found.items()}
+
+
 def verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages."""
     rows = judged(pages, id_col, url_col)
@@ -106,7 +114,7 @@ def verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") ->
     if len(kinds) < 2:
         only = F.lit("block" if kinds == [1.0] else "allow")
         return rows.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", only).alias("verdict"))
-    stats = {c: F.broadcast(cut_lineage(sample.groupBy(c).agg(F.log1p(F.count("*").cast("double")).alias(f"f_{c}")).coalesce(1))) for c in ("suffix1", "suffix2")}  # SAMPLE_ROWS rows at most
+    stats = suffix_counts(rows)
 
     def featured(df: DataFrame) -> DataFrame:
         df, names = lexical(suffixes(df))

@@ -81,6 +81,29 @@ def test_url_sample_is_of_distinct_urls(spark, monkeypatch):
     assert {r["verdict"] for r in urls.verdicts(hot).collect()} == {"allow", "block"}
 
 
+def test_suffix_statistics_cover_all_rows(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    class Learner:
+        def __init__(self, **_):
+            pass
+
+        def fit(self, df):
+            raise Seen([tuple(r["features"].toArray()[-2:].round(9).tolist()) for r in df.collect()])
+
+    monkeypatch.setattr(urls, "SAMPLE_ROWS", 20)
+    monkeypatch.setattr(urls, "GBTClassifier", Learner)
+    rows = [f"https://{'casino' if i % 2 else 'site'}.h{i % 30}.edu/{i}" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string").repartition(3)
+    try:
+        urls.verdicts(df)
+    except Seen as e:
+        assert e.args[0] == [(round(math.log1p(300), 9), round(math.log1p(10), 9))] * 20
+    else:
+        raise AssertionError("nothing was learned")
+
+
 def test_near_copies_leave_one_of_each_class(spark):
     docs = documents()
     kept = stages.drop_near_copies(spark, frame(spark), "")
