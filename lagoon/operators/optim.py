@@ -153,7 +153,7 @@ def fit_var_l1(ts: TimeSeries, p: int, lam: float, precision: float = 1e-6, max_
     return VectorModel(l1_descent(problem, first.ar, lambda i: _ar_step(problem), lam, precision, max_iter, truncate), [], first.noise)
 
 
-def fit_vma_gd(ts: TimeSeries, q: int, precision: float = 1e-4, max_iter: int = 20, mean=None, depth: int | None = None) -> VectorModel:
+def fit_vma_gd(ts: TimeSeries, q: int, precision: float = 1e-4, max_iter: int = 100, mean=None, depth: int | None = None) -> VectorModel:
     """Gradient descent from the innovations estimate; two ordered scans for each step."""
     first = fit_vma(ts, q, mean, depth)
     problem = MALoss(ts, q, np.diag(first.noise), mean_of(ts) if mean is None else mean)

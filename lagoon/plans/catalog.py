@@ -390,7 +390,7 @@ QUERIES |= {
     "var_gradient_descent": _model(lambda ts: optim.fit_var_gd(ts, 2)),
     "var_l1_descent": _model(lambda ts: optim.fit_var_l1(ts, 2, 0.05)),
     "var_l1_truncated": _model(lambda ts: optim.fit_var_l1(ts, 2, 0.05, truncate=0.2)),
-    "vma_gradient_descent": _model(lambda ts: optim.fit_vma_gd(ts, 1, max_iter=2, depth=10)),
+    "vma_gradient_descent": _model(lambda ts: optim.fit_vma_gd(ts, 1, depth=20)),
 }
 
 
