@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that an Arrow kernel turns into Python objects at once.
@@ -19,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; a temporary one only where none is set."""
+    """The checkpoint folder that the session names. Where none is set, a temporary one, but only if there are no executors on other machines."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lagoon-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lagoon-"))
     return sc.getCheckpointDir()
 
 
@@ -38,6 +42,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(*frames: DataFrame) -> None:
+    """Delete the files that cut_lineage wrote for frames that nothing will read again."""
+    for df in frames:
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            remove(df.sparkSession, file.get())
+
+
+def share_of_rows(column: Column, count: int, rows: int) -> Column:
+    """Whether a value is among the about `rows` of `count` values whose hashes are smallest: a sample that needs no sort."""
+    parts = 1 << 30
+    return F.pmod(F.xxhash64(column), F.lit(parts)) < max(1, min(parts, rows * parts // max(count, 1)))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator reads, so no other column can clash. A null text is empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -91,23 +109,33 @@ def components(edges: DataFrame) -> DataFrame:
         up = cut(both.groupBy("node").agg(F.min("up").alias("up")), "node")
         for _ in range(2):
             far = up.select(F.col("node").alias("up"), F.col("up").alias("far"))
-            up = cut(up.join(far, "up", "left").select("node", F.coalesce("far", "up").alias("up")), "node")
+            up, old = cut(up.join(far, "up", "left").select("node", F.coalesce("far", "up").alias("up")), "node"), up
+            forget(old)
         step = up.select(F.col("node").alias("root"), F.col("up").alias("new"))
-        label = cut(label.join(step, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "node")
+        label, old = cut(label.join(step, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "node"), label
         left = up.select(F.col("node").alias("a"), F.col("up").alias("ra"))
         right = up.select(F.col("node").alias("b"), F.col("up").alias("rb"))
-        edges = cut_lineage(ordered(edges.join(left, "a").join(right, "b").where("ra <> rb"), "ra", "rb"))
+        edges, last = cut_lineage(ordered(edges.join(left, "a").join(right, "b").where("ra <> rb"), "ra", "rb")), edges
+        forget(old, last, up)
+    forget(edges)
     least = cut(label.groupBy("root").agg(F.min("node").alias("least")), "root")
     return label.join(least, "root").select("node", F.col("least").alias("root"))
 
 
+#: Powers that a process keeps; longer tables are made anew for each text.
+KEPT_POWERS = 1 << 18
+
+
 def powers(base: int, n: int, _kept: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
-    """base**i and base**-i modulo 2**64 for i < n; base is odd. Kept per process and grown by doubling."""
-    if base not in _kept or len(_kept[base][0]) < n:
-        size = 1 << max(12, int(n).bit_length())
+    """base**i and base**-i modulo 2**64 for i < n; base is odd. Kept in the process up to KEPT_POWERS, grown by doubling."""
+    found = _kept.get(base)
+    if found is None or len(found[0]) < n:
+        size = max(1 << 12, 1 << int(n).bit_length())
         inverse = pow(base, -1, 1 << 64)
-        _kept[base] = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (base, inverse))
-    return _kept[base][0][:n], _kept[base][1][:n]
+        found = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (base, inverse))
+        if size <= KEPT_POWERS:
+            _kept[base] = found
+    return found[0][:n], found[1][:n]
 
 
 def window_hashes(words: np.ndarray, width: int, base: int) -> np.ndarray:
@@ -125,3 +153,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def frugal(kernel: Callable) -> Callable:
+    """An Arrow kernel whose process gives freed memory back to the system at the end of each task: Spark keeps idle workers, and allocators keep what they have freed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)

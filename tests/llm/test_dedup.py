@@ -117,6 +117,55 @@ def test_duplicate_spans_match_brute_force(spark):
     assert rows_of(removed(rlz.duplicate_spans(frame(spark)))) == plain_dedup(documents())
 
 
+def check_factors(docs, rows):
+    """Every factor's words stand at its reference in a smaller document, and the factors cover what is removed."""
+    texts = {}
+    for r in docs:
+        texts.setdefault(r[0], []).append(WORD.findall(r[1] or ""))
+    n = 0
+    for r in rows:
+        words, covered = WORD.findall(r["text"]), set()
+        for start, length, doc, at in r["factors"]:
+            assert length >= 50 and doc < r["doc_id"]
+            assert any(w[at : at + length] == words[start : start + length] for w in texts[doc])
+            covered.update(range(start, start + length))
+            n += 1
+        assert covered == {i for a, b in zip(r["starts"], r["ends"], strict=True) for i in range(a, b)}
+    return n
+
+
+def test_factors_match_their_references(spark):
+    assert check_factors(documents(), rlz.duplicate_spans(frame(spark)).collect()) > 15
+
+
+def test_factors_of_edited_and_woven_texts(spark):
+    rng = __import__("random").Random(17)
+    base = [prose(rng, 400) for _ in range(6)]
+    docs = [(10 * i, x, None, None, 0) for i, x in enumerate(base)]
+    for i in range(60):
+        words = []
+        for _ in range(rng.randint(1, 5)):  # pieces of several references, one after the other
+            source = rng.choice(base).split()
+            a = rng.randrange(300)
+            words += source[a : a + rng.randint(40, 130)]
+        if i % 3 == 0:
+            words[rng.randrange(len(words))] = "edited"
+        docs.append((100 + rng.randrange(10_000), " ".join(words), None, None, 0))
+    docs += [(50_000, "round and " * 200, None, None, 0), (50_001, "x " + "round and " * 300, None, None, 0)]
+    rows = rlz.duplicate_spans(frame(spark, docs)).collect()
+    assert check_factors(docs, rows) > 60
+    assert sorted(((r["doc_id"], r["n_words"], sum(b - a for a, b in zip(r["starts"], r["ends"], strict=True))) for r in rows), key=repr) == [x[:3] for x in plain_dedup(docs)]
+
+
+def test_greedy_parse():
+    none = rlz.factors(np.zeros(3, np.int64), np.zeros(3, np.int64), np.zeros(3, bool))
+    assert none == [] and rlz.spans(none) == ([], [])
+    doc, at = np.array([0, 4, 4, 4, 7, 7, 0, 7]), np.array([0, 9, 10, 30, 31, 32, 0, 34])
+    found = rlz.factors(doc, at, np.array([0, 1, 1, 1, 1, 1, 0, 1], bool))
+    assert found == [(1, 51, 4, 9), (3, 50, 4, 30), (4, 51, 7, 31), (7, 50, 7, 34)]
+    assert rlz.spans(found) == ([1], [57])
+
+
 def test_one_doc_id_with_several_texts(spark):
     rng = __import__("random").Random(9)
     a, b, c = (prose(rng, n) for n in (70, 120, 90))
