@@ -37,9 +37,15 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df to the shared folder (a checkpoint) and go on from there.
+
+    A checkpoint inherits the size that was estimated for df, a product over all joins since the tables. Over rounds of
+    joins such a number gets so many digits that planning takes minutes, so the result starts without one.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    done = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().analyzed().rdd(), done.schema(), False), spark)
 
 
 def forget(*frames: DataFrame) -> None:
@@ -88,37 +94,33 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b), both long and not null: rows (node, root), root the smallest node reachable.
 
     Hook and contract over hashed names (a bijection of 64 bits, so that runs of ascending ids make no
-    long chains): each round points every name to its smallest neighbour, follows the pointers twice and
-    relabels the edges. All state stays in DataFrames that are cut each round. Each is dealt by its key
-    first, so that a cut plan carries no partitioning of the joins before it, and every later join has
-    plain exchanges below it, whose hot roots AQE can split.
+    long chains): each round points every name to its smallest neighbour, follows the pointers once more and
+    relabels the edges. All state stays in DataFrames that are cut each round, and a cut plan carries no
+    partitioning, so every later join has plain exchanges below it, whose hot roots AQE can split.
     """
 
-    def cut(df: DataFrame, *keys: str) -> DataFrame:
-        return cut_lineage(df.repartition(*keys))
-
     def ordered(df: DataFrame, a: str, b: str) -> DataFrame:
         return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
-    edges = edges.where("a <> b")
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    label = cut(nodes.select("node", F.xxhash64("node").alias("root")), "root")
-    edges = cut_lineage(ordered(edges.select(F.xxhash64("a").alias("x"), F.xxhash64("b").alias("y")), "x", "y"))
+    given = cut_lineage(edges.where("a <> b").select("a", "b").distinct())
+    label = given.select(F.col("a").alias("node")).union(given.select("b")).distinct().select("node", F.xxhash64("node").alias("root"))
+    edges = given.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    rounds = 0
     while not edges.isEmpty():
-        both = edges.select(F.col("b").alias("node"), F.col("a").alias("up")).union(edges.select("a", "a"))
-        up = cut(both.groupBy("node").agg(F.min("up").alias("up")), "node")
-        for _ in range(2):
-            far = up.select(F.col("node").alias("up"), F.col("up").alias("far"))
-            up, old = cut(up.join(far, "up", "left").select("node", F.coalesce("far", "up").alias("up")), "node"), up
-            forget(old)
-        step = up.select(F.col("node").alias("root"), F.col("up").alias("new"))
-        label, old = cut(label.join(step, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "node"), label
+        both = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("up")).union(edges.select(F.least("a", "b"), F.least("a", "b")))
+        near = cut_lineage(both.groupBy("node").agg(F.min("up").alias("up")))
+        far = near.select(F.col("node").alias("up"), F.col("up").alias("far"))
+        up = cut_lineage(near.join(far, "up", "left").select("node", F.coalesce("far", "up").alias("up")))
         left = up.select(F.col("node").alias("a"), F.col("up").alias("ra"))
         right = up.select(F.col("node").alias("b"), F.col("up").alias("rb"))
         edges, last = cut_lineage(ordered(edges.join(left, "a").join(right, "b").where("ra <> rb"), "ra", "rb")), edges
-        forget(old, last, up)
-    forget(edges)
-    least = cut(label.groupBy("root").agg(F.min("node").alias("least")), "root")
+        step = up.select(F.col("node").alias("root"), F.col("up").alias("new"))
+        label, rounds = label.join(step, "root", "left").select("node", F.coalesce("new", "root").alias("root")), rounds + 1
+        if rounds % 3 == 0:
+            label = cut_lineage(label)
+        forget(near, *([last] if rounds > 1 else []))
+    label = cut_lineage(label)
+    least = cut_lineage(label.groupBy("root").agg(F.min("node").alias("least")))
     return label.join(least, "root").select("node", F.col("least").alias("root"))
 
 

@@ -1,18 +1,25 @@
 """Near copies of the pipeline's stage: word 5-shingle sets with a Jaccard similarity of 0.8 or more, exactly.
 
-Every pair in scope is found, by prefix filtering: with all shingles in one order, two sets of similarity
-NUM / DEN or more share one of their first n - ceil(n * NUM / DEN) + 1 shingles. Those are the block keys;
-pairs whose sizes or places rule out the similarity are skipped, and each other pair is confirmed on its
-texts before it links. The order puts shingles that are common in a bounded sample last. It decides only
-how many pairs are looked at, never the result.
+SimHash comes first: fingerprints over the 5-word shingles, linked by the tiles of `simhash`, and each link
+confirmed on the texts. That joins most classes at little cost, but 64 bits can't tell a similarity of 0.8
+from one below (such pairs differ in some 10 bits, and so do many others), so the classes are completed by
+prefix filtering, which loses no pair: with all shingles in one order, two sets of similarity NUM / DEN or
+more share one of their first n - ceil(n * NUM / DEN) + 1 shingles. Those are the block keys; pairs whose
+sizes or places rule out the similarity are skipped, and each other pair is confirmed on its texts before
+it links. The order puts shingles that are common in a bounded sample last. It decides only how many pairs
+are looked at, never the result.
 
 Blocks of up to SMALL texts give all their pairs. Larger ones first give each text's next NEXT neighbours
-by size; once those links are known, their pairs between different classes. So a large group of near
-copies is joined without all its pairs.
+by size. Once those links are known, only the pairs between different classes are left. For them each text
+gets a parity bitmap of its shingles: the exclusive-or of two bitmaps has at most as many ones as the sets
+have shingles that only one of them holds, so a pair with too many can't be similar. Bitmaps are compared
+tile by tile; blocks above CELL_ROWS are dealt out as pairs of parts, so no task holds more than two parts.
 
 Defined cases: words are A-Z lower-cased; null text is the empty text; texts without words are copies of
 each other; a text of fewer than 5 words is one shingle; rows with a null doc_id take no part; rows of
-one doc_id are one class. Shingles are compared by XXH64, whole texts by 128 bits.
+one doc_id are one class; repeated rows and ties don't matter (a class is named by its smallest doc_id);
+long texts need memory in proportion to their own length; other columns aren't read; an empty table gives
+an empty result. Shingles are compared by XXH64, whole texts by 128 bits.
 """
 
 from __future__ import annotations
@@ -25,15 +32,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagoon.llm.common import as_bytes, components, cut_lineage, id_and_text, rows_out, slices
+from lagoon.llm import simhash
+from lagoon.llm.common import as_bytes, components, cut_lineage, forget, frugal, id_and_text, rows_out, share_of_rows, slices
 
 SHINGLE_WORDS = 5
 NUM, DEN = 4, 5
 SMALL, NEXT = 16, 4
 #: Texts that the order is learned from, and shingles that it puts last at most.
 SAMPLE_ROWS, COMMON = 8_000, 100_000
-#: Pairs held at once while a large block is compared.
-CHUNK = 1 << 20
+#: Rows of a block that meet in one task at most (twice as many, of two parts), bits of a bitmap, and rows of a tile.
+CELL_ROWS, BITS, TILE_ROWS = 16_384, 2048, 256
 
 
 def shingles(text: bytes, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -54,12 +62,16 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
-def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@frugal
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
-        found = [xxhash.xxh3_128_digest(b" ".join(x.lower().split())) for x in as_bytes(part.column(1))]
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["doc_id", "copy"])
+        texts = as_bytes(part.column(1))
+        copies = [xxhash.xxh3_128_digest(b" ".join(x.lower().split())) for x in texts]
+        prints = np.array([simhash.fingerprint(x, SHINGLE_WORDS) for x in texts], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(copies, pa.binary()), pa.array(prints)], names=["doc_id", "copy", "fp"])
 
 
+@frugal
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         found = [shingles(x).view(np.int64) for x in as_bytes(part.column(1))]
@@ -86,6 +98,7 @@ def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndar
 
 
 def _keys(common: np.ndarray, counts: np.ndarray):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = [shingles(x) for x in as_bytes(part.column(1))]
@@ -107,31 +120,26 @@ def _fits(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nd
     return (DEN * n[i] >= NUM * n[j]) & ((NUM + DEN) * most >= NUM * (n[i].astype(np.int64) + n[j]))
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Whole blocks of batches sorted by their first column, as many together as are at hand."""
-    held = None
-    for batch in batches:
-        now = [c.to_numpy() for c in batch.columns]
-        now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-        cuts = np.flatnonzero(now[0][1:] != now[0][:-1])
-        cut = cuts[-1] + 1 if len(cuts) else 0
-        held = [c[cut:] for c in now]
-        if cut:
-            yield [c[:cut] for c in now]
-    if held is not None and len(held[0]):
-        yield held
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by key, n: pairs (a, b) of each block; of a block above SMALL those of neighbours, and its rows (b null).
 
+    Holds no more of an open block than SMALL rows and a batch: of a large one, the last NEXT rows are enough.
+    """
+    held, old = [], 0  # the rows of the open block that later ones may pair with; the first `old` of them are paired with each other and told
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by key, n: pairs (a, b) of each block; of a block above SMALL those of neighbours, and its rows (b null)."""
-    for key, rep, n, pos in _runs(batches):
+    def work(columns: list[np.ndarray], old: int, end: int) -> Iterator[pa.RecordBatch]:
+        """Rows up to `end`, the end of a block or of what is there of a large one."""
+        key, rep, n, pos = (c[:end] for c in columns)
         cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
         sizes = np.diff(np.concatenate([[0], cuts, [len(key)]]))
         size, last = np.repeat(sizes, sizes), np.repeat(np.cumsum(sizes), sizes)
         large, every = size > SMALL, np.arange(len(key))
-        many = large & (size > 1)
+        if old:
+            large[: sizes[0]] = True
+        many = large.copy()
+        many[:old] = False
         for step in range(1, SMALL):
-            i = every[(every + step < last) & (~large | (step <= NEXT))]
+            i = every[(every + step < last) & (~large | (step <= NEXT)) & (every + step >= old)]
             i = i[_fits(n, pos, i, i + step) & (rep[i] != rep[i + step])]
             if len(i):
                 a, b, none = rep[i], rep[i + step], np.zeros(len(i), np.int64)
@@ -139,25 +147,75 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if many.any():
             yield rows_out(a=(rep[many], pa.int64()), b=([None] * int(many.sum()), pa.int64()), key=(key[many], pa.int64()), n=(n[many], pa.int32()), pos=(pos[many], pa.int32()))
 
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by key, n: the pairs of each block whose classes differ."""
-    for key, rep, n, pos, root in _runs(batches):
-        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-        for start, end in zip(edges, edges[1:], strict=False):
-            if (root[start:end] == root[start]).all():
-                continue
-            step = max(1, CHUNK // (end - start))
-            for at in range(start, end, step):
-                till = min(end, at + step)
-                reach = start + int(np.searchsorted(n[start:end] * NUM, DEN * int(n[till - 1]), "right"))
-                i, j = np.nonzero((root[at:till, None] != root[None, at:reach]) & (np.arange(at, till)[:, None] < np.arange(at, reach)[None, :]))
-                i, j = i + at, j + at
-                fit = _fits(n, pos, i, j)
-                a, b = rep[i[fit]], rep[j[fit]]
-                yield rows_out(a=(np.minimum(a, b), pa.int64()), b=(np.maximum(a, b), pa.int64()))
-
-
+    for batch in batches:
+        now = [c.to_numpy() for c in batch.columns]
+        now = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
+        cuts = np.flatnonzero(now[0][1:] != now[0][:-1])
+        cut = int(cuts[-1]) + 1 if len(cuts) else 0
+        if cut:
+            yield from work(now, old, cut)
+            now, old = [c[cut:] for c in now], 0
+        if old or len(now[0]) > SMALL:  # large already: all that is there can be told
+            yield from work(now, old, len(now[0]))
+            now = [c[-NEXT:] for c in now]
+            old = len(now[0])
+        held = now
+    if held and len(held[0]) > old:
+        yield from work(held, old, len(held[0]))
+
+
+@frugal
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parity of the shingles that fall on each of BITS bits."""
+    for part in slices(batches):
+        ones = [np.bincount((shingles(x) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1 for x in as_bytes(part.column(1))]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.packbits(x.astype(bool)).tobytes() for x in ones], pa.binary())], names=["rep", "bits"])
+
+
+def _cell(rows: pa.Table) -> pa.Table:
+    """Pairs of one block, or of two parts of it, that sizes, places and bitmaps allow and whose classes differ."""
+    rows = rows.sort_by("n")
+    rep, n, pos, root, part = (rows[x].to_numpy() for x in ("rep", "n", "pos", "root", "part"))
+    bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(len(rep), -1)
+    two, found = len(np.unique(part)) > 1, []
+    for at in range(0, len(rep), TILE_ROWS):
+        till = min(len(rep), at + TILE_ROWS)
+        reach = int(np.searchsorted(n.astype(np.int64) * NUM, DEN * int(n[till - 1]), "right"))
+        for other in range(at, reach, TILE_ROWS):
+            to = min(reach, other + TILE_ROWS)
+            open_ = (root[at:till, None] != root[None, other:to]) & (np.arange(at, till)[:, None] < np.arange(other, to)[None, :])
+            if two:  # pairs within a part are another cell's
+                open_ &= part[at:till, None] != part[None, other:to]
+            i, j = np.nonzero(open_)
+            i, j = i + at, j + other
+            keep = _fits(n, pos, i, j)
+            i, j = i[keep], j[keep]
+            for k in range(0, len(i), 1 << 16):
+                a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+                good = (NUM + DEN) * apart <= (DEN - NUM) * (n[a].astype(np.int64) + n[b])
+                found.append((rep[a[good]], rep[b[good]]))
+    a, b = (np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+
+def across(docs: DataFrame, large: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) of large blocks(key, rep, n, pos) that may be similar and whose classes, by roots(rep, root), differ."""
+    named = cut_lineage(large.join(roots, "rep", "left").select("key", "rep", "n", "pos", F.coalesce("root", "rep").alias("root")))
+    mixed = named.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    mixed = cut_lineage(mixed.select("key", F.ceil(F.col("rows") / CELL_ROWS).cast("int").alias("parts")))
+    rows = cut_lineage(named.join(mixed, "key"))
+    texts = docs.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    bits = cut_lineage(texts.mapInArrow(_bitmaps, "rep long, bits binary"))
+    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.least(x, F.col("part")) * F.col("parts") + F.greatest(x, F.col("part")))
+    dealt = rows.join(bits, "rep").withColumn("part", part).withColumn("cell", F.explode(cells))
+    found = cut_lineage(dealt.groupBy("key", "cell").applyInArrow(_cell, "a long, b long"))
+    forget(named, mixed, rows, bits)
+    return found.distinct()
+
+
+@frugal
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         a, b = part.column(0).to_numpy(), part.column(1).to_numpy()
@@ -173,30 +231,39 @@ def confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a long, b long")
 
 
-def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes(rep) whose components are those of all similar pairs; docs(doc_id, text)."""
-    kept = docs.join(nodes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    share = max(1, nodes.count() // SAMPLE_ROWS)
-    sample = nodes.where(F.pmod(F.xxhash64("rep"), F.lit(share)) == 0).select(F.col("rep").alias("doc_id"))
-    order = common_shingles(docs.join(sample.distinct(), "doc_id", "left_semi"))
+def links(docs: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes(rep) that join the classes known(rep, root) to those of all similar pairs; docs(doc_id, text)."""
+    kept = docs.join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    sample = nodes.where(share_of_rows(F.col("rep"), nodes.count(), SAMPLE_ROWS)).select(F.col("rep").alias("doc_id"))
+    order = common_shingles(docs.join(sample, "doc_id", "left_semi"))
     keys = kept.mapInArrow(_keys(*order), "key long, rep long, n int, pos int")
     dealt = keys.repartition("key").sortWithinPartitions("key", "n", "rep")
     found = cut_lineage(dealt.mapInArrow(_near, "a long, b long, key long, n int, pos int"))
-    near = cut_lineage(confirmed(docs, found.where("b is not null").select("a", "b").distinct()))
+    pairs = found.where("b is not null").select("a", "b").distinct()
+    for x in "ab":
+        pairs = pairs.join(known.select(F.col("rep").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
+    near = cut_lineage(confirmed(docs, pairs.where("not root_a <=> root_b or root_a is null").select("a", "b")))
     large = found.where("b is null").select("key", F.col("a").alias("rep"), "n", "pos")
     if large.isEmpty():
         return near
-    roots = components(near).withColumnRenamed("node", "rep")
-    named = large.join(roots, "rep", "left").select("key", "rep", "n", "pos", F.coalesce("root", "rep").alias("root"))
-    more = named.repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(_across, "a long, b long")
-    return near.union(cut_lineage(confirmed(docs, cut_lineage(more.distinct()))))
+    roots = cut_lineage(components(near.union(known.select(F.col("rep").alias("a"), F.col("root").alias("b")))).withColumnRenamed("node", "rep"))
+    more = cut_lineage(confirmed(docs, across(docs, large, roots)))
+    forget(found, roots)
+    return near.union(more)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id for each row of docs; the component is null for a null doc_id."""
     texts = id_and_text(docs, id_col, text_col)
-    copies = cut_lineage(texts.mapInArrow(_copies, "doc_id long, copy binary"))
-    nodes = cut_lineage(copies.where("doc_id is not null").groupBy("copy").agg(F.min("doc_id").alias("rep")))
-    same = copies.where("doc_id is not null").join(nodes, "copy").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    roots = components(same.union(links(texts, nodes)))
-    return copies.select("doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+    prints = cut_lineage(texts.mapInArrow(_prints, "doc_id long, copy binary, fp long"))
+    nodes = cut_lineage(prints.where("doc_id is not null").groupBy("copy").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")))
+    same = prints.where("doc_id is not null").join(nodes.drop("fp"), "copy").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # texts of rows that share a doc_id are one class, whichever of them the pairs are confirmed on
+    reps = cut_lineage(nodes.groupBy("rep").agg(F.min("fp").alias("fp")))
+    named = cut_lineage(reps.groupBy("fp").agg(F.min("rep").alias("first")))
+    twins = reps.join(named, "fp").where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    hashed = simhash.links(named.select("fp", F.col("first").alias("rep"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first = cut_lineage(confirmed(texts, twins.union(hashed).distinct()))
+    known = cut_lineage(components(first).withColumnRenamed("node", "rep"))
+    roots = components(same.union(first).union(links(texts, reps, known)))
+    return prints.select("doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))

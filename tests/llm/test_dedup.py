@@ -4,6 +4,8 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -65,23 +67,36 @@ def test_links_find_every_pair_in_radius(spark):
     assert [found.get(i, i) for i in range(len(fps))] == root
 
 
-def test_large_blocks_are_dealt_as_tile_pairs(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SPLIT_ROWS", 16)
-    monkeypatch.setattr(simhash, "TILE_ROWS", 8)
-    rng = np.random.default_rng(2)
-    base = int(rng.integers(0, 1 << 62))
-    fps = sorted({base ^ int(sum(1 << int(b) for b in rng.choice(20, rng.integers(0, 9), replace=False))) for _ in range(120)})
-    masks = np.array(simhash.block_masks(), np.uint64)
-    import pyarrow as pa
-
-    part = len(masks) - 1  # the block of the high parts: all in it agree
-    batch = pa.RecordBatch.from_arrays([pa.array([part] * len(fps), pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(range(len(fps)), pa.int64())], names=["part", "fp", "rep"])
-    out = list(simhash._blocks(masks)(iter([batch])))
-    tiles = [x for x in out if x.column("left")[0].is_valid]
-    assert tiles
-    edges = [e for b in tiles for t in simhash._tile_pairs(iter([b])) for e in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True)]
-    want = roots_of(len(fps), [(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if (fps[a] ^ fps[b]).bit_count() <= 4])
-    assert roots_of(len(fps), edges) == want
+@pytest.mark.parametrize("sample", [100_000, 60])
+def test_large_blocks_go_on_to_finer_keys(spark, monkeypatch, sample):
+    for name, value in {"SPLIT_ROWS": 8, "TILE_ROWS": 4, "SAMPLE_ROWS": sample, "SAMPLE_LARGE": 2}.items():
+        monkeypatch.setattr(simhash, name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        rng = np.random.default_rng(2)
+        base = int(rng.integers(0, 1 << 62))
+        fps = sorted({base ^ int(sum(1 << int(b) for b in rng.choice(30, rng.integers(0, 9), replace=False))) for _ in range(90)})
+        want = roots_of(len(fps), [(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if (fps[a] ^ fps[b]).bit_count() <= 4])
+        nodes = [(int(np.uint64(f).view(np.int64)), i) for i, f in enumerate(fps)]
+        # kernels run in other processes: the level's kernel is made here, with these limits in it
+        out, rows = [], []
+        for fp, rep in nodes:
+            rows += [(p, int(np.uint64(int(np.uint64(m)) & fps[rep]).view(np.int64)), fp, rep) for p, m in enumerate(simhash.block_masks())]
+        levels = 0
+        for level in range(simhash.LEVELS):
+            rows.sort()
+            batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + 5], strict=True)], names=["part", "key", "fp", "rep"]) for i in range(0, len(rows), 5)]
+            found = [r for b in simhash._blocks(level)(iter(batches)) for r in b.to_pylist()]
+            out += [(r["a"], r["b"]) for r in found if r["a"] is not None]
+            rows = [(r["part"], r["key"], r["fp"], r["rep"]) for r in found if r["a"] is None]
+            assert all(k == f & int(np.uint64(simhash.mask_of(p, level + 1)).view(np.int64)) for p, k, f, _ in rows[::97])
+            levels += bool(rows)
+        assert levels == 2 and not rows
+        assert roots_of(len(fps), out) == want
+        found = {r["node"]: r["root"] for r in components(simhash.links(spark.createDataFrame(nodes, "fp long, rep long"))).collect()}
+        assert [found.get(i, i) for i in range(len(fps))] == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_components_of_a_chain_and_a_star(spark):
