@@ -1,46 +1,53 @@
-"""Mixture-controlled packing: deficit round-robin over source queues into windows of fixed token proportions.
+"""Mixture-controlled packing: deficit round-robin over source queues into windows of target token proportions.
 
-Each source is a queue of documents; its target share is its share of all tokens (or a given weight), so
-the queues run dry together. Windows of WINDOW_SEQUENCES sequences are filled one after the other. In a
-window each queue is owed its share of the tokens so far (its deficit); whole tokens are served in the
-order in which they fall due, and what is owed or overdrawn is carried to the next window. Since a
-queue's total by the end of window w is fixed by w and the token totals alone (served()), the carry
-needs no scan over windows: each task works out, for its own documents, the windows that they reach,
-whatever partition the windows before were packed in. Within a window, sources follow each other and
-sequences are cut at every SEQUENCE tokens, so only the last sequence of all can have padding.
+Each source is a queue of documents. Its target share is its weight among the queues that still have tokens, if
+`weights` are given, or else its share of all tokens, so that the queues run dry together; sources that `weights`
+lacks follow when the others are dry. Windows of WINDOW_SEQUENCES sequences are filled one after the other. In a
+window each queue is owed its share of the tokens so far (its deficit); whole tokens are served in the order in
+which they fall due (ties to the smaller queue name), and what is owed or overdrawn is carried to the next window.
+Since a queue's total by the end of window w is fixed by w, the weights and the token totals alone (served()), the
+carry needs no scan over windows: each task works out, for its own documents, the windows that they reach, whatever
+partition the windows before were packed in. Within a window, sources follow each other and sequences are cut at
+every SEQUENCE tokens, so only the last sequence of all can have padding.
+
+A source that is due less than one token of a window has no proportion there to hold; such sources share TAILS
+queues by hash, one after the other. All others, at most as many as a window has tokens, have a queue each.
 
 Documents are tokenised once; ids are kept in the shared folder. A document's place in its queue is its
 partition's start plus its place in the partition.
 
-Defined cases: null text is empty and packs its end token alone; a null source is a queue of its own;
-with more than MAX_QUEUES sources, queues are shared by hash; repeated rows are packed each; equal input
-files give equal results; an empty table gives an empty result.
+Ids are those of the tokenizer's plain call on a whole text, so the name of a special token in a text is that
+token. Defined cases: null text is empty and packs its end token alone; a null source is a source of its own;
+repeated rows are packed each; long texts need memory in proportion to their own length; only the columns named are
+read, so no other can clash; equal input files give equal results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import math
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagoon.llm.common import cut_lineage, rows_out, slices
+from lagoon.llm.common import cut_lineage, frugal, slices
 
 SEQUENCE = 4096
 WINDOW_SEQUENCES = 16
-MAX_QUEUES = 4096
+TAILS = 64
 END = 2
-KEPT_CHUNKS = 250_000
+KEPT_CHUNKS = 150_000
 #: Whole chunks of printable Latin letters, digits and signs: normal forms and case are plain there.
 LATIN = re.compile("[!-~\u00a1-\u024f]+").fullmatch
 #: Rows of (partition, queue) starts that may be broadcast; beyond, they are joined by a shuffle.
@@ -54,22 +61,30 @@ class Tokens(dict):
     The tokenizer drops white space and matches no pre-token across it, so chunks encode on their own.
     Latin chunks go to a bare merge engine: lower-cased, cut by the tokenizer's own pattern, and merged by
     ranks that are its merge list, with a last byte 0xFF (in no UTF-8 text) for the end of a word. All other
-    chunks go through the tokenizer.
+    chunks go through the tokenizer, and so do whole texts that may hold the name of a special token.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         self.kind, self.code = ("<u2", "H") if self.model.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         self.end = array(self.code, [END]).tobytes()
         self.words: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             table = json.load(f)
+        self.marks = [x["content"].lower() for x in table.get("added_tokens", [])]
+        self.hints = {m[:2] if not any(map(str.isalpha, m[:2])) else "" for m in self.marks}
         self.pattern = self.ids = None
         self._bare_engine(table)
 
+    def marked(self, text: str) -> bool:
+        """Whether a text may hold the name of a special token, in any case."""
+        if not any(h in text for h in self.hints):
+            return False
+        low = text.lower()
+        return any(m in low for m in self.marks)
+
     def _bare_engine(self, table: dict) -> None:
         """Only for the layout that it is right for: NFC, blanks, lower case; one Split; byte level; a word-end suffix."""
         steps = [x["type"] for x in (table.get("normalizer") or {}).get("normalizers", [])]
@@ -113,12 +128,15 @@ class Tokens(dict):
             else:
                 found = b"".join(map(self._word, self.pattern.findall(low)))
         else:
-            found = array(self.code, self.model.encode(chunk, add_special_tokens=False).ids).tobytes()
+            found = self.plain(chunk)
         self[chunk] = found
         return found
 
+    def plain(self, text: str) -> bytes:
+        return array(self.code, self.model.encode(text, add_special_tokens=False).ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(map(self.__getitem__, x.replace("\n", " ").replace("\t", " ").split(" "))) + self.end for x in texts]
+        return [(self.plain(x) if self.marked(x) else b"".join(map(self.__getitem__, x.replace("\n", " ").replace("\t", " ").split(" ")))) + self.end for x in texts]
 
 
 @lru_cache(1)
@@ -129,25 +147,44 @@ def tokens(path: str) -> Tokens:
     return Tokens(path)
 
 
-def served(totals: list[int], due: int) -> list[int]:
+def served(totals: list[int], due: int, weights: list[int] | None = None) -> list[int]:
     """Tokens that each queue has given when `due` tokens were given in all.
 
-    Token t of a queue with n tokens falls due at (t + 1) / n; the earliest go first, ties to the smaller
-    queue. Exact in integers, and never less than for a smaller `due`.
+    Token t of a queue of weight w (its total, unless given) falls due at (t + 1) / w; the earliest go first, ties to
+    the smaller queue. Queues of weight 0 follow when the others are dry, by their totals. Exact in integers, and never
+    less than for a smaller `due`.
     """
-    whole = sum(totals)
-    if due >= whole:
-        return list(totals)
-    out = [due * n // whole for n in totals]
+    natural = weights is None
+    weights = totals if natural else weights
+    timed = sum(n for n, w in zip(totals, weights, strict=True) if w)
+    if due >= timed:
+        rest = [0 if w else n for n, w in zip(totals, weights, strict=True)]
+        late = served(rest, due - timed) if not natural and any(rest) else [0] * len(rest)
+        return [n if w else x for n, w, x in zip(totals, weights, late, strict=True)]
+    dry: set[int] = set()
+    if not natural:
+        ends = sorted({Fraction(n, w) for n, w in zip(totals, weights, strict=True) if w})
+        low, high = 0, len(ends)  # so many of the times at which a queue runs dry have passed
+        while low < high:
+            middle = (low + high) // 2
+            at = ends[middle]
+            if sum(min(n, w * at.numerator // at.denominator) for n, w in zip(totals, weights, strict=True) if w) <= due:
+                low = middle + 1
+            else:
+                high = middle
+        dry = {q for q, (n, w) in enumerate(zip(totals, weights, strict=True)) if w and low and Fraction(n, w) <= ends[low - 1]}
+    left = due - sum(totals[q] for q in dry)
+    whole = sum(w for q, w in enumerate(weights) if q not in dry)
+    out = [totals[q] if q in dry else min(totals[q], left * w // whole) for q, w in enumerate(weights)]
     left = due - sum(out)
     if left:
-        heap = [(_Due(out[q] + 1, n), q) for q, n in enumerate(totals) if out[q] < n]
+        heap = [(_Due(out[q] + 1, w), q) for q, w in enumerate(weights) if w and out[q] < totals[q]]
         heapq.heapify(heap)
         for _ in range(left):
             _, q = heap[0]
             out[q] += 1
             if out[q] < totals[q]:
-                heapq.heapreplace(heap, (_Due(out[q] + 1, totals[q]), q))
+                heapq.heapreplace(heap, (_Due(out[q] + 1, weights[q]), q))
             else:
                 heapq.heappop(heap)
     return out
@@ -171,39 +208,68 @@ class _Due:
 class Plan:
     """Where a queue's tokens lie, window by window."""
 
-    def __init__(self, totals: list[int], sequence: int, window: int):
-        self.totals, self.sequence, self.size = totals, sequence, sequence * window
+    def __init__(self, totals: list[int], sequence: int, window: int, weights: list[int] | None = None):
+        self.totals, self.weights, self.sequence, self.size = totals, weights, sequence, sequence * window
         self.whole = sum(totals)
-        self.kept: dict[int, list[int]] = {}
+        self.kept: dict[int, tuple[list[int], list[int]]] = {}
+        self.last: dict[int, int] = {}
 
     def at(self, w: int) -> list[int]:
         """Tokens given before window w."""
+        return self.window(w)[0]
+
+    def window(self, w: int) -> tuple[list[int], list[int]]:
+        """Tokens given before window w, and where each queue begins in it."""
         if w not in self.kept:
             if len(self.kept) > 64:
                 self.kept.clear()
-            self.kept[w] = served(self.totals, w * self.size)
+            before, after = (served(self.totals, x * self.size, self.weights) for x in (w, w + 1))
+            self.kept[w] = before, [0, *np.cumsum(np.subtract(after, before)).tolist()]
         return self.kept[w]
 
+    def first(self, queue: int, start: int) -> int:
+        """A window up to the one that holds the queue's token at start: the last one asked for, or else by halving."""
+        w = self.last.get(queue)
+        if w is None or self.at(w)[queue] > start:
+            w, high = 0, self.whole // self.size + 1
+            while high - w > 1:
+                middle = (w + high) // 2
+                w, high = (middle, high) if served(self.totals, middle * self.size, self.weights)[queue] <= start else (w, middle)
+        return w
+
     def pieces(self, queue: int, start: int, length: int) -> Iterator[tuple[int, int, int, int]]:
         """(offset in the span, length, sequence_id, offset in the sequence) of the queue's tokens from start."""
-        w, done = max(0, start * self.whole // (self.totals[queue] * self.size) - 1), 0
-        while self.at(w)[queue] > start:
-            w -= 1
+        w, done = self.first(queue, start), 0
         while done < length:
             while self.at(w + 1)[queue] <= start + done:
                 w += 1
-            before, after = self.at(w), self.at(w + 1)
-            until = min(length, after[queue] - start)
-            place = w * self.size + sum(after[:queue]) - sum(before[:queue]) + start + done - before[queue]
+            before, inner = self.window(w)
+            until = min(length, before[queue] + inner[queue + 1] - inner[queue] - start)
+            place = w * self.size + inner[queue] + start + done - before[queue]
             while done < until:
                 n = min(until - done, self.sequence - place % self.sequence)
                 yield done, n, place // self.sequence, place % self.sequence
                 done, place = done + n, place + n
+        self.last[queue] = w
 
 
-def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str, source_col: str, queue) -> DataFrame:
-    """doc_id, source, queue, part, start (in its queue within its partition), n, ids: kept in the shared folder."""
+def queue_of(source: Column) -> Column:
+    return F.when(source.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), source))
 
+
+def whole_weights(weights: dict, queues: list[str]) -> list[int]:
+    """Weights of queues in whole numbers of the same proportions; 0 for queues without one."""
+    named = {("null" if k is None else f"={k}"): Fraction(v).limit_denominator(1_000_000) for k, v in weights.items()}
+    if any(v <= 0 for v in named.values()):
+        raise ValueError("weights must be above 0")
+    scale = math.lcm(*(v.denominator for v in named.values()))
+    return [int(named.get(q, 0) * scale) for q in queues]
+
+
+def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """doc_id, source, queue (one for each source), part, start (in its queue within its partition), n, ids: kept in the shared folder."""
+
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, part_id, given = tokens(path), TaskContext.get().partitionId(), {}
         size = np.dtype(known.kind).itemsize
@@ -218,26 +284,34 @@ def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str, source_col
                 names=["doc_id", "source", "queue", "part", "start", "n", "ids"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), queue.alias("queue"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    source = F.col(source_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), source.alias("source"), queue_of(source).alias("queue"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return cut_lineage(rows.mapInArrow(run, "doc_id long, source string, queue string, part int, start long, n long, ids binary"))
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", sequence: int = SEQUENCE, window: int = WINDOW_SEQUENCES) -> DataFrame:
-    """The pieces (PIECES) of all documents; ids little-endian 32-bit."""
-    sources = docs.select(F.col(source_col).cast("string").alias("s")).distinct().limit(MAX_QUEUES + 1).count()
-    source = F.col(source_col).cast("string")
-    queue = F.concat(F.lit("="), F.coalesce(source, F.lit(""))) if sources <= MAX_QUEUES else F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)).cast("string")
-    queue = F.when(source.isNull(), F.lit("null")).otherwise(queue)
-    known = tokenised(docs, path, id_col, text_col, source_col, queue)
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", sequence: int = SEQUENCE, window: int = WINDOW_SEQUENCES, weights: dict | None = None) -> DataFrame:
+    """The pieces (PIECES) of all documents; ids little-endian 32-bit. weights: target shares by source (None for null), in any unit."""
+    known = tokenised(docs, path, id_col, text_col, source_col)
     sums = cut_lineage(known.groupBy("queue", "part").agg(F.sum("n").alias("n")))
-    totals = sorted((r["queue"], r["n"]) for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect())  # MAX_QUEUES rows and one at most
+    whole = sums.agg(F.sum("n")).first()[0] or 0
+    # a source that is due a token of each window has its own queue: no more than a window has tokens (and those that weights name)
+    own = F.col("total") >= -(-whole // (sequence * window))
+    named = [("null" if k is None else f"={k}") for k in weights or ()]
+    if named:
+        own = own | F.col("queue").isin(named)
+    shared = F.concat(F.lit("~"), F.pmod(F.xxhash64("queue"), F.lit(TAILS)))
+    queues = sums.groupBy("queue").agg(F.sum("n").alias("total")).select("queue", F.when(own, F.col("queue")).otherwise(shared).alias("line"))
+    sums = cut_lineage(sums.join(queues, "queue"))
+    totals = sorted((r["line"], r["n"]) for r in sums.groupBy("line").agg(F.sum("n").alias("n")).collect())
     names, counts = {q: i for i, (q, _) in enumerate(totals)}, [n for _, n in totals]
-    before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row for each task and queue
+    shares = whole_weights(weights, list(names)) if weights else None
+    before = Window.partitionBy("line").orderBy("part", "queue").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("queue", "part", "line", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row for each task and source
     starts = F.broadcast(starts) if sums.count() <= BROADCAST_ROWS else starts
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, kind = Plan(counts, sequence, window), tokens(path).kind
+        plan, kind = Plan(counts, sequence, window, shares), tokens(path).kind
         for part in slices(batches):
             out = []
             for doc, src, q, start, n, ids in zip(*(x.to_pylist() for x in part.columns), strict=True):
@@ -248,7 +322,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             names_out = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "source"]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names_out)
 
-    placed = known.join(starts, ["queue", "part"]).select("doc_id", "source", "queue", (F.col("base") + F.col("start")).alias("start"), "n", "ids")
+    placed = known.join(starts, ["queue", "part"]).select("doc_id", "source", "line", (F.col("base") + F.col("start")).alias("start"), "n", "ids")
     return placed.mapInArrow(run, PIECES)
 
 

@@ -1,17 +1,19 @@
 """Toxicity: noisy-channel restoration of disguised words, then a score of the restored text.
 
 1. A character model: trigram counts over all documents, summed by task and then by trigram.
-2. Tokens that look disguised (leetspeak, separators between letters, runs of a letter, single letters
-   set apart) become lattices: each character may stand for itself, for a letter it imitates, or for
-   nothing (a separator, a repeat). Viterbi finds the likeliest letters under the character model and
-   the channel's costs.
+2. Tokens that look disguised (leetspeak, separators between letters, runs of a letter) and runs of single
+   letters become lattices: each character may stand for itself, for a letter it imitates, or for nothing (a
+   separator, a repeat), and a blank in a run of single letters for nothing or for the end of a word. Viterbi
+   finds the likeliest letters under the character model and the channel's costs.
 3. A classifier over restored words and their beginnings, learned from a bounded sample of labelled rows
-   (SAMPLE_ROWS, by hash of doc_id). Features must pass a likelihood-ratio test and explain toxic rows
-   that better ones leave unexplained; a logistic regression weighs them.
+   (about SAMPLE_ROWS, by hash of doc_id, one text for each). Features must pass a likelihood-ratio test and
+   explain toxic rows that better ones leave unexplained; a logistic regression weighs them.
 
 Defined cases: null text is empty and has the score of a text without features; without labels of both
-kinds every score is 0; a row with a null doc_id is scored and not learned from; repeated rows get equal
-scores; an empty table gives an empty result.
+kinds every score is 0; a row with a null doc_id is scored and not learned from; of several texts with one
+labelled doc_id the one of the smallest hash is learned from; repeated rows get equal scores; features of
+equal likelihood ratio go by their hash; long texts need memory in proportion to their own length; only the
+columns named are read, so no other can clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,24 +21,24 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagoon.llm.common import as_bytes, crc_bucket, cut_lineage, id_and_text, rows_out, slices
+from lagoon.llm.common import as_bytes, crc_bucket, cut_lineage, frugal, id_and_text, rows_out, share_of_rows, slices
 
 SAMPLE_ROWS = 16000
 #: Chance that any of the features without meaning passes the likelihood-ratio test, and the rows that a feature needs.
 ALPHA = 0.1
 MIN_ROWS = 4
-#: Features, best first, that are looked at together, and how many must explain a toxic row.
-MAX_CANDIDATES = 20_000
+#: Features that must explain a toxic row.
 COVERED = 3
 PREFIXES = (4, 5)
-KEPT_TOKENS = 200_000
+KEPT_TOKENS = 150_000
 #: Characters and the letters that they imitate.
 IMITATES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 SEPARATORS = set(".-_*'~,:;/\\\"^` ")
@@ -47,12 +49,13 @@ COST_IMITATE, COST_DROP, COST_REPEAT, COST_KEEP_REPEAT = 1.0, 0.5, 0.2, 0.8
 CLASSES = np.array([c - 96 if 97 <= c <= 122 else c - 64 if 65 <= c <= 90 else 27 if c >= 128 else 0 for c in range(256)], np.int64)
 
 
+@frugal
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 15, np.int64)
     for part in slices(batches):
         for text in as_bytes(part.column(0)):
             for at in range(0, len(text), 1 << 20):  # windows overlap by two, so each trigram counts once
-                c = CLASSES[np.frombuffer(b" " * 2 * (at == 0) + text[max(0, at - 2) : at + (1 << 20)] + b" ", np.uint8)]
+                c = CLASSES[np.frombuffer(b" " * 2 * (at == 0) + text[max(0, at - 2) : at + (1 << 20)] + b" " * (at + (1 << 20) >= len(text)), np.uint8)]
                 total += np.bincount((c[:-2] << 10) | (c[1:-1] << 5) | c[2:], minlength=1 << 15)
     seen = np.flatnonzero(total)
     yield rows_out(trigram=(seen, pa.int64()), n=(total[seen], pa.int64()))
@@ -77,28 +80,38 @@ def disguised(token: str) -> bool:
     return any(map(str.isalpha, token)) and any(x in IMITATES or x in SEPARATORS for x in token)
 
 
-def restore(token: str, cost: list) -> str:
-    """The likeliest letters behind a token: Viterbi over (two last classes), cost[a][b][c] the character model."""
-    start = (0, 0)
-    states: dict = {start: (0.0, "")}
+def steps(x: str, before: str, blanks: bool) -> tuple[list[tuple[str, float]], float | None]:
+    """What a character may stand for: (letter, cost), a blank for the end of a word; and the cost of nothing, or None."""
+    if blanks and x == " ":
+        return [(" ", 0.0)], COST_DROP
+    step = [(x, 0.0)] if x.isalpha() else [(y, COST_IMITATE) for y in IMITATES.get(x, "")]
+    return step, COST_DROP if x in SEPARATORS or not step else None
+
+
+def kind(letter: str) -> int:
+    return ord(letter) - 96 if "a" <= letter <= "z" else 0 if letter == " " else 27
+
+
+def restore(token: str, cost: list, blanks: bool = False) -> str:
+    """The likeliest letters behind a token: Viterbi over (two last classes, last letter), cost[a][b][c] the character model. With blanks, those left end words."""
+    states: dict = {(0, 0, ""): (0.0, "")}
     before = ""
     for x in token:
-        step = [(x, 0.0)] if x.isalpha() else [(y, COST_IMITATE) for y in IMITATES.get(x, "")]
-        drop = COST_DROP if x in SEPARATORS or not step else None
+        step, drop = steps(x, before, blanks)
         new: dict = {}
-        for (a, b), (s, out) in states.items():
-            if drop is not None and new.get((a, b), (math.inf,))[0] > s + drop:
-                new[a, b] = (s + drop, out)
+        for (a, b, last), (s, out) in states.items():
+            if drop is not None and new.get((a, b, last), (math.inf,))[0] > s + drop:
+                new[a, b, last] = (s + drop, out)
             for y, extra in step:
-                again = out[-1:] == y and (before == x)
-                if again and new.get((a, b), (math.inf,))[0] > s + COST_REPEAT:
-                    new[a, b] = (s + COST_REPEAT, out)
-                c = ord(y) - 96 if "a" <= y <= "z" else 27
+                again = last == y and before == x
+                if again and new.get((a, b, last), (math.inf,))[0] > s + COST_REPEAT:
+                    new[a, b, last] = (s + COST_REPEAT, out)
+                c = kind(y)
                 value = s + extra + cost[a][b][c] + COST_KEEP_REPEAT * again
-                if new.get((b, c), (math.inf,))[0] > value:
-                    new[b, c] = (value, out + y)
+                if new.get((b, c, y), (math.inf,))[0] > value:
+                    new[b, c, y] = (value, out + y)
         states, before = new or states, x
-    return min(((s + cost[a][b][0], out) for (a, b), (s, out) in states.items()))[1]
+    return min(((s + cost[a][b][0], out) for (a, b, _), (s, out) in states.items()))[1]
 
 
 def feature(kind: str, word: str) -> int:
@@ -109,7 +122,7 @@ class Features(dict):
     """Token to the features of the restored word, or to those of them that are wanted; bounded."""
 
     def __init__(self, cost: np.ndarray, wanted=None):
-        self.cost, self.wanted = cost.tolist(), wanted
+        self.cost, self.wanted, self.letters = cost.tolist(), wanted, {}
 
     def __missing__(self, token: bytes) -> tuple[int, ...]:
         if len(self) >= KEPT_TOKENS:
@@ -126,23 +139,35 @@ class Features(dict):
         found = (feature("w", word), *(feature("p", word[:n]) for n in PREFIXES if len(word) >= n)) if word else ()
         return found if self.wanted is None else tuple(f for f in found if f in self.wanted)
 
+    def letter(self, token: bytes) -> str:
+        """The one character of a token, or nothing if it has several; signs around it don't count."""
+        if token not in self.letters:
+            if len(self.letters) >= KEPT_TOKENS:
+                self.letters.clear()
+            word = token.decode("utf-8", "replace").lower()
+            word = word.strip(".,:;?\"'()[]{}<>#*%&=_~^`") if len(word) > 1 else word
+            self.letters[token] = word if len(word) == 1 and (word.isalpha() or word in IMITATES) else ""
+        return self.letters[token]
+
     def of(self, text: bytes) -> set[int]:
         tokens = text.split()
         out = {f for t in set(tokens) for f in self[t]}
-        single = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
-        if single.sum() >= 3:  # letters set apart
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
-            for a, b in edge.reshape(-1, 2).tolist():
-                if b - a >= 3:
-                    out.update(self.named(restore(b" ".join(tokens[a:b]).decode("utf-8", "replace").lower(), self.cost)))
+        short = np.flatnonzero(np.fromiter(map(len, tokens), np.int64, len(tokens)) <= 6)  # bytes of a character and a sign on either side
+        if len(short) >= 3:  # letters set apart
+            found = {i: x for i in short.tolist() if (x := self.letter(tokens[i]))}
+            at = np.array(list(found), np.int64)
+            for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+                if len(run) >= 3:
+                    for word in restore(" ".join(found[i] for i in run.tolist()), self.cost, True).split():
+                        out.update(self.named(word))
         return out
 
 
 def sample_labels(labels: DataFrame, id_col: str, label_col: str, rows: int) -> DataFrame:
-    """At most `rows` labelled ids outside the held-out fifth, by hash of the id; rows per id agree by their largest label."""
+    """About `rows` labelled ids outside the held-out fifth, by hash of the id; rows per id agree by their largest label."""
     picked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null")
-    picked = picked.where(crc_bucket("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("label").alias("label"))
-    return picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    picked = cut_lineage(picked.where(crc_bucket("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("label").alias("label")))
+    return picked.where(share_of_rows(F.col("doc_id"), picked.count(), rows))
 
 
 class Model:
@@ -166,6 +191,13 @@ def likelihood_ratio(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int) -> np.nda
     return np.where(c1 * n0 > c0 * n1, 2 * total, 0.0)
 
 
+def ratio_column(n1: int, n0: int) -> Column:
+    """likelihood_ratio of columns c1 and c0, of features that are commoner in toxic rows."""
+    share = (F.col("c1") + F.col("c0")) / (n1 + n0)
+    cells = [(F.col("c1"), n1 * share), (F.col("c0"), n0 * share), (n1 - F.col("c1"), n1 * (1 - share)), (n0 - F.col("c0"), n0 * (1 - share))]
+    return 2 * reduce(lambda a, b: a + b, [F.when(o > 0, o * F.ln(o / e)).otherwise(0.0) for o, e in cells])
+
+
 def cover(rows: list[np.ndarray], label: np.ndarray, features: int, least: float) -> list[int]:
     """Features that explain the toxic rows: the best by likelihood ratio over the rows not yet covered, again and again.
 
@@ -205,32 +237,30 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 100)
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> Model | None:
     """None without labelled rows of both kinds."""
-    picked = sample_labels(labels, id_col, label_col, rows)
-    known = dict(map(tuple, picked.collect()))  # at most `rows`
-    if len(set(known.values())) < 2:
+    chosen = cut_lineage(sample_labels(labels, id_col, label_col, rows))  # about `rows`
+    if chosen.select("label").distinct().count() < 2:
         return None
     cost = char_model(docs, text_col)
 
+    @frugal
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(cost)
         for part in slices(batches):
             found = [sorted(features.of(x)) for x in as_bytes(part.column(1))]
             yield rows_out(label=(part.column(2), pa.int32()), found=(found, pa.list_(pa.int64())))
 
-    chosen = docs.sparkSession.createDataFrame([(k, v) for k, v in sorted(known.items())], "doc_id long, label int")
     texts = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"), F.max("label").alias("label"))
     # one text counts once, however many copies the sample has of it
-    seen = cut_lineage(texts.mapInArrow(featured, "label int, found array<long>").dropDuplicates(["label", "found"]))
+    seen = cut_lineage(texts.select("doc_id", "text", "label").mapInArrow(featured, "label int, found array<long>").dropDuplicates(["label", "found"]))
     n0, n1 = (seen.where(F.col("label") == x).count() for x in (0, 1))
     if not n0 or not n1:
         return None
     each = seen.select("label", F.explode("found").alias("feature")).groupBy("feature")
     count = each.agg(F.sum(F.expr("int(label = 1)")).alias("c1"), F.sum(F.expr("int(label = 0)")).alias("c0"))
-    found = np.array(count.where(f"c1 >= {MIN_ROWS} and c1 * {n0} > c0 * {n1}").collect(), np.int64).reshape(-1, 3)
-    ratio = likelihood_ratio(found[:, 1], found[:, 2], n1, n0)
-    order = np.lexsort((found[:, 0], -ratio))[:MAX_CANDIDATES]
-    least = 2 * math.log(max(len(found), 1) / ALPHA)  # for as many tests as there are features
-    names = found[order[ratio[order] >= least], 0].tolist()
+    tested = cut_lineage(count.where(f"c1 >= {MIN_ROWS} and c1 * {n0} > c0 * {n1}").withColumn("ratio", ratio_column(n1, n0)))
+    least = 2 * math.log(max(tested.count(), 1) / ALPHA)  # for as many tests as there are features
+    names = [r["feature"] for r in tested.where(F.col("ratio") >= least).orderBy(F.desc(F.round("ratio", 6)), "feature").select("feature").collect()]
     number = {f: i for i, f in enumerate(names)}
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             rows = [[number[f] for f in x if f in number] for x in part.column(1).to_pylist()]
             yield rows_out(label=(part.column(0), pa.int32()), found=(rows, pa.list_(pa.int64())))
 
-    pairs = sorted((r["label"], r["found"]) for r in seen.mapInArrow(numbered, "label int, found array<long>").collect())  # at most `rows`, and repeats of their ids
+    pairs = sorted((r["label"], r["found"]) for r in seen.mapInArrow(numbered, "label int, found array<long>").collect())  # about `rows`
     label, sets = np.array([y for y, _ in pairs]), [np.array(x, np.int64) for _, x in pairs]
     chosen = cover(sets, label, len(names), least)
     x = np.stack([np.isin(chosen, s) for s in sets]).astype(float) if chosen else np.zeros((len(sets), 0))
@@ -261,6 +291,7 @@ def scores(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
     """doc_id, score for each row of docs."""
     score = _scores(model)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             yield rows_out(doc_id=(part.column(0), pa.int64()), score=(score(as_bytes(part.column(1))), pa.float64()))
@@ -272,6 +303,7 @@ def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text", lim
     """The rows of docs, all columns, with a score below limit."""
     score, at = _scores(model), docs.columns.index(text_col)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             yield part.filter(pa.array([x < limit for x in score(as_bytes(part.column(at)))], pa.bool_()))

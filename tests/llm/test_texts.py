@@ -42,10 +42,10 @@ def test_packing_covers_every_token_once(spark):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(WORDS)
-    model.encode_special_tokens = True
-    docs = documents()
+    docs = [*documents(), (950, "a <|endoftext|> b", "en", "a", 0), (951, "x<|EndOfText|>y <|startoftext|>", "en", "c", 0)]
     want = Counter((d[0], tuple([*model.encode(d[1] or "", add_special_tokens=False).ids, 2])) for d in docs)
-    rows = packing.pack(frame(spark), WORDS, sequence=64, window=4).collect()
+    rows = packing.pack(frame(spark, docs), WORDS, sequence=64, window=4).collect()
+    assert [r["ids"] for r in rows if r["doc_id"] == 950] == [np.array([320, 49407, 321, 2], "<u4").tobytes()] or sum(r["doc_id"] == 950 for r in rows) > 1
     places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
     at = (0, 0)
     for seq, offset, n in places:  # gapless, and only the last sequence may be short
@@ -69,19 +69,57 @@ def test_served_is_the_exact_order_of_due_tokens():
         assert packing.served(totals, due) == [count[q] for q in range(len(totals))]
 
 
-def test_windows_hold_target_shares(spark):
+def test_served_by_weights_is_the_exact_order_of_due_tokens():
+    rng = np.random.default_rng(3)
+    for _ in range(12):
+        totals, weights = rng.integers(0, 40, 6).tolist(), (rng.integers(0, 5, 6) * rng.integers(1, 7, 6)).tolist()
+        order = sorted((w == 0, Fraction(t + 1, w or n), q) for q, (n, w) in enumerate(zip(totals, weights, strict=True)) for t in range(n))
+        for due in range(sum(totals) + 3):
+            count = Counter(q for _, _, q in order[:due])
+            assert packing.served(totals, due, weights) == [count[q] for q in range(6)]
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 1, "b": 3}, {"a": 0.5, "b": 0.25, None: 0.25}])
+def test_windows_hold_target_shares(spark, weights):
     rng = __import__("random").Random(3)
-    docs = [(i, prose(rng, rng.randint(1, 90)), "en", "ab"[i % 3 == 0], 0) for i in range(300)]
-    rows = packing.pack(frame(spark, docs), WORDS, sequence=128, window=4).collect()
-    total = Counter()
-    window = {}
+    docs = [(i, prose(rng, rng.randint(1, 90)), "en", ["a", "b", "c", None, "a"][i % 5], 0) for i in range(500)]
+    rows = packing.pack(frame(spark, docs), WORDS, sequence=128, window=4, weights=weights).collect()
+    total, window = Counter(), {}
     for r in rows:
         total[r["source"]] += r["length"]
         window.setdefault(r["sequence_id"] // 4, Counter())[r["source"]] += r["length"]
-    whole = sum(total.values())
-    full = [w for w in window.values() if sum(w.values()) == 512]
-    assert len(full) > 5
-    assert all(abs(w[s] - 512 * total[s] / whole) <= 2 for w in full for s in total)
+    left, held = Counter(total), 0
+    for w in sorted(window):
+        if sum(window[w].values()) == 512:
+            open_ = {s: (weights or total)[s] for s in (weights or total) if left[s] > window[w][s]}
+            if set(open_) == set(weights or total):  # no queue runs dry in it
+                held += 1
+                assert all(abs(window[w][s] - 512 * open_[s] / sum(open_.values())) <= 2 for s in open_)
+        left -= window[w]
+    assert held > 5
+    places = sorted((r["sequence_id"] * 128 + r["offset"], r["length"]) for r in rows)
+    assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:], strict=False))
+    with pytest.raises(ValueError):
+        packing.whole_weights({"a": 0}, ["=a"])
+
+
+def test_sources_below_a_token_of_each_window_share_queues(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TAILS", 2)
+    rng = __import__("random").Random(4)
+    docs = [(i, prose(rng, 60), "en", "large", 0) for i in range(100)] + [(1000 + i, prose(rng, 3), "en", f"small{i % 150}", 0) for i in range(300)]
+    rows = packing.pack(frame(spark, docs), WORDS, sequence=16, window=2).collect()
+    places = sorted((r["sequence_id"] * 16 + r["offset"], r["length"]) for r in rows)
+    assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(places, places[1:], strict=False))
+    got = Counter()
+    for r in rows:
+        got[r["doc_id"]] += r["length"]
+    assert got == {r["doc_id"]: r["doc_tokens"] for r in rows}
+    share = sum(r["length"] for r in rows if r["source"] == "large") / sum(got.values())
+    window = Counter()
+    for r in rows:
+        if r["source"] == "large":
+            window[r["sequence_id"] // 2] += r["length"]
+    assert all(abs(window[w] - 32 * share) <= 3 for w in range(max(window) - 1))
 
 
 def plain_words(text):
@@ -194,11 +232,104 @@ def test_restoration_of_disguised_words(spark):
     model = toxicity.char_model(frame(spark, [(i, "stupid idiot moron the clown and a loser went home to sleep " * 20, None, None, 0) for i in range(4)]))
     features = toxicity.Features(model)
     plain = features.of(b"idiot")
-    for x in (b"1d10t", b"i.d.i.o.t", b"i d i o t", b"idiooooot", b"ID10T!!", b"i-d-i-o-t", b"!diot"):
+    for x in (b"1d10t", b"i.d.i.o.t", b"i d i o t", b"idiooooot", b"ID10T!!", b"i-d-i-o-t", b"!diot", b"i, d, i, o, t", b"a i d i o t", b"went i d i o t m o r o n home"):
         assert plain <= features.of(x), x
+    assert features.of(b"moron") <= features.of(b"i d i o t m o r o n")
+    accents = toxicity.Features(toxicity.char_model(frame(spark, [(1, "\u00e9t\u00e9 \u00e0 la " * 30, None, None, 0)])))
+    assert accents.of("\u00e9t\u00e9".encode()) <= accents.of("\u00e9 t \u00e9".encode())
     assert features.of(b"") == set()
 
 
+def plain_restore(token, cost, blanks):
+    """The cheapest of all ways through the lattice, one by one."""
+    ways = [(0.0, "", 0, 0)]
+    before = ""
+    for x in token:
+        step, drop = toxicity.steps(x, before, blanks)
+        new = []
+        for s, out, a, b in ways:
+            if drop is not None:
+                new.append((s + drop, out, a, b))
+            for y, extra in step:
+                again = out[-1:] == y and before == x
+                if again:
+                    new.append((s + toxicity.COST_REPEAT, out, a, b))
+                c = toxicity.kind(y)
+                new.append((s + extra + cost[a][b][c] + toxicity.COST_KEEP_REPEAT * again, out + y, b, c))
+        ways, before = new or ways, x
+    return min(s + cost[a][b][0] for s, _, a, b in ways), {out for s, out, a, b in ways if s + cost[a][b][0] < min(t + cost[c][d][0] for t, _, c, d in ways) + 1e-9}
+
+
+def test_viterbi_finds_the_cheapest_way():
+    rng = np.random.default_rng(8)
+    cost = rng.random((32, 32, 32)) * 4
+    cost = cost.tolist()
+    letters = "ab1!.-e3 i|\u00e9"
+    for n in range(1, 8):
+        for _ in range(25):
+            token = "".join(rng.choice(list(letters), n))
+            token += token[-1] * int(rng.integers(0, 3))
+            for blanks in (False, True):
+                assert toxicity.restore(token, cost, blanks) in plain_restore(token, cost, blanks)[1], token
+
+
+def test_character_model_counts_every_trigram(spark):
+    docs = documents()
+    cost = toxicity.char_model(frame(spark))
+    counts = Counter()
+    for d in docs:
+        c = [0, 0, *(int(toxicity.CLASSES[b]) for b in (d[1] or "").encode()), 0] if d[1] else []
+        counts.update(zip(c, c[1:], c[2:], strict=False))
+    cube = np.full((32, 32, 32), 0.5)
+    for k, v in counts.items():
+        cube[k] += v
+    assert cost == pytest.approx(-np.log(cube / cube.sum(axis=2, keepdims=True)))
+
+
+def test_likelihood_ratio_of_a_table(spark):
+    rng = np.random.default_rng(5)
+    c1, c0 = rng.integers(0, 30, 60), rng.integers(0, 50, 60)
+
+    def plain(a, b):
+        out = 0.0
+        for o, row, column in ((a, 30, a + b), (b, 50, a + b), (30 - a, 30, 80 - a - b), (50 - b, 50, 80 - a - b)):
+            out += o * np.log(o * 80 / (row * column)) if o else 0.0
+        return 2 * out if a * 50 > b * 30 else 0.0
+
+    want = [plain(int(a), int(b)) for a, b in zip(c1, c0, strict=True)]
+    assert toxicity.likelihood_ratio(c1, c0, 30, 50) == pytest.approx(want)
+    df = spark.createDataFrame([(int(a), int(b), float(w)) for a, b, w in zip(c1, c0, want, strict=True) if w], "c1 long, c0 long, want double")
+    assert all(r[0] == pytest.approx(r[1]) for r in df.select(toxicity.ratio_column(30, 50), "want").collect())
+
+
+def test_cover_takes_the_best_feature_each_time():
+    rng = np.random.default_rng(6)
+    rows = [np.unique(rng.integers(0, 25, rng.integers(0, 8))) for _ in range(200)]
+    label = np.array([int(rng.random() < 0.15 + 0.7 * (0 in r or 3 in r)) for r in rows])
+    need, chosen = {i: toxicity.COVERED for i, y in enumerate(label) if y}, []
+    while True:
+        best = (0.0, 0)
+        for f in range(25):
+            a, b = sum(need.get(i, 0) > 0 and f in r and f not in chosen for i, r in enumerate(rows)), sum(f in r for r, y in zip(rows, label, strict=True) if not y)
+            ratio = toxicity.likelihood_ratio([a], [b], sum(v > 0 for v in need.values()), int((label == 0).sum()))[0] if a >= toxicity.MIN_ROWS else 0.0
+            best = max(best, (ratio, -f))
+        if best[0] < 3.0:
+            break
+        chosen.append(-best[1])
+        for i, r in enumerate(rows):
+            if i in need and -best[1] in r:
+                need[i] -= 1
+    assert chosen and toxicity.cover(rows, label, 25, 3.0) == chosen
+
+
+def test_logistic_weights_have_no_slope():
+    rng = np.random.default_rng(7)
+    x, y = rng.random((80, 3)), (rng.random(80) < 0.4).astype(float)
+    w = toxicity.logistic(x, y)
+    a = np.concatenate([x, np.ones((80, 1))], axis=1)
+    assert a.T @ (y - 1 / (1 + np.exp(-a @ w))) - 0.1 * w == pytest.approx(np.zeros(4), abs=1e-6)
+
+
 def test_cover_prefers_causes_to_odd_words_of_copies():
     rng = np.random.default_rng(0)
     rows, label = [], []
@@ -231,6 +362,13 @@ def test_toxicity_learns_and_holds_out(spark):
     assert kept.columns == df.columns and kept.count() == 301
     assert toxicity.fit(df, known.where("toxic = 0")) is None
     assert {r["score"] for r in toxicity.scores(df, None).collect()} == {0.0}
+    # several texts with one labelled id, and repeated rows, are learned from once; a very long text is scored whole
+    more = df.union(df).union(frame(spark, [(3, "other words " * 40, None, None, 0)]))
+    again = toxicity.fit(more, known)
+    got = {(r["doc_id"], r["score"] >= 0.5) for r in toxicity.scores(more, again).collect()}
+    assert {x for x in got if x[0] != 3} == {(i, bool(y)) for i, y in labels if i != 3} | {(None, False)}
+    long = frame(spark, [(1, prose(rng, 200_000) + " g r u m p f bl0rgh zw!ckel", None, None, 0)])
+    assert toxicity.scores(long, again).first()["score"] >= 0.5
 
 
 def test_empty_tables(spark):
