@@ -5,12 +5,15 @@ from the first boundary that both have. Texts above CHUNK characters are cut int
 OVERLAP characters; each is pre-tokenised and its pre-tokens are encoded on its own, in any task. To
 stitch, the boundaries of a chunk that the chunk before it confirms are looked up in the overlap, and the
 chunks are joined at the first common one. Matches that the end of a chunk may have cut are not used. If
-an overlap holds no common boundary (a very long run of one kind), the span is matched again from the
-last confirmed boundary over the texts of the chunks around it, until a boundary is common.
+an overlap holds no common boundary (a very long run of one kind), the text is matched again from the
+last confirmed boundary, over twice as many chunks each time, until a boundary is common: however long the
+run, it is matched again some two times its length, not once for each chunk.
 Texts of one chunk need no stitching and no shuffle.
 
 Defined cases: null text is empty; an empty text has no tokens, and the hash of the empty string; the
-rows of one doc_id are told apart; an empty table gives an empty result.
+rows of one doc_id are told apart, and repeated rows are encoded each; merges of equal rank go from the left,
+as in the library; very long texts are encoded in chunks in any task, and one task holds a text's ids; only
+the id and the text are read, so no other column can clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagoon.llm.common import id_and_text, rows_out, slices
+from lagoon.llm.common import frugal, id_and_text, rows_out, slices
 
 CHUNK = 1 << 15
 OVERLAP = 1 << 10
-KEPT_PIECES = 300_000
+KEPT_PIECES = 200_000
 IDS = "doc_id long, ids binary, raw binary"
 
 
@@ -87,26 +90,34 @@ def stitch(parts: list[tuple[int, str, np.ndarray, list[bytes]]], c: Codec, over
     """parts, in order: (start, text, boundaries, ids by pre-token) of each chunk. The ids of the whole text."""
     out: list[bytes] = []
     _, _, ends, ids = parts[0]
-    at = 0  # confirmed up to ends[at] of the current chunk
-    for k in range(1, len(parts)):
-        start, _, new_ends, new_ids = parts[k]
+    at, k, last = 0, 1, len(parts) - 1  # confirmed up to ends[at] of the current chunk
+    while k <= last:
+        _, _, new_ends, new_ids = parts[k]
         common, i, j = np.intersect1d(ends[at:], new_ends, return_indices=True)
         if len(common):
             out += ids[at : at + i[0]]
-            ends, ids, at = new_ends, new_ids, j[0]
+            ends, ids, at, k = new_ends, new_ids, j[0], k + 1
             continue
-        # nothing in common: match the text again from the last confirmed boundary to the end of this chunk
         done = int(ends[at])
-        first = max(x for x in range(k) if parts[x][0] <= done)
-        whole = "".join(p[1][: parts[x + 1][0] - p[0]] if x < k else p[1] for x, p in enumerate(parts[: k + 1]) if x >= first)
-        ends, ids = cut(whole[done - parts[first][0] :], done, k == len(parts) - 1, c)
-        at = 0
+        first, reach = max(x for x in range(k) if parts[x][0] <= done), 1
+        while True:
+            to = min(last, k + reach - 1)
+            whole = "".join(p[1][: parts[x + 1][0] - p[0]] if x < to else p[1] for x, p in enumerate(parts[: to + 1]) if x >= first)
+            ends, ids = cut(whole[done - parts[first][0] :], done, to == last, c)
+            at = 0
+            if to == last or len(np.intersect1d(ends, parts[to][2])):
+                break
+            reach *= 2
+        if to == last:
+            break
+        k = to  # which has a boundary in common now
     return b"".join(out + ids[at:])
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, ids (little-endian 32-bit), raw (the decoded bytes) for each row of docs."""
 
+    @frugal
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for part in slices(batches):
@@ -120,6 +131,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             for k, (start, x) in enumerate(found):
                 yield rows_out(row=([row], pa.int64()), doc_id=([doc], pa.int64()), k=([k], pa.int32()), start=([start], pa.int64()), last=([k == len(found) - 1], pa.bool_()), text=([x], pa.string()))
 
+    @frugal
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for part in slices(batches, 4):

@@ -2,14 +2,17 @@
 
 Templates are short word sequences of well-known licence notices. First the document frequency of every
 template word is counted over all documents. Each template is then indexed under its rarest words
-(highest IDF), with their places in it. A file's words are looked up in that index, template postings
-are intersected by relative position (place in the file minus place in the template), and an alignment
-counts if enough of the template's IDF weight is in place and its mandatory key phrase is complete.
-A base phrase is a template that is all key phrase, indexed under its one rarest word, so every place
-where it stands is found.
-
-Defined cases: null text is empty; no words give 0, no labels and score 0; an empty table gives an
-empty result (the IDF of no documents is 0 for all words).
+(highest IDF; ties to the earlier place), with their places in it. A file's words are looked up in that
+index, and the postings of a template's words are intersected by relative position (place in the file minus
+place in the template): only starts that AGREE of its indexed words point to at once (all of them, if it has
+fewer) are candidates. A candidate counts if its mandatory key phrase is complete and enough of the template's
+IDF weight is in place; its score is that share. A base phrase is a template that is all key phrase, and all
+its words must point to one start, so every place where it stands is found.
+
+Defined cases: null text is empty; no words give 0, no labels and score 0; repeated rows get equal answers and
+each counts as a document; equal scores of several notices are one score; long texts need memory in proportion
+to their own length; only the id and the text are read, so no other column can clash; an empty table gives an
+empty result (the IDF of no documents is the same for all words).
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagoon.llm.common import as_bytes, id_and_text, rows_out, slices
+from lagoon.llm.common import as_bytes, frugal, id_and_text, rows_out, slices
 
 #: Phrases and their labels, as the contract of the query gives them.
 BASE_PHRASES = {
@@ -51,8 +54,8 @@ TEMPLATES = [
     ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights", "waived all copyright"),
 ]
-#: Rarest words of a notice that are indexed, and the share of its IDF weight that must be in place.
-INDEXED_WORDS = 4
+#: Rarest words of a notice that are indexed, how many of them must agree on its place, and the share of its IDF weight that must be in place.
+INDEXED_WORDS, AGREE = 4, 2
 MIN_SHARE = 0.6
 
 #: Bytes that end a word become spaces; A-Z become a-z.
@@ -80,35 +83,42 @@ class Index:
 
     def __init__(self, documents: int, frequency: dict[bytes, int]):
         self.templates = templates()
-        self.idf = {w: math.log((documents + 1) / (frequency.get(w, 0) + 0.5)) for _, words, _, _ in self.templates for w in words}
+        self.idf = {w: math.log(1 + (documents + 1) / (frequency.get(w, 0) + 0.5)) for _, words, _, _ in self.templates for w in words}
+        self.weight = [sum(self.idf[w] for w in words) for _, words, _, _ in self.templates]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.agree: list[int] = []
         for t, (_, words, key, base) in enumerate(self.templates):
             rare = sorted(key if base else range(len(words)), key=lambda p: (-self.idf[words[p]], p))
-            for p in rare[: 1 if base else INDEXED_WORDS]:
+            rare = rare if base else rare[:INDEXED_WORDS]
+            self.agree.append(len(rare) if base else min(AGREE, len(rare)))
+            for p in rare:
                 self.postings[words[p]].append((t, p))
         self.postings = dict(self.postings)
 
-    def scan(self, words: list[bytes]) -> dict:
-        base_at, base_labels, labels, score = set(), set(), set(), 0.0
+    def candidates(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """(template, start) of all starts that enough indexed words of the template point to."""
+        pointed: dict[tuple[int, int], int] = defaultdict(int)
         if not self.postings.keys().isdisjoint(words):
-            aligned: set[tuple[int, int]] = set()
             for at, word in enumerate(words):
                 for t, p in self.postings.get(word, ()):
-                    aligned.add((t, at - p))
-            for t, start in aligned:
-                label, notice, key, base = self.templates[t]
-                if not all(0 <= start + p < len(words) and words[start + p] == notice[p] for p in key):
-                    continue
-                if base:
-                    base_at.add((t, start))
-                    base_labels.add(label)
-                    score = 1.0
-                    continue
-                total = sum(self.idf[w] for w in notice)
-                found = sum(self.idf[w] for p, w in enumerate(notice) if 0 <= start + p < len(words) and words[start + p] == w)
-                if found >= MIN_SHARE * total:
-                    labels.add(label)
-                    score = max(score, min(1.0, found / total) if total > 0 else 1.0)
+                    pointed[t, at - p] += 1
+        return [(t, start) for (t, start), n in pointed.items() if n >= self.agree[t]]
+
+    def scan(self, words: list[bytes]) -> dict:
+        base_at, base_labels, labels, score = set(), set(), set(), 0.0
+        for t, start in self.candidates(words):
+            label, notice, key, base = self.templates[t]
+            if not all(0 <= start + p < len(words) and words[start + p] == notice[p] for p in key):
+                continue
+            if base:
+                base_at.add((t, start))
+                base_labels.add(label)
+                score = 1.0
+                continue
+            found = sum(self.idf[w] for p, w in enumerate(notice) if 0 <= start + p < len(words) and words[start + p] == w)
+            if found >= MIN_SHARE * self.weight[t]:
+                labels.add(label)
+                score = max(score, min(1.0, found / self.weight[t]))
         places = [x for _, x in base_at]
         return {
             "n_words": len(words), "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None),
@@ -116,6 +126,7 @@ class Index:
         }
 
 
+@frugal
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = {w for _, words, _, _ in templates() for w in words}
     total, found = 0, defaultdict(int)
@@ -138,6 +149,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """A row of SCHEMA for each row of docs."""
     index = build_index(docs, text_col)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"base_labels": pa.string(), "labels": pa.string(), "score": pa.float64()}
         for part in slices(batches):

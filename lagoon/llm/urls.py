@@ -2,14 +2,15 @@
 
 Native: only DataFrame functions and Spark's own tree learner, no Python on executors.
 
-Learned from labelled URLs: a bounded sample (SAMPLE_ROWS distinct URLs, by hash) of all rows, where a
-rule's verdict is the label, or else whether the host holds one of SEED_TERMS. Features: lengths, depth,
-digit share, entropy of the characters, parameter counts, and suffix statistics (how often the host's
-last label and last two labels occur, over all rows; joined by a shuffle above SAMPLE_ROWS values).
+Labelled URLs are those that a rule judges: its verdict is the label. The trees learn from a bounded sample of
+them (about SAMPLE_ROWS distinct URLs, by hash) and judge the URLs that no rule fits. Features: lengths, depth,
+digit share, entropy of the characters, parameter counts, and suffix statistics (how often the host's last
+label and last two labels occur, over all rows; joined by a shuffle above SAMPLE_ROWS values).
 
 Defined cases: a null URL, or one without ://, has an empty host and path, fits no rule and is judged by
-the trees; with labels of one kind only, or no rows, every such verdict is that kind (allow); repeated
-rows get equal answers.
+the trees; with labels of one kind only, every such verdict is that kind (allow without labels); of rules that
+fit, the longest wins (no two are equal); repeated rows get equal answers; a URL of any length is read whole;
+only the id and the URL are read, so no other column can clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagoon.llm.common import cut_lineage
+from lagoon.llm.common import cut_lineage, share_of_rows
 
 #: The rules of the query's contract.
 RULES = [
@@ -30,8 +31,6 @@ RULES = [
     ("example.com/de/", "block"),
     ("org/fr/", "allow"),
 ]
-#: Parts of hosts that label a URL as unwanted where no rule does.
-SEED_TERMS = ["casino", "pills", "bets", "ads-", "porn", "viagra", "poker", "loan"]
 SAMPLE_ROWS = 10_000
 TREES, DEPTH = 20, 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -106,10 +105,9 @@ def suffix_counts(rows: DataFrame) -> dict[str, DataFrame]:
 def verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages."""
     rows = judged(pages, id_col, url_col)
-    sample = rows.drop("page_id").where("url is not null").dropDuplicates(["url"])  # before the limit, which repeats would use up
-    seeded = reduce(lambda a, b: a | b, [F.col("host").contains(x) for x in SEED_TERMS])
-    blocked = F.coalesce(F.col("rule_verdict") == "block", seeded).cast("double")
-    sample = cut_lineage(suffixes(sample.orderBy(F.xxhash64("url"), "url").limit(SAMPLE_ROWS)).withColumn("blocked", blocked).coalesce(1))
+    labelled = rows.drop("page_id").where("rule is not null").dropDuplicates(["url"])  # distinct before the sample, which repeats would fill
+    labelled = cut_lineage(suffixes(labelled).withColumn("blocked", (F.col("rule_verdict") == "block").cast("double")))
+    sample = cut_lineage(labelled.where(share_of_rows(F.col("url"), labelled.count(), SAMPLE_ROWS)).coalesce(1))
     kinds = [r[0] for r in sample.select("blocked").distinct().collect()]
     if len(kinds) < 2:
         only = F.lit("block" if kinds == [1.0] else "allow")

@@ -38,6 +38,18 @@ def test_chunked_encoding_equals_whole(spark, encoding, size, overlap):
     assert got == sorted(want, key=repr)
 
 
+def test_stitching_a_long_run_matches_it_a_few_times(encoding):
+    c = bpe.Codec(PATH, public_tokenizers.PATTERN)
+    matched = [0]
+    pieces = c.pieces
+    c.pieces = lambda text: matched.__setitem__(0, matched[0] + len(text)) or pieces(text)
+    for text in (" " * 40_000 + "end", "x" * 40_000, "a b " * 200 + "\n" * 30_000 + "c d " * 400, "word " * 3000):
+        matched[0] = 0
+        parts = [(start, x, *bpe.cut(x, start, start + len(x) == len(text), c)) for start, x in bpe.chunks(text, 100, 10)]
+        assert bpe.stitch(parts, c, 10) == np.array(encoding.encode_ordinary(text), "<u4").tobytes()
+        assert matched[0] < 8 * len(text)
+
+
 def test_packing_covers_every_token_once(spark):
     from tokenizers import Tokenizer
 
@@ -139,6 +151,43 @@ def test_licences_base_part(spark):
         assert set(r["base_labels"].split(",")) <= {*r["labels"].split(","), ""} and 0 <= r["score"] <= 1
 
 
+def plain_notices(index, words):
+    """Labels and score from every start of every template."""
+    labels, score = set(), 0.0
+    for t, (label, notice, key, base) in enumerate(index.templates):
+        rare = sorted(key if base else range(len(notice)), key=lambda p: (-index.idf[notice[p]], p))[: None if base else 4]
+        for start in range(-len(notice), len(words)):
+            same = {p for p, w in enumerate(notice) if 0 <= start + p < len(words) and words[start + p] == w}
+            if set(key) <= same and (base or len(same.intersection(rare)) >= min(2, len(rare))):
+                share = 1.0 if base else sum(index.idf[notice[p]] for p in sorted(same)) / sum(index.idf[w] for w in notice)
+                if base or share >= licences.MIN_SHARE - 1e-12:
+                    labels.add(label)
+                    score = max(score, share)
+    return ",".join(sorted(labels)), min(score, 1.0)
+
+
+def test_licence_labels_and_scores_from_every_start(spark):
+    rng = __import__("random").Random(5)
+    notices = [x[1].split() for x in licences.TEMPLATES] + [p.split() for p in licences.BASE_PHRASES]
+    texts = []
+    for i in range(120):
+        words = rng.choice(notices).copy()
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = rng.choice(["x", "license", "the", "software", "public"])
+        texts.append(" ".join([*["some"] * rng.randint(0, 3), *words[rng.randint(0, 3) * (i % 3 == 0) :], *rng.choice(notices)[: rng.randint(0, 9)]]))
+    docs = [(i, x, None, None, 0) for i, x in enumerate(texts)] + documents()
+    df = frame(spark, docs)
+    index = licences.build_index(df)
+    got = {(r["doc_id"], r["n_words"]): (r["labels"], r["score"]) for r in licences.scan(df).collect()}
+    found = 0
+    for d in docs:
+        words = licences.words_of((d[1] or "").encode())
+        labels, score = plain_notices(index, words) if len(words) < 5000 else ("", 0.0)
+        assert got[d[0], len(words)] == (labels, pytest.approx(score)), d[1]
+        found += bool(labels)
+    assert found > 60
+
+
 def test_licence_notices_are_found_with_gaps_in_place():
     index = licences.Index(1000, {})
     notice = "Redistribution and use in source and binary forms, with or without MODIFICATION, are permitted provided that these conditions are met"

@@ -2,7 +2,6 @@
 
 import math
 import re
-from urllib.parse import urlsplit
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -48,9 +47,10 @@ def plain_rule(url):
 
 
 def test_url_rules_and_verdicts(spark):
-    rows = [f"https://{'casino-win' if i % 5 == 0 else 'site' + str(i)}.example.com/{'de' if i % 7 == 0 else 'en'}/{i}?a={i}" for i in range(200)]
-    rows += [None, "", "no scheme", "http://", "HTTP://WWW.EXAMPLE.NET/en/x#f", "http://a.example.net", "ftp://x.org/fr/", "http://net/", "http://ünet/", "a://b://c.net/x", "http://x.net:80/", "http://h.net?x/", "line\nbreak://x.net/\ny?"]
-    rows += rows[:3]
+    rows = [f"https://{'s' * (i % 9)}ite.example.net/{'xx' if i % 3 else 'en'}/{i}" + "?a=1&b=77" * (i % 3 > 0) for i in range(300)]
+    rows += [f"https://site{i}.edu/xx/{i}" + "?a=1&b=77" * (i % 2) for i in range(40)]
+    rows += [None, "", "no scheme", "http://", "HTTP://WWW.EXAMPLE.NET/en/x#f", "http://a.example.net", "ftp://x.org/fr/", "http://net/", "http://\u00fcnet/", "a://b://c.net/x", "http://x.net:80/", "http://h.net?x/", "line\nbreak://x.net/\ny?", "http://x.edu/" + "long" * 50_000]
+    rows += rows[:3] * 50
     df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(rows)], "page_id long, url string, host string").repartition(3)
     found = urls.verdicts(df)
     got = {r["page_id"]: r for r in found.collect()}
@@ -60,28 +60,20 @@ def test_url_rules_and_verdicts(spark):
         host, path, rule = plain_rule(u)
         assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule), u
         assert got[i]["verdict"] == (says[rule] if rule else got[i]["verdict"]) and got[i]["verdict"] in ("allow", "block")
-    open_rows = [i for i in range(200) if not plain_rule(rows[i])[2]]
-    assert all((got[i]["verdict"] == "block") == ("casino" in urlsplit(rows[i]).netloc) for i in open_rows)
+    open_rows = [i for i in range(300, 340) if not plain_rule(rows[i])[2]]
+    assert all((got[i]["verdict"] == "block") == ("?" in rows[i]) for i in open_rows)
     plan = found._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert urls.verdicts(df.limit(0)).collect() == []
+    only = urls.verdicts(df.where("url like '%/en/%' or url like '%edu%'"))
+    assert {r["verdict"] for r in only.collect()} == {"allow"}
+    nothing = urls.verdicts(df.where("url like '%edu%'"))
+    assert {r["verdict"] for r in nothing.collect()} == {"allow"}
 
 
-def test_url_sample_is_of_distinct_urls(spark, monkeypatch):
-    monkeypatch.setattr(urls, "SAMPLE_ROWS", 100)
-    each = [f"https://{'casino-win' if i % 2 else 'site' + str(i)}.example.edu/x/{i}" for i in range(100)]
-    by_hash = [r["u"] for r in spark.createDataFrame([(u,) for u in each], "u string").orderBy(F.xxhash64("u"), "u").collect()]
-    first = next(u for u in by_hash if "casino" not in u)
-    before = by_hash[: by_hash.index(first)]
-    rows = each + [first] * 400 + [u for u in before for _ in range(20)]  # a hot URL, and groups of repeats
-    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string").repartition(3)
-    got = {r["page_id"]: r["verdict"] for r in urls.verdicts(df).collect()}
-    assert got == {i: "block" if "casino" in u else "allow" for i, u in enumerate(rows)}
-    hot = spark.createDataFrame(list(enumerate([by_hash[0]] * 400 + each)), "page_id long, url string")
-    assert {r["verdict"] for r in urls.verdicts(hot).collect()} == {"allow", "block"}
-
+def learned_rows(monkeypatch, df):
+    """The label and suffix statistics of the rows that the trees would learn from."""
 
-def test_suffix_statistics_cover_all_rows(spark, monkeypatch):
     class Seen(Exception):
         pass
 
@@ -90,18 +82,32 @@ def test_suffix_statistics_cover_all_rows(spark, monkeypatch):
             pass
 
         def fit(self, df):
-            raise Seen([tuple(r["features"].toArray()[-2:].round(9).tolist()) for r in df.collect()])
+            raise Seen([(r["blocked"], *r["features"].toArray()[[0, -2, -1]].round(9).tolist()) for r in df.collect()])
 
-    monkeypatch.setattr(urls, "SAMPLE_ROWS", 20)
     monkeypatch.setattr(urls, "GBTClassifier", Learner)
-    rows = [f"https://{'casino' if i % 2 else 'site'}.h{i % 30}.edu/{i}" for i in range(300)]
-    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string").repartition(3)
     try:
         urls.verdicts(df)
     except Seen as e:
-        assert e.args[0] == [(round(math.log1p(300), 9), round(math.log1p(10), 9))] * 20
-    else:
-        raise AssertionError("nothing was learned")
+        return e.args[0]
+    raise AssertionError("nothing was learned")
+
+
+def test_url_sample_is_of_distinct_labelled_urls(spark, monkeypatch):
+    each = [f"https://site{i}.{'net/' if i % 2 else 'org/fr/'}{'x' * (i % 40)}" for i in range(200)]
+    rows = each + each[:1] * 400 + each[:20] * 20 + [f"https://site{i}.edu/" for i in range(100)]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string").repartition(3)
+    seen = learned_rows(monkeypatch, df)
+    assert len(seen) == 200 and sum(x[0] for x in seen) == 100
+    monkeypatch.setattr(urls, "SAMPLE_ROWS", 50)
+    assert 25 < len(learned_rows(monkeypatch, df)) < 80
+
+
+def test_suffix_statistics_cover_all_rows(spark, monkeypatch):
+    rows = [f"https://h{i % 30}.{'net' if i % 2 else 'org'}/{'fr/' if i % 2 == 0 else ''}{i}" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string").repartition(3)
+    monkeypatch.setattr(urls, "SAMPLE_ROWS", 40)
+    seen = learned_rows(monkeypatch, df)
+    assert {x[2:] for x in seen} == {(round(math.log1p(150), 9), round(math.log1p(10), 9))}
 
 
 def test_near_copies_leave_one_of_each_class(spark):
