@@ -48,7 +48,7 @@ def plain_rule(url):
 
 def test_url_rules_and_verdicts(spark):
     rows = [f"https://{'s' * (i % 9)}ite.example.net/{'xx' if i % 3 else 'en'}/{i}" + "?a=1&b=77" * (i % 3 > 0) for i in range(300)]
-    rows += [f"https://site{i}.edu/xx/{i}" + "?a=1&b=77" * (i % 2) for i in range(40)]
+    rows += [f"https://{'s' * (i % 9)}ite.example.edu/xx/{100 + i}" + "?a=1&b=77" * (i % 2) for i in range(40)]
     rows += [None, "", "no scheme", "http://", "HTTP://WWW.EXAMPLE.NET/en/x#f", "http://a.example.net", "ftp://x.org/fr/", "http://net/", "http://\u00fcnet/", "a://b://c.net/x", "http://x.net:80/", "http://h.net?x/", "line\nbreak://x.net/\ny?", "http://x.edu/" + "long" * 50_000]
     rows += rows[:3] * 50
     df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(rows)], "page_id long, url string, host string").repartition(3)
