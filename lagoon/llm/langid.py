@@ -1,15 +1,18 @@
 """Language identification by segmentation-marginalised unigrams.
 
-The pieces are those of a fixed public vocabulary (a sentencepiece model's). A word's probability in a
-language is the sum over all its segmentations into pieces of the product of the pieces' probabilities,
+The pieces are those of a fixed public vocabulary (a sentencepiece model's), of any length. A word's probability
+in a language is the sum over all its segmentations into pieces of the product of the pieces' probabilities,
 by the forward algorithm; a text's is the product over its words. Piece probabilities are expected
 counts: a forward-backward pass under equal piece weights over every word of every learned document,
-summed by language and piece. Both passes are numpy over many words of one length at once.
-
-Learned from: non-null languages of documents that `train` selects. Defined cases: null text or a text
-without a letter is `und` with score 0; so is every text if nothing was learned; words over MAX_WORD
-letters are scored in parts of that length; unknown characters cost the same in every language; ties go
-to the smaller language name; a row with a null doc_id is scored and not learned from.
+summed by language and piece. Both passes are numpy over many words of one length at once; words above
+LONG letters go one by one, scaled at every letter, so that a product of any length stays a number.
+
+Learned from: non-null languages of documents that `train` selects; the model, a row for each language and piece, is
+held by the driver and every task. Defined cases: null text or a text without a letter is `und` with score 0; so is
+every text if nothing was learned (from an empty table, too); unknown characters cost the same in every language;
+ties go to the smaller language name; repeated rows are learned from each and get equal answers; long texts are
+scored KEPT_CHUNKS blank-separated chunks at a time; a row with a null doc_id is scored and not learned from; only
+the columns named are read, so no other can clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,40 +25,43 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagoon.llm.common import id_and_text, rows_out, slices
+from lagoon.llm.common import frugal, id_and_text, rows_out, slices
 
-MAX_PIECE = 8
-MAX_WORD = 24
+LONG = 24
 MARK = "▁"
 SMOOTH = 0.1
 UNKNOWN = 1e-7
 #: Chunks that a worker keeps scores of, and counts before it turns them into piece counts.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 300_000
 FLUSH_CHUNKS = 150_000
 SLOT_BITS = 22
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
-    """Numbers of the vocabulary's pieces of at most MAX_PIECE characters, found by a hash of their characters."""
+    """Numbers of the vocabulary's pieces, found by a hash of their characters; beginnings of pieces are known too."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-        self.pieces = sorted(p for p in found if len(p) <= MAX_PIECE and all(c.isalpha() or c == MARK for c in p))
-        names = np.zeros(len(self.pieces) + 1, np.uint64)  # the last one stands for no piece
-        for i, p in enumerate(self.pieces):
-            h = np.zeros(1, np.uint64)
-            for c in p:
-                h = self.step(h, np.array([ord(c)], np.uint64))
-            names[i] = h[0]
-        self.names = names
+        self.pieces = sorted(p for p in found if p and all(c.isalpha() or c == MARK for c in p))
+        self.longest = max(map(len, self.pieces), default=1)
+        hashes: dict[str, int] = {"": 0}
+        for p in self.pieces:
+            for n in range(1, len(p) + 1):
+                if p[:n] not in hashes:
+                    hashes[p[:n]] = int(self.step(np.array([hashes[p[: n - 1]]], np.uint64), np.array([ord(p[n - 1])], np.uint64))[0])
+        del hashes[""]
+        number = {p: i for i, p in enumerate(self.pieces)}
+        names = np.fromiter(hashes.values(), np.uint64, len(hashes))
+        self.names = np.append(names, np.uint64(0))  # of all beginnings; the last one stands for none
+        self.piece = np.array([number.get(x, -1) for x in hashes] + [-1], np.int64)
         self.slot = np.full(1 << SLOT_BITS, -1, np.int32)
-        at = names[:-1] >> np.uint64(64 - SLOT_BITS)
-        self.slot[at] = np.arange(len(self.pieces))
-        self.spilled = np.flatnonzero(self.slot[at] != np.arange(len(self.pieces)))  # names whose slot another one took
+        at = names >> np.uint64(64 - SLOT_BITS)
+        self.slot[at] = np.arange(len(names))
+        self.spilled = np.flatnonzero(self.slot[at] != np.arange(len(names)))  # names whose slot another one took
         self.spilled = self.spilled[np.argsort(names[self.spilled])]
 
     @staticmethod
@@ -65,7 +71,7 @@ class Pieces:
         return h ^ (h >> np.uint64(29))
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Piece by hash; -1 for none."""
+        """The beginning that has a hash; -1 for none."""
         i = self.slot[h >> np.uint64(64 - SLOT_BITS)]
         other = self.names[i] != h
         taken = np.flatnonzero(other & (i >= 0))
@@ -76,20 +82,61 @@ class Pieces:
             i[taken] = np.where(own[at] == h[taken], self.spilled[at], -1)
         return i
 
-    def lattice(self, codes: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """(start, length): for each word the piece there; len(pieces) an unknown character, +1 none."""
+    def lattice(self, codes: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+        """(start, length): the words that have a piece there, and the piece; len(pieces) for a character without one."""
         n, width = codes.shape
         out = {}
         for at in range(width):
-            h = np.zeros(n, np.uint64)
-            for size in range(1, min(MAX_PIECE, width - at) + 1):
-                h = self.step(h, codes[:, at + size - 1])
-                found = self.find(h)
-                found[found < 0] = len(self.pieces) + (size > 1)
-                out[at, size] = found
+            rows, h = np.arange(n), np.zeros(n, np.uint64)
+            for size in range(1, min(self.longest, width - at) + 1):
+                h = self.step(h, codes[rows, at + size - 1])
+                i = self.find(h)
+                piece = self.piece[i]
+                if size == 1:
+                    out[at, 1] = rows, np.where(piece < 0, len(self.pieces), piece)
+                else:
+                    good = np.flatnonzero(piece >= 0)
+                    if len(good):
+                        out[at, size] = rows[good], piece[good]
+                alive = np.flatnonzero(i >= 0)
+                if not len(alive):
+                    break
+                rows, h = rows[alive], h[alive]
+        return out
+
+    def along(self, codes: np.ndarray) -> np.ndarray:
+        """For one long word: [start, length - 1] the piece, len(pieces) for a character without one, -1 for none."""
+        out = np.full((len(codes), self.longest), -1, np.int64)
+        rows, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        for size in range(1, self.longest + 1):
+            inside = rows + size <= len(codes)
+            rows, h = rows[inside], h[inside]
+            h = self.step(h, codes[rows + size - 1])
+            i = self.find(h)
+            out[rows, size - 1] = self.piece[i]
+            rows, h = rows[i >= 0], h[i >= 0]
+        out[:, 0] = np.where(out[:, 0] < 0, len(self.pieces), out[:, 0])
         return out
 
 
+def coded(word: str) -> np.ndarray:
+    """The characters of a word with the mark in front."""
+    return np.array([ord(MARK), *map(ord, word)], np.uint64)
+
+
+def long_sums(piece: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums over the segmentations of each prefix of a long word, by language."""
+    n, longest = piece.shape
+    logs = np.zeros((n + 1, weights.shape[1]))
+    for end in range(1, n + 1):
+        sizes = np.arange(1, min(longest, end) + 1)
+        found = piece[end - sizes, sizes - 1]
+        sizes, found = sizes[found >= 0], found[found >= 0]
+        # relative to the prefix before, whose logarithm is kept apart
+        logs[end] = logs[end - 1] + np.log((weights[found] * np.exp(logs[end - sizes] - logs[end - 1])).sum(axis=0))
+    return logs
+
+
 def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of the words of each length, and their character codes with the mark in front."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -100,45 +147,64 @@ def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield part, np.concatenate([np.full((len(part), 1), ord(MARK), np.uint64), codes.astype(np.uint64)], axis=1)
 
 
-def forward(lattice: dict, weights: np.ndarray, width: int) -> list[np.ndarray]:
-    """Sums over the segmentations of each prefix; weights[piece] a row for each language."""
-    out = [np.ones((len(lattice[0, 1]), weights.shape[1]))]
-    for end in range(1, width + 1):
-        out.append(sum(out[end - size] * weights[lattice[end - size, size]] for size in range(1, min(MAX_PIECE, end) + 1)))
+def forward(lattice: dict, weights: np.ndarray, n: int, width: int) -> list[np.ndarray]:
+    """Sums over the segmentations of each prefix of n words; weights[piece] a row for each language."""
+    out = [np.ones((n, weights.shape[1])), *(np.zeros((n, weights.shape[1])) for _ in range(width))]
+    for (start, size), (rows, piece) in lattice.items():  # in order of the starts
+        out[start + size][rows] += out[start][rows] * weights[piece]
     return out
 
 
+def backward(lattice: dict, weights: np.ndarray, n: int, width: int) -> list[np.ndarray]:
+    """Sums over the segmentations of what follows each prefix."""
+    out = [*(np.zeros((n, weights.shape[1])) for _ in range(width)), np.ones((n, weights.shape[1]))]
+    for (start, size), (rows, piece) in reversed(lattice.items()):
+        out[start][rows] += weights[piece] * out[start + size][rows]
+    return out
+
+
+def long_log(pieces: Pieces, word: str, weights: np.ndarray) -> np.ndarray:
+    """The logarithm of a long word's probability in each language."""
+    return long_sums(pieces.along(coded(word)), weights)[-1]
+
+
 def expected(pieces: Pieces, words: list[str], counts: np.ndarray) -> np.ndarray:
     """counts[word, language] to expected piece counts[piece, language] under equal weights."""
     n = len(pieces.pieces)
-    weights = np.concatenate([np.full(n, 1.0 / max(n, 1)), [UNKNOWN, 0.0]])[:, None]
-    total = np.zeros((n + 2, counts.shape[1]))
-    for at, codes in by_length(words):
-        width = codes.shape[1]
+    weights = np.concatenate([np.full(n, 1.0 / max(n, 1)), [UNKNOWN]])[:, None]
+    total = np.zeros((n + 1, counts.shape[1]))
+
+    def add(piece: np.ndarray, share: np.ndarray, own: np.ndarray) -> None:
+        for g in range(counts.shape[1]):
+            total[:, g] += np.bincount(piece, share * own[..., g], n + 1)
+
+    short = [i for i, w in enumerate(words) if len(w) <= LONG]
+    for at, codes in by_length([words[i] for i in short]):
+        at, (m, width) = np.array(short)[at], codes.shape
         lattice = pieces.lattice(codes)
-        ahead = forward(lattice, weights, width)
-        behind: list = [None] * width + [np.ones((len(at), 1))]
-        for start in range(width - 1, -1, -1):
-            behind[start] = sum(weights[lattice[start, size]] * behind[start + size] for size in range(1, min(MAX_PIECE, width - start) + 1))
-        for (start, size), piece in lattice.items():
-            share = (ahead[start] * weights[piece] * behind[start + size] / ahead[width])[:, 0]
-            for g in range(counts.shape[1]):
-                total[:, g] += np.bincount(piece, share * counts[at, g], n + 2)
+        ahead, behind = forward(lattice, weights, m, width), backward(lattice, weights, m, width)
+        for (start, size), (rows, piece) in lattice.items():
+            add(piece, (ahead[start][rows] * weights[piece] * behind[start + size][rows] / ahead[width][rows])[:, 0], counts[at[rows]])
+    for i in set(range(len(words))).difference(short):
+        piece = pieces.along(coded(words[i]))
+        # what follows a prefix is what precedes in the word read backwards
+        turned = np.full(piece.shape, -1, np.int64)
+        start, size = np.nonzero(piece >= 0)
+        turned[len(piece) - start - size - 1, size] = piece[start, size]
+        ahead, behind = long_sums(piece, weights)[:, 0], long_sums(turned, weights)[::-1, 0]
+        share = np.exp(ahead[start] + np.log(weights[piece[start, size], 0]) + behind[start + size + 1] - ahead[-1])
+        add(piece[start, size], share, np.broadcast_to(counts[i], (len(start), counts.shape[1])))
     return total[:n]
 
 
 def words_of(chunk: str) -> list[str]:
-    """Lower-cased runs of letters, cut after MAX_WORD letters."""
+    """Lower-cased runs of letters."""
     low = chunk.lower()
     if low.isalpha():
-        found = [low]
-    elif low[:-1].isalpha():
-        found = [low[:-1]]
-    else:
-        found = "".join([c if c.isalpha() else " " for c in low]).split()
-    if len(low) <= MAX_WORD:
-        return found
-    return [w[i : i + MAX_WORD] for w in found for i in range(0, len(w), MAX_WORD)]
+        return [low]
+    if low[:-1].isalpha():
+        return [low[:-1]]
+    return "".join([c if c.isalpha() else " " for c in low]).split()
 
 
 _pieces: dict[str, Pieces] = {}
@@ -158,6 +224,7 @@ def learn(docs: DataFrame, train: Column, path: str, lang_col: str = "lang", tex
     """
     kept = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_at(path)
         seen: dict[str, Counter] = {}  # by language, blank-separated chunks
@@ -198,7 +265,7 @@ class Scorer(dict):
 
     def __init__(self, pieces: Pieces, probability: np.ndarray):
         self.pieces, k = pieces, probability.shape[1]
-        self.weights = np.concatenate([probability, np.full((1, k), UNKNOWN), np.zeros((1, k))])
+        self.weights = np.concatenate([probability, np.full((1, k), UNKNOWN)])
         self.words: dict[str, int] = {}
         self.rows = np.zeros((1, k))
 
@@ -212,9 +279,7 @@ class Scorer(dict):
         plain, several = [], []  # chunks of one word, which are most, and others
         for c in new:
             low = c.lower()
-            if len(low) > MAX_WORD:
-                several.append((c, words_of(c)))
-            elif low.isalpha():
+            if low.isalpha():
                 plain.append((c, low))
             elif low[:-1].isalpha():
                 plain.append((c, low[:-1]))
@@ -225,8 +290,11 @@ class Scorer(dict):
         words.update(*(x for _, x in several))
         words = list(words.difference(known))
         found = np.empty((len(words), self.weights.shape[1]))
-        for at, codes in by_length(words):
-            found[at] = np.log(forward(self.pieces.lattice(codes), self.weights, codes.shape[1])[-1])
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        for at, codes in by_length([words[i] for i in short]):
+            found[np.array(short)[at]] = np.log(forward(self.pieces.lattice(codes), self.weights, *codes.shape)[-1])
+        for i in set(range(len(words))).difference(short):
+            found[i] = long_log(self.pieces, words[i], self.weights)
         known.update(zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True))
         self.update([(c, known[w]) for c, w in plain])
         rows, more = np.concatenate([self.rows, found]), []
@@ -263,6 +331,7 @@ class Scorer(dict):
 def predict(docs: DataFrame, langs: list[str], probability: np.ndarray, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (the posterior under equal priors) for each row of docs."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(pieces_at(path), probability)
         for part in slices(batches, 1024):

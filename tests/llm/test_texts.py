@@ -237,29 +237,60 @@ def test_many_kinds_of_words_stay_exact():
     assert (quality.repeats(quality.exact_trigrams(ids, 3_000_000))[0] == quality.repeats(quality.exact_trigrams(ids, 7))[0]).all()
 
 
-def test_language_forward_sums_all_segmentations():
+def plain_segmentations(number, word):
+    """All segmentations of a word into pieces and single characters, as lists of (piece or None)."""
+    if not word:
+        return [[]]
+    out = []
+    for n in range(1, len(word) + 1):
+        p = number.get(word[:n])
+        if p is not None or n == 1:
+            out += [[p, *rest] for rest in plain_segmentations(number, word[n:])]
+    return out
+
+
+LANGUAGE_WORDS = ["the", "stra\u00dfe", "a", "\u6f22\u5b57", "question", "population", "xqzj"]
+
+
+@pytest.mark.parametrize("long", [24, 3])  # 3: nearly all words go the way of long ones
+def test_language_forward_sums_all_segmentations(monkeypatch, long):
+    monkeypatch.setattr(langid, "LONG", long)
     pieces = langid.pieces_at(PIECES)
+    assert pieces.longest == 16
     rng = np.random.default_rng(0)
     probability = rng.random((len(pieces.pieces), 2))
     number = {p: i for i, p in enumerate(pieces.pieces)}
 
-    def plain(word):  # all segmentations, by recursion
-        if not word:
-            return np.ones(2)
-        total = np.zeros(2)
-        for n in range(1, min(langid.MAX_PIECE, len(word)) + 1):
-            p = number.get(word[:n])
-            total += (probability[p] if p is not None else langid.UNKNOWN if n == 1 else 0.0) * plain(word[n:])
-        return total
+    def plain(word):
+        return sum(np.prod([probability[p] if p is not None else np.full(2, langid.UNKNOWN) for p in way], axis=0) for way in plain_segmentations(number, "\u2581" + word))
 
-    words = ["the", "straße", "a", "漢字", "question"]
     scorer = langid.Scorer(pieces, probability)
-    scorer.add(set(words))
-    for w in words:
-        assert scorer.rows[scorer[w]] == pytest.approx(np.log(plain("▁" + w)))
+    scorer.add(set(LANGUAGE_WORDS))
+    for w in LANGUAGE_WORDS:
+        assert scorer.rows[scorer[w]] == pytest.approx(np.log(plain(w)))
     scorer.add({"The-question,", "12"})
     assert scorer["12"] == 0 and scorer.rows[scorer["The-question,"]] == pytest.approx(scorer.rows[scorer["the"]] + scorer.rows[scorer["question"]])
-    assert [pieces.find(pieces.names[i : i + 1])[0] for i in range(0, len(pieces.pieces), 7)] == list(range(0, len(pieces.pieces), 7))
+    named = pieces.find(pieces.names[:-1])
+    assert (named == np.arange(len(named))).all()
+    assert np.isfinite(langid.long_log(pieces, "donau" * 2000, scorer.weights)).all()
+
+
+@pytest.mark.parametrize("long", [24, 3])
+def test_expected_counts_weigh_all_segmentations(monkeypatch, long):
+    monkeypatch.setattr(langid, "LONG", long)
+    pieces = langid.pieces_at(PIECES)
+    number, n = {p: i for i, p in enumerate(pieces.pieces)}, len(pieces.pieces)
+    counts = np.random.default_rng(1).integers(0, 5, (len(LANGUAGE_WORDS), 2)).astype(float)
+    want = np.zeros((n, 2))
+    for w, c in zip(LANGUAGE_WORDS, counts, strict=True):
+        ways = plain_segmentations(number, "\u2581" + w)
+        share = np.array([np.prod([1 / n if p is not None else langid.UNKNOWN for p in way]) for way in ways])
+        for way, x in zip(ways, share / share.sum(), strict=True):
+            for p in way:
+                if p is not None:
+                    want[p] += x * c
+    got = langid.expected(pieces, LANGUAGE_WORDS, counts)
+    assert got == pytest.approx(want, abs=1e-9)
 
 
 def test_language_prediction(spark):
@@ -273,6 +304,21 @@ def test_language_prediction(spark):
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(df, langs, probability, PIECES).collect()}
     assert got[500] == ("und", 0.0) and got[501] == ("und", 0.0) and got[None][0] == "xx"
     assert all(got[i][0] == ["en", "xx"][i % 2] for i in range(80))
+    # repeated rows, ties, a long word and more chunks than are kept at once
+    twice = {(r["doc_id"], r["lang_pred"]) for r in langid.predict(df.union(df), langs, probability, PIECES).collect()}
+    assert twice == {(r["doc_id"], r["lang_pred"]) for r in langid.predict(df, langs, probability, PIECES).collect()}
+    same = langid.predict(df, ["b", "a"][::-1], np.full((len(probability), 2), 1e-4), PIECES).where("doc_id < 80")
+    assert {(r["lang_pred"], r["score"]) for r in same.collect()} == {("a", 0.5)}
+    long = frame(spark, [(1, "etaoin" * 3000, "en", "s", 0), (2, prose(rng, 400, letters["xx"]), "xx", "s", 0)])
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(long, langs, probability, PIECES).collect()} == {1: "en", 2: "xx"}
+    scorer = langid.Scorer(langid.pieces_at(PIECES), probability)
+    text = prose(rng, 300, letters["xx"])
+    whole = scorer.scores([text])[0]
+    kept, langid.KEPT_CHUNKS = langid.KEPT_CHUNKS, 40
+    try:
+        assert langid.Scorer(langid.pieces_at(PIECES), probability).scores([text])[0] == pytest.approx(whole)
+    finally:
+        langid.KEPT_CHUNKS = kept
     nothing = langid.learn(df, F.lit(False), PIECES)
     assert {r["lang_pred"] for r in langid.predict(df, *nothing, PIECES).collect()} == {"und"}
 

@@ -11,8 +11,7 @@ from tests.llm.cases import documents, frame, prose, rows_of
 
 
 def test_top_k_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "DATA_GROUP", 300)
-    monkeypatch.setattr(topk, "QUERY_GROUP", 8)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=8).round(2).tolist()) for i in range(900)]
     rows += [(1000 + i, rows[5][1]) for i in range(20)]  # ties
@@ -28,6 +27,24 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     assert rows_of(topk.top_k(df)) == sorted(want, key=repr)
 
 
+def test_reading_stops_when_no_outsider_can_qualify():
+    rng = np.random.default_rng(9)
+    for spread in (1, 40):  # rows that differ little, and rows of which a few stand out
+        values = rng.integers(-20, 20, (400, 6))
+        values[:6] *= spread
+        queries, ids = values[:40].copy(), np.arange(400)
+        q, r, score, steps = topk.best(ids, values, ids[:40], queries, 3, np.full(40, -np.inf))
+        exact = queries @ values.T
+        for i in range(40):
+            want = sorted((-exact[i, j], j) for j in range(400) if j != i)[:3]
+            mine = sorted((-s, j) for s, j in zip(score[q == i].tolist(), r[q == i].tolist(), strict=True))
+            assert mine[:3] == want and (len(mine) == 3 or steps[i] == topk.STEPS)
+        assert (steps < topk.STEPS).any()
+    # with what earlier blocks gave, a block without good rows is left early
+    steps = topk.best(ids, values, ids[:40] + 1000, queries, 3, np.full(40, 1e9))[3]
+    assert (steps == 1).all()
+
+
 def test_top_k_of_few_and_no_rows(spark):
     few = spark.createDataFrame([(0, [1.0]), (1, [-1.0])], "vec_id long, embedding array<float>")
     assert rows_of(topk.top_k(few)) == [(0, 1, 1, -65536)]
