@@ -36,6 +36,7 @@ KEPT_CHUNKS = 300_000
 FLUSH_CHUNKS = 150_000
 SLOT_BITS = 22
 BASE = np.uint64(0x9E3779B97F4A7C15)
+EVERY = slice(None)
 
 
 class Pieces:
@@ -85,15 +86,15 @@ class Pieces:
     def lattice(self, codes: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
         """(start, length): the words that have a piece there, and the piece; len(pieces) for a character without one."""
         n, width = codes.shape
-        out = {}
+        out, all_ = {}, np.arange(n)
         for at in range(width):
-            rows, h = np.arange(n), np.zeros(n, np.uint64)
+            rows, h = all_, np.zeros(n, np.uint64)
             for size in range(1, min(self.longest, width - at) + 1):
-                h = self.step(h, codes[rows, at + size - 1])
+                h = self.step(h, codes[:, at + size - 1] if rows is all_ else codes[rows, at + size - 1])
                 i = self.find(h)
                 piece = self.piece[i]
                 if size == 1:
-                    out[at, 1] = rows, np.where(piece < 0, len(self.pieces), piece)
+                    out[at, 1] = EVERY, np.where(piece < 0, len(self.pieces), piece)
                 else:
                     good = np.flatnonzero(piece >= 0)
                     if len(good):
@@ -101,7 +102,8 @@ class Pieces:
                 alive = np.flatnonzero(i >= 0)
                 if not len(alive):
                     break
-                rows, h = rows[alive], h[alive]
+                if len(alive) < len(rows):
+                    rows, h = rows[alive], h[alive]
         return out
 
     def along(self, codes: np.ndarray) -> np.ndarray:
@@ -176,15 +178,15 @@ def expected(pieces: Pieces, words: list[str], counts: np.ndarray) -> np.ndarray
 
     def add(piece: np.ndarray, share: np.ndarray, own: np.ndarray) -> None:
         for g in range(counts.shape[1]):
-            total[:, g] += np.bincount(piece, share * own[..., g], n + 1)
+            total[:, g] += np.bincount(piece, share * own[:, g], n + 1)
 
     short = [i for i, w in enumerate(words) if len(w) <= LONG]
     for at, codes in by_length([words[i] for i in short]):
         at, (m, width) = np.array(short)[at], codes.shape
         lattice = pieces.lattice(codes)
         ahead, behind = forward(lattice, weights, m, width), backward(lattice, weights, m, width)
-        for (start, size), (rows, piece) in lattice.items():
-            add(piece, (ahead[start][rows] * weights[piece] * behind[start + size][rows] / ahead[width][rows])[:, 0], counts[at[rows]])
+        shares = [(ahead[start][rows] * weights[piece] * behind[start + size][rows] / ahead[width][rows])[:, 0] for (start, size), (rows, piece) in lattice.items()]
+        add(np.concatenate([p for _, p in lattice.values()]), np.concatenate(shares), counts[np.concatenate([at[rows] for rows, _ in lattice.values()])])
     for i in set(range(len(words))).difference(short):
         piece = pieces.along(coded(words[i]))
         # what follows a prefix is what precedes in the word read backwards

@@ -47,7 +47,7 @@ SEQUENCE = 4096
 WINDOW_SEQUENCES = 16
 TAILS = 64
 END = 2
-KEPT_CHUNKS = 100_000
+KEPT_CHUNKS = 200_000
 #: Whole chunks of printable Latin letters, digits and signs: normal forms and case are plain there.
 LATIN = re.compile("[!-~\u00a1-\u024f]+").fullmatch
 #: Rows of (partition, queue) starts that may be broadcast; beyond, they are joined by a shuffle.
