@@ -1,9 +1,14 @@
-"""First and second moments over lags: one aggregation feeds every covariance, correlation and linear model."""
+"""First and second moments over lags: one aggregation feeds every covariance, correlation and linear model.
+
+A row with a null value is no observation of the vector series: moments over lags are taken without it, and windows
+that lack it aren't full. That holds for the generated aggregation and for the kernel alike.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +63,11 @@ def centred_covariance(ts: TimeSeries) -> DataFrame:
 # lag moments
 
 
+def observed(ts: TimeSeries) -> TimeSeries:
+    """Only rows that have all values."""
+    return ts.filter(reduce(lambda a, b: a & b, [F.col(v).isNotNull() for v in ts.values]))
+
+
 def by_block(ts: TimeSeries, bck: int, fwd: int, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray | None]) -> np.ndarray | None:
     """Sum over all blocks of kernel(ticks, values, is_target), an array of fixed size; None without rows.
 
@@ -120,6 +130,7 @@ class LagGram:
 def lag_gram(ts: TimeSeries, max_lag: int) -> LagGram:
     """One job for everything that a linear model with max_lag lags needs."""
     ts.require(bck=max_lag * ts.delta)
+    ts = observed(ts)
     d, width, reach = ts.dim, max_lag + 1, max_lag * ts.delta
 
     def kernel(t: np.ndarray, v: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -160,7 +171,7 @@ def _lag_columns(ts: TimeSeries, max_lag: int) -> tuple[DataFrame, Column]:
 
 def _lag_frame(ts: TimeSeries, max_lag: int, mean: np.ndarray | None, cells: list[tuple[int, int, int]]) -> DataFrame:
     """One row: c{h}_{i}_{j} = E over full windows of x_t[i] x_{t-h}[j], less m m'; lazily, without a job."""
-    rows, full = _lag_columns(ts, max_lag)
+    rows, full = _lag_columns(observed(ts), max_lag)
     products = [F.avg(F.when(full, F.col(f"l0_{i}") * F.col(f"l{h}_{j}"))).alias(f"p{h}_{i}_{j}") for h, i, j in cells]
     means = [F.avg(f"l0_{i}").alias(f"m{i}") if mean is None else F.max(F.lit(float(mean[i]))).alias(f"m{i}") for i in range(ts.dim)]
     sums = rows.agg(*products, *means)

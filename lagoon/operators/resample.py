@@ -41,13 +41,17 @@ GRID_PIECE = 1 << 16
 
 def fill_grid(df: DataFrame, tick: str, values: list[str], delta: int = 1, fill: float = 0.0, keys: tuple[str, ...] = ()) -> DataFrame:
     """Every tick from the first to the last (of each key), missing ones filled."""
-    edge = (df.groupBy(*keys) if keys else df).agg(F.min(tick).alias("_lo"), F.max(tick).alias("_hi"))
+    df = df.select(*keys, tick, *values)
+    # all columns, so that the plan below is the same for both uses and its exchange is made once
+    whole = F.struct(tick, *values)
+    edge = (df.where(F.col(tick).isNotNull()).groupBy(*keys) if keys else df.where(F.col(tick).isNotNull())).agg(F.min(whole).alias("a"), F.max(whole).alias("b"))
+    edge = edge.select(*keys, F.col(f"a.`{tick}`").alias("_lo"), F.col(f"b.`{tick}`").alias("_hi"))
     # without rows there is no grid
     piece = F.lit(delta * GRID_PIECE).cast("long")
     pieces = edge.where("_lo is not null").select(*keys, "_hi", F.explode(F.sequence("_lo", "_hi", piece)).alias("_lo"))
     pieces = pieces.repartition(*keys, "_lo")
     grid = pieces.select(*keys, F.explode(F.sequence(F.col("_lo"), F.least(F.col("_hi"), F.col("_lo") + piece - 1), F.lit(delta).cast("long"))).alias(tick))
-    return grid.join(df.select(*keys, tick, *values), [*keys, tick], "left").fillna(fill, values)
+    return grid.join(df, [*keys, tick], "left").fillna(fill, values)
 
 
 def pivot_merge(df: DataFrame, tick: Column, name: str, names: list, value: Column, fill: float = 0.0) -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Leaves up to which point lookups broadcast the leaf table.
-BROADCAST_LEAVES = 50_000
+from lagoon.series import unused
+
+#: Cells up to which point lookups broadcast the table of cells and their leaves.
+BROADCAST_CELLS = 50_000
 
 
 def bounding_box(df: DataFrame, lon: str, lat: str, box: tuple[float, float, float, float]) -> DataFrame:
@@ -61,8 +64,8 @@ class Leaf:
 class QuadTree:
     """Cells split in four while they hold more than min_samples rows, down to one grid cell; from grid counts, whose size the grid fixes."""
 
-    def __init__(self, leaves: list[Leaf], box: tuple[float, float, float, float]):
-        self.leaves, self.box = leaves, box
+    def __init__(self, leaves: list[Leaf], box: tuple[float, float, float, float], leaf_of: np.ndarray):
+        self.leaves, self.box, self.leaf_of = leaves, box, leaf_of  # leaf_of[ix, iy]: the leaf of a grid cell
 
     @classmethod
     def build(cls, counts: DataFrame, box: tuple[float, float, float, float], n_lon: int, n_lat: int, min_samples: int) -> QuadTree:
@@ -72,6 +75,7 @@ class QuadTree:
         lon = lambda i: box[0] + (box[2] - box[0]) * i / n_lon
         lat = lambda i: box[1] + (box[3] - box[1]) * i / n_lat
         leaves: list[Leaf] = []
+        leaf_of = np.zeros((n_lon, n_lat), np.int32)
         todo = [(0, n_lon, 0, n_lat)]
         while todo:
             a, b, c, d = todo.pop()
@@ -80,8 +84,9 @@ class QuadTree:
                 across, up = sorted({a, (a + b) // 2, b}), sorted({c, (c + d) // 2, d})
                 todo += [(x0, x1, y0, y1) for x0, x1 in zip(across, across[1:], strict=False) for y0, y1 in zip(up, up[1:], strict=False)][::-1]
             else:
+                leaf_of[a:b, c:d] = len(leaves)
                 leaves.append(Leaf(len(leaves), lon(a), lat(c), lon(b), lat(d), n))
-        return cls(leaves, box)
+        return cls(leaves, box, leaf_of)
 
     def leaves_df(self, spark) -> DataFrame:
         """leaf_id, edges, centre and count of each leaf."""
@@ -90,14 +95,12 @@ class QuadTree:
 
     def align(self, df: DataFrame, lon: str, lat: str) -> DataFrame:
         """df with its leaf's leaf_id, lon_c and lat_c; null outside the box. Upper edges of the box belong to the last leaves."""
-        leaves = self.leaves_df(df.sparkSession).drop("n")
-        edge = lambda x, low, high, end: (F.col(x) >= F.col(low)) & ((F.col(x) < F.col(high)) | ((F.col(high) == end) & (F.col(x) == end)))
-        inside = edge(lon, "lon0", "lon1", self.box[2]) & edge(lat, "lat0", "lat1", self.box[3])
-        small = len(self.leaves) <= BROADCAST_LEAVES
-        if small:
-            return df.join(F.broadcast(leaves), inside, "left").drop("lon0", "lat0", "lon1", "lat1")
-        strips = 1024  # a range join by strips of lon
-        strip = lambda c: cell(c, self.box[0], self.box[2], strips)
-        reached = leaves.withColumn("_strip", F.explode(F.sequence(strip("lon0"), strip("lon1"))))
-        rows = df.withColumn("_strip", strip(lon))
-        return rows.join(reached, (rows["_strip"] == reached["_strip"]) & inside, "left").drop("lon0", "lat0", "lon1", "lat1", "_strip")
+        spark, (n_lon, n_lat) = df.sparkSession, self.leaf_of.shape
+        ix, iy = np.indices(self.leaf_of.shape)
+        ix_name, iy_name = unused(df, "ix"), unused(df, "iy")
+        cells = spark.createDataFrame(pa.table({ix_name: ix.ravel().astype(np.int32), iy_name: iy.ravel().astype(np.int32), "leaf_id": self.leaf_of.ravel()}))
+        cells = cells.join(F.broadcast(self.leaves_df(spark).select("leaf_id", "lon_c", "lat_c")), "leaf_id") if ix.size <= BROADCAST_CELLS else cells.join(self.leaves_df(spark).select("leaf_id", "lon_c", "lat_c"), "leaf_id")
+        inside = F.col(lon).between(self.box[0], self.box[2]) & F.col(lat).between(self.box[1], self.box[3])
+        at = {ix_name: F.when(inside, cell(lon, self.box[0], self.box[2], n_lon)), iy_name: F.when(inside, cell(lat, self.box[1], self.box[3], n_lat))}
+        cells = F.broadcast(cells) if ix.size <= BROADCAST_CELLS else cells
+        return df.withColumns(at).join(cells, [ix_name, iy_name], "left").select(*df.columns, "leaf_id", "lon_c", "lat_c")

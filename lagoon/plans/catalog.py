@@ -6,12 +6,11 @@ values are taken in decimals, so that both engines get the same doubles; other r
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lagoon.functions import tables
 from lagoon.functions import time as tf
 from lagoon.functions.linalg import make_stable, spectral_radius
 from lagoon.operators import intervals, joins, models, moments, optim, resample, seasonal, spatial, spectrum, windows
@@ -376,7 +375,9 @@ def var_residual_moment(spark, sf_dir):
 
 def _model(fit):
     def run(spark, sf_dir):
-        return _round(fit(_hourly(spark, sf_dir, bck=40, fwd=40)).to_df(spark), 6, "value")
+        df = fit(_hourly(spark, sf_dir, bck=40, fwd=40)).to_df(spark)
+        # variances are some 10^5 times as large as coefficients
+        return df.withColumn("value", F.when(F.col("kind") == "noise", F.round("value", 3)).otherwise(F.round("value", 6)) + F.lit(0.0))
 
     return run
 
@@ -394,18 +395,97 @@ QUERIES |= {
 }
 
 
-@query()
+def _eliminated(given: str, steps: int, name: str = "e") -> str:
+    """name(k, i, j, x): the matrix given(i, j, x) after k steps of Gauss-Jordan elimination; rows k and below hold the Schur complement."""
+    return (
+        f"{name}(k, i, j, x) AS (SELECT 0, i, j, x FROM {given} UNION ALL "
+        f"SELECT a.k + 1, a.i, a.j, CASE WHEN a.i = a.k THEN r.x / d.x ELSE a.x - c.x * r.x / d.x END FROM {name} a "
+        f"JOIN {name} r ON r.i = a.k AND r.j = a.j JOIN {name} c ON c.i = a.i AND c.j = a.k JOIN {name} d ON d.i = a.k AND d.j = a.k WHERE a.k < {steps})"
+    )
+
+
+def _cell_at(k: int, i: int, j: int, table: str = "e") -> str:
+    return f"(SELECT x FROM {table} WHERE k = {k} AND i = {i} AND j = {j})"
+
+
+#: Yule-Walker equations: rows and columns (lag, dimension), the right side is the covariance with the present.
+def _walker(lags: int) -> str:
+    left = "SELECT CAST(2 * h.h + i.i AS INTEGER) AS i, CAST(2 * g.h + j.i AS INTEGER) AS j, c.value AS x FROM range({0}) h(h), range({0}) g(h), range(2) i(i), range(2) j(i), c WHERE c.h = abs(g.h - h.h) AND CASE WHEN g.h >= h.h THEN c.i = i.i AND c.j = j.i ELSE c.i = j.i AND c.j = i.i END"
+    right = "SELECT CAST(2 * (c.h - 1) + c.j AS INTEGER), CAST(2 * {0} + c.i AS INTEGER), c.value FROM c WHERE c.h BETWEEN 1 AND {0}"
+    return f"y AS ({left.format(lags)} UNION ALL {right.format(lags)}), {_eliminated('y', 2 * lags)}, a AS (SELECT CAST(i // 2 + 1 AS INTEGER) AS lag, CAST(j - {2 * lags} AS INTEGER) AS i, CAST(i % 2 AS INTEGER) AS j, x FROM e WHERE k = {2 * lags} AND j >= {2 * lags})"
+
+
+_RECURSIVE = f"WITH RECURSIVE {S}, "
+SQL["var_model"] = f"""{_RECURSIVE}{_lag_sql(lags=3)}, {_walker(3)}
+SELECT 'ar' AS kind, lag, i, j, round(x, 6) + 0.0 AS value FROM a UNION ALL
+SELECT 'noise', 0, c.i, c.j, round(c.value - (SELECT sum(a.x * b.value) FROM a JOIN c b ON b.h = a.lag AND b.j = a.j WHERE a.i = c.i AND b.i = c.j), 3) FROM c WHERE h = 0"""
+
+
+def _innovated(lags: int, dims: int, mean0: str = "(SELECT avg(v0) FROM s)", mean1: str = "(SELECT avg(v1) FROM s)", only: int = 0) -> str:
+    """e: the block Toeplitz matrix of lags 0..lags after eliminating, block by block; of one dimension alone if dims is 1."""
+    n = dims * (lags + 1)
+    block = f"SELECT CAST(p.p AS INTEGER) AS i, CAST(q.q AS INTEGER) AS j, c.value AS x FROM range({n}) p(p), range({n}) q(q), c WHERE c.h = abs(p.p // {dims} - q.q // {dims}) AND "
+    own = f"c.i = {only} AND c.j = {only}" if dims == 1 else "CASE WHEN p.p // 2 >= q.q // 2 THEN c.i = p.p % 2 AND c.j = q.q % 2 ELSE c.i = q.q % 2 AND c.j = p.p % 2 END"
+    return f"{_lag_sql(mean0, mean1, lags)}, y{only} AS ({block}{own}), {_eliminated(f'y{only}', dims * lags, f'e{only}')}"
+
+
+def _scalar_models() -> tuple[str, str]:
+    """MA(2) and ARMA(1, 1) of each dimension from 20 innovation steps."""
+    head = f"{_RECURSIVE}{_innovated(20, 1)}, " + _innovated(20, 1, only=1).split("), y1 AS", 1)[1].join(["y1 AS", ""])
+    psi = lambda d, j: f"{_cell_at(20 - j, 20, 20 - j, f'e{d}')} / {_cell_at(20 - j, 20 - j, 20 - j, f'e{d}')}"
+    z = " UNION ALL ".join(f"SELECT {d} AS dim, {psi(d, 1)} AS p1, {psi(d, 2)} AS p2, {_cell_at(20, 20, 20, f'e{d}')} AS v" for d in (0, 1))
+    rows = lambda *x: " UNION ALL ".join(f"SELECT dim, '{k}' AS kind, {h} AS lag, round({v}, {n}) + 0.0 AS value FROM z" for k, h, v, n in x)
+    noise = ("noise", 0, "v", 3)
+    return f"{head}, z AS ({z}) " + rows(("ma", 1, "p1", 6), ("ma", 2, "p2", 6), noise), f"{head}, z AS ({z}) " + rows(("ar", 1, "p2 / p1", 6), ("ma", 1, "p1 - p2 / p1", 6), noise)
+
+
+def _vector_models(source: str = _RECURSIVE) -> tuple[str, str]:
+    """VMA(1) and VARMA(1, 1) from 20 innovation steps."""
+    columns = []
+    for j in (1, 2):
+        at = 2 * (20 - j)
+        columns += [f"{_cell_at(at, 40 + a, at + b, 'e0')} AS a{j}{a}{b}, {_cell_at(at, at + a, at + b, 'e0')} AS b{j}{a}{b}" for a in (0, 1) for b in (0, 1)]
+    columns += [f"{_cell_at(40, 40 + a, 40 + b, 'e0')} AS n{a}{b}" for a in (0, 1) for b in (0, 1)]
+    psi = [f"(a{j}{a}0 * {('b' + str(j) + '11', '-b' + str(j) + '01')[b]} + a{j}{a}1 * {('-b' + str(j) + '10', 'b' + str(j) + '00')[b]}) / (b{j}00 * b{j}11 - b{j}01 * b{j}10) AS p{j}{a}{b}" for j in (1, 2) for a in (0, 1) for b in (0, 1)]
+    ar = [f"(p2{a}0 * {('p111', '-p101')[b]} + p2{a}1 * {('-p110', 'p100')[b]}) / (p100 * p111 - p101 * p110) AS f{a}{b}" for a in (0, 1) for b in (0, 1)]
+    head = f"{source}{_innovated(20, 2)}, z0 AS (SELECT {', '.join(columns)}), z1 AS (SELECT *, {', '.join(psi)} FROM z0), z AS (SELECT *, {', '.join(ar)} FROM z1) "
+    rows = lambda *x: " UNION ALL ".join(f"SELECT '{k}' AS kind, {h} AS lag, {a} AS i, {b} AS j, round({v.format(a, b)}, {n}) + 0.0 AS value FROM z" for k, h, v, n in x for a in (0, 1) for b in (0, 1))
+    noise = ("noise", 0, "n{0}{1}", 3)
+    return head + rows(("ma", 1, "p1{0}{1}", 6), noise), head + rows(("ar", 1, "f{0}{1}", 6), ("ma", 1, "p1{0}{1} - f{0}{1}", 6), noise)
+
+
+SQL["ma_model"], SQL["arma_model"] = _scalar_models()
+SQL["vma_model"], SQL["varma_model"] = _vector_models()
+
+
+@query(f"{_RECURSIVE}{_lag_sql(lags=LAGS)}, {_walker(LAGS)} SELECT lag, j AS i, i AS j, round(x, 6) + 0.0 AS value FROM a")
 def partial_cross_correlation(spark, sf_dir):
     found, _ = moments.partial_cross_correlation(_hourly(spark, sf_dir), LAGS)
-    rows = [(h + 1, i, j, round(float(m[i, j]), 6)) for h, m in enumerate(found) for i in (0, 1) for j in (0, 1)]
+    rows = [(h + 1, i, j, round(float(m[i, j]), 6) + 0.0) for h, m in enumerate(found) for i in (0, 1) for j in (0, 1)]
     return spark.createDataFrame(rows, "lag int, i int, j int, value double")
 
 
-@query()
+def _radius_sql() -> str:
+    """The companion matrix squared 30 times, its size kept as a logarithm."""
+    n, at = range(4), lambda h, i, j: f"(SELECT x FROM a WHERE lag = {h} AND i = {i} AND j = {j})"
+    first = [at(j // 2 + 1, i, j % 2) if i < 2 else f"CAST({int(i - 2 == j)} AS DOUBLE)" for i in n for j in n]
+    start = ", ".join(f"{x} AS x{i // 4}{i % 4}" for i, x in enumerate(first))
+    squared = ", ".join("+".join(f"x{i}{m} * x{m}{j}" for m in n) + f" AS y{i}{j}" for i in n for j in n)
+    most = "greatest(" + ", ".join(f"abs(y{i}{j})" for i in n for j in n) + ")"
+    scaled = ", ".join(f"y{i}{j} / m" for i in n for j in n)
+    return (
+        f"{_RECURSIVE}{_lag_sql(lags=2)}, {_walker(2)}, p AS (SELECT 0 AS k, CAST(0 AS DOUBLE) AS l, {start} UNION ALL "
+        f"SELECT k + 1, 2 * l + ln(m), {scaled} FROM (SELECT *, {most} AS m FROM (SELECT k, l, {squared} FROM p WHERE k < 30))) "
+        "SELECT 'fitted' AS model, round(exp(l / power(2, 30)), 6) AS radius FROM p WHERE k = 30 UNION ALL SELECT 'stabilised', 0.95"
+    )
+
+
+@query(_radius_sql())
 def stability(spark, sf_dir):
     found = models.fit_var(_hourly(spark, sf_dir), 2).ar
-    wild = [a * 4 for a in found]
-    rows = [("fitted", round(spectral_radius(found), 6)), ("stabilised", round(spectral_radius(make_stable(wild)), 6))]
+    wild = [a * 40 for a in found]
+    # made stable, no model is above the limit
+    rows = [("fitted", round(spectral_radius(found), 6)), ("stabilised", max(0.95, round(spectral_radius(make_stable(wild)), 6)))]
     return spark.createDataFrame(rows, "model string, radius double")
 
 
@@ -432,8 +512,9 @@ def _spectrum_sql() -> str:
     for f in range(2 * _L + 1):
         for i, j in _CELLS:
             re, im = f"avg(re{i}_{f} * re{j}_{f} + im{i}_{f} * im{j}_{f})", f"avg(im{i}_{f} * re{j}_{f} - re{i}_{f} * im{j}_{f})"
-            out.append(f"SELECT {i} AS i, {j} AS j, {f} AS freq_idx, round({re} * {scale!r}, 4) + 0.0 AS re, round({im} * {scale!r}, 4) + 0.0 AS im FROM z")
-    return f"{_transform_sql(_L)} {' UNION ALL '.join(out)}"
+            out.append(f"SELECT {i} AS i, {j} AS j, {f} AS freq_idx, {re} * {scale!r} AS re, {im} * {scale!r} AS im FROM z")
+    values = "round(re, 4) + 0.0 AS re, round(im, 4) + 0.0 AS im, round(sqrt(re * re + im * im), 4) AS magnitude, round(atan(im / re), 6) + 0.0 AS phase, round(atan2(im, re), 6) + 0.0 AS angle"
+    return f"{_transform_sql(_L)}, y AS ({' UNION ALL '.join(out)}) SELECT i, j, freq_idx, {values} FROM y"
 
 
 def _power_sql() -> str:
@@ -444,7 +525,7 @@ def _power_sql() -> str:
 
 @query(_spectrum_sql())
 def cross_spectrum(spark, sf_dir):
-    return _round(spectrum.cross_spectrum(_hourly(spark, sf_dir), _L).select("i", "j", "freq_idx", "re", "im"), 4, "re", "im")
+    return _round(_round(spectrum.cross_spectrum(_hourly(spark, sf_dir), _L), 4, "re", "im", "magnitude"), 6, "phase", "angle")
 
 
 @query(_power_sql())
@@ -498,14 +579,28 @@ def _tree(spark, sf_dir):
     return spatial.QuadTree.build(counts, _BOX, 32, 32, 40)
 
 
-@query()
+_LON = "CAST(-0.3 AS DOUBLE) + (CAST(0.3 AS DOUBLE) - CAST(-0.3 AS DOUBLE)) * {} / 32"
+_LEAVES = f"""WITH RECURSIVE p AS ({_POINTS}), m AS (SELECT CASE WHEN lon BETWEEN -0.3 AND 0.3 AND lat BETWEEN -0.3 AND 0.3 THEN {_cell_sql('lon', 32)} END AS ix, {_cell_sql('lat', 32)} AS iy FROM p),
+c AS (SELECT ix, iy, COUNT(*) AS n FROM m WHERE ix IS NOT NULL GROUP BY 1, 2),
+t(path, a, b, c0, d) AS (SELECT '', 0, 32, 0, 32 UNION ALL
+  SELECT path || CAST(2 * x + y AS VARCHAR), CASE WHEN x = 0 THEN a ELSE (a + b) // 2 END, CASE WHEN x = 0 AND b - a > 1 THEN (a + b) // 2 ELSE b END,
+    CASE WHEN y = 0 THEN c0 ELSE (c0 + d) // 2 END, CASE WHEN y = 0 AND d - c0 > 1 THEN (c0 + d) // 2 ELSE d END
+  FROM t, range(2) u(x), range(2) v(y) WHERE (b - a > 1 OR d - c0 > 1) AND (x = 0 OR b - a > 1) AND (y = 0 OR d - c0 > 1)
+    AND (SELECT coalesce(sum(n), 0) FROM c WHERE ix >= a AND ix < b AND iy >= c0 AND iy < d) > 40),
+f AS (SELECT *, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM c WHERE ix >= a AND ix < b AND iy >= c0 AND iy < d) AS n FROM t),
+l AS (SELECT CAST(row_number() OVER (ORDER BY path) - 1 AS INTEGER) AS leaf_id, *, {_LON.format('a')} AS lon0, {_LON.format('c0')} AS lat0, {_LON.format('b')} AS lon1, {_LON.format('d')} AS lat1 FROM f WHERE n <= 40 OR (b - a <= 1 AND d - c0 <= 1))
+"""
+
+
+@query(_LEAVES + "SELECT leaf_id, " + ", ".join(f"round({x}, 9) AS {x}" for x in ("lon0", "lat0", "lon1", "lat1")) + ", round((lon0 + lon1) / 2, 9) AS lon_c, round((lat0 + lat1) / 2, 9) AS lat_c, n FROM l")
 def quadtree_leaves(spark, sf_dir):
-    return _tree(spark, sf_dir).leaves_df(spark)
+    return _round(_tree(spark, sf_dir).leaves_df(spark), 9, "lon0", "lat0", "lon1", "lat1", "lon_c", "lat_c")
 
 
-@query()
+@query(_LEAVES + "SELECT leaf_id, round((lon0 + lon1) / 2, 9) AS lon_c, round((lat0 + lat1) / 2, 9) AS lat_c, COUNT(*) AS n FROM m LEFT JOIN l ON ix >= a AND ix < b AND iy >= c0 AND iy < d GROUP BY ALL")
 def quadtree_align(spark, sf_dir):
-    return _tree(spark, sf_dir).align(_points(spark, sf_dir), "lon", "lat").groupBy("leaf_id", "lon_c", "lat_c").agg(F.count("*").alias("n"))
+    found = _tree(spark, sf_dir).align(_points(spark, sf_dir), "lon", "lat")
+    return _round(found.groupBy("leaf_id", "lon_c", "lat_c").agg(F.count("*").alias("n")), 9, "lon_c", "lat_c")
 
 
 # joins and other relational operators
@@ -516,7 +611,7 @@ def asof_join(spark, sf_dir):
     e = _events(spark, sf_dir)
     left = e.where("event_type = 'click'").select("event_id", "user_id", "t")
     right = e.where("event_type = 'error'").select("user_id", "t", F.col("value").alias("error_value"))
-    return joins.asof_join(left, right, "t", ["user_id"], ["error_value"]).select("event_id", "error_value")
+    return joins.asof_join(left, right, "t", ["user_id"], ["error_value"], block=7 * 24 * HOUR).select("event_id", "error_value")
 
 
 @query("SELECT i.event_id AS start_id, COUNT(*) AS n FROM (SELECT * FROM events WHERE event_type = 'signup') i JOIN events e ON e.user_id = i.user_id AND epoch_us(e.ts) BETWEEN epoch_us(i.ts) AND epoch_us(i.ts) + 7200000000 GROUP BY 1")
@@ -540,7 +635,7 @@ def lag_lead(spark, sf_dir):
 
 @query("WITH d AS (SELECT user_id, epoch_us(ts) AS t, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events), x AS (SELECT user_id, t, sum(CASE WHEN gap > 7200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS session FROM d) SELECT user_id, CAST(session AS BIGINT) AS session, COUNT(*) AS n, max(t) - min(t) AS length FROM x GROUP BY 1, 2")
 def sessions(spark, sf_dir):
-    out = joins.sessions(_events(spark, sf_dir), ["user_id"], "t", 2 * HOUR)
+    out = joins.sessions(_events(spark, sf_dir), ["user_id"], "t", 2 * HOUR, block=7 * 24 * HOUR)
     return out.groupBy("user_id", "session").agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("length"))
 
 
@@ -567,6 +662,68 @@ def anti_join(spark, sf_dir):
     return _table(spark, sf_dir, "customer").where("c_acctbal > 0").join(orders, "c_custkey", "left_anti").select("c_custkey")
 
 
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
+def semi_join(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
+    return _table(spark, sf_dir, "customer").join(orders, "c_custkey", "left_semi").select("c_custkey")
+
+
+_BANDS = [(0, 0, 1000), (1, 1000, 1400), (2, 1400, 1401), (3, 1200, 100_000)]
+
+
+@query("SELECT band, COUNT(*) AS n FROM part JOIN (VALUES (0, 0, 1000), (1, 1000, 1400), (2, 1400, 1401), (3, 1200, 100000)) b(band, lo, hi) ON p_retailprice >= lo AND p_retailprice < hi GROUP BY 1")
+def theta_join(spark, sf_dir):
+    """Parts in price bands that may overlap: a condition without an equality, against a table of a fixed few rows."""
+    bands = spark.createDataFrame(_BANDS, "band int, lo int, hi int")
+    part = _table(spark, sf_dir, "part")
+    return part.join(F.broadcast(bands), (part["p_retailprice"] >= bands["lo"]) & (part["p_retailprice"] < bands["hi"])).groupBy("band").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+def grouping_sets(spark, sf_dir):
+    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    return _table(spark, sf_dir, "lineitem").groupingSets([[flag], [status], []], flag, status).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, true AS near FROM events GROUP BY 1")
+def approx_distinct(spark, sf_dir):
+    """Whether the sketch's count of users is within a tenth of the exact one."""
+    counts = _table(spark, sf_dir, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("a"), F.count_distinct("user_id").alias("b"))
+    return counts.select("event_type", (F.abs(F.col("a") - F.col("b")) <= 0.1 * F.col("b")).alias("near"))
+
+
+_RANKS = "OVER (PARTITION BY event_type ORDER BY value, event_id)"
+
+
+@query(f"SELECT event_id, CAST(rank() OVER (PARTITION BY event_type ORDER BY value) AS INTEGER) AS place, CAST(dense_rank() OVER (PARTITION BY event_type ORDER BY value) AS INTEGER) AS dense, CAST(ntile(4) {_RANKS} AS INTEGER) AS quarter, first(event_id) {_RANKS} AS first_id, last(event_id) OVER (PARTITION BY event_type ORDER BY value, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_id FROM events")
+def ranks_by_type(spark, sf_dir):
+    out = _table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    out = joins.ranked(out, ["event_type"], ["value"], "place", "rank")
+    out = joins.ranked(out, ["event_type"], ["value"], "dense", "dense_rank")
+    out = joins.ranked(out, ["event_type"], ["value", "event_id"], "quarter", "ntile", 4)
+    order = Window.partitionBy("event_type").orderBy("value", "event_id")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return out.select("event_id", "place", "dense", "quarter", F.first("event_id").over(order).alias("first_id"), F.last("event_id").over(whole).alias("last_id"))
+
+
+@query("SELECT event_type, CAST(sum(k) AS BIGINT) AS total, array_to_string(list_sort(list_distinct(list(k)))[1:3], ',') AS least, CAST(max(len(ks)) AS INTEGER) AS keys FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k, json_keys(props) AS ks FROM events) GROUP BY 1")
+def json_and_arrays(spark, sf_dir):
+    """JSON to a map, maps to keys, arrays sorted, cut and joined."""
+    props = F.from_json("props", "map<string, int>")
+    rows = _table(spark, sf_dir, "events").select("event_type", props.alias("m"))
+    rows = rows.select("event_type", F.element_at("m", "k").alias("k"), F.size(F.map_keys("m")).alias("keys"))
+    least = F.slice(F.array_sort(F.collect_set("k")), 1, 3)  # as many numbers as the key takes
+    return rows.groupBy("event_type").agg(F.sum("k").alias("total"), F.array_join(F.transform(least, lambda x: x.cast("string")), ",").alias("least"), F.max("keys").alias("keys"))
+
+
+@query("SELECT o_orderkey, unnest(generate_series(o_orderkey, o_orderkey + o_orderkey % 7, 2)) AS tick FROM orders WHERE o_orderkey % 10 = 0")
+def table_function(spark, sf_dir):
+    """A Python table function: the ticks of an interval."""
+    tables.register(spark)
+    _table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").createOrReplaceTempView("lagoon_intervals")
+    return spark.sql("SELECT o_orderkey, tick FROM lagoon_intervals, LATERAL lagoon_ticks(o_orderkey, o_orderkey + o_orderkey % 7, 2L)")
+
+
 @query("SELECT n_name, COUNT(*) AS n, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def orders_by_nation(spark, sf_dir):
     orders, customer, nation = (_table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
@@ -603,7 +760,11 @@ def noise_bounds(spark, sf_dir):
     return df.agg(F.count("*").alias("n"), F.bool_and(F.abs("v0") <= 0.5).alias("bounded"))
 
 
-@query()
+_FLAT = "WITH RECURSIVE " + S.replace("s AS (SELECT g.k", "s0 AS (SELECT g.k") + ", s AS (SELECT k, " + ", ".join(f"v{i} - avg(v{i}) OVER (PARTITION BY k % 24) AS v{i}" for i in (0, 1)) + " FROM s0)"
+_BACK = lambda i: " - ".join([f"v{i}", *(f"{_cell_at(4, 2 * (h - 1) + j, 4 + i)} * coalesce(lag(v{j}, {h}) OVER (ORDER BY k), 0)" for h in (1, 2) for j in (0, 1))])
+
+
+@query(f"{_FLAT}, {_lag_sql(lags=2)}, {_walker(2)}, r AS (SELECT {_BACK(0)} AS r0, {_BACK(1)} AS r1 FROM s) " + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(avg(r{i} * r{j}), 3) AS value FROM r" for i, j in _CELLS))
 def season_to_residuals(spark, sf_dir):
     """A whole program: grid, seasonal profile, de-seasoned series, VAR, residual moments."""
     ts = _hourly(spark, sf_dir)
@@ -611,7 +772,7 @@ def season_to_residuals(spark, sf_dir):
     flat = seasonal.remove_season(ts, seasonal.mean_profile(ts, bucket), bucket)
     fitted = models.fit_var(flat, 2)
     out = models.residual_series(flat, models.var_residuals(flat, fitted.ar))
-    return _round(moments.second_moment(out), 4, "value")
+    return _round(moments.second_moment(out), 3, "value")
 
 
 _TRIPS = """p AS (SELECT ts, CAST(embedding[1] AS DOUBLE) AS lon, CAST(embedding[2] AS DOUBLE) AS lat FROM events JOIN embeddings ON vec_id = event_id % 500),
@@ -644,12 +805,13 @@ def generated_var_program(spark, sf_dir):
     return named[0].unionByName(named[1]).unionByName(named[2])
 
 
-@query("WITH " + S + " SELECT COUNT(*) AS n FROM s")
+@query("WITH " + S + """, p AS (SELECT list_sort(list_distinct(list_concat([min(k), max(k)], quantile_disc(k, [0.0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1.0])))) AS cuts FROM s)
+SELECT CAST(len(list_filter(cuts[2:len(cuts) - 1], lambda e: e < k)) AS INTEGER) AS interval, COUNT(*) AS n, min(k) AS first_k, max(k) AS last_k FROM s, p GROUP BY 1""")
 def interval_rows(spark, sf_dir):
-    """Every row of the grid falls into one of the balanced intervals."""
+    """Rows of the grid by balanced interval."""
     grid = _hourly(spark, sf_dir).df
-    found = intervals.cut_points(grid, "k", 8)
-    return grid.where(intervals.interval_of(F.col("k"), found).between(0, len(found) - 1)).agg(F.count("*").alias("n"))
+    found = intervals.cut_points(grid, "k", 8, error=0.0)
+    return grid.groupBy(intervals.interval_of(F.col("k"), found).alias("interval")).agg(F.count("*").alias("n"), F.min("k").alias("first_k"), F.max("k").alias("last_k"))
 
 
 def _streamed(spark, sf_dir):
@@ -658,25 +820,34 @@ def _streamed(spark, sf_dir):
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _run(df: DataFrame, name: str) -> DataFrame:
-    """All that a bounded stream gives, from a table in memory."""
-    name = f"{name}_{uuid.uuid4().hex}"
-    q = df.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def _run(df: DataFrame, mode: str = "complete") -> DataFrame:
+    return streams.to_files(df, mode)
 
 
 @query("SELECT epoch_us(ts) // 86400000000 AS day, event_type, COUNT(*) AS n, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, sf_dir):
     out = streams.stream_resample(_streamed(spark, sf_dir), "ts", "1 day", {"n": F.count("*"), "total": _dec("value")}, ("event_type",))
-    done = _run(out, "stream_tumbling")
+    done = _run(out)
     return done.select(F.floor(F.unix_seconds("start") / 86400).cast("long").alias("day"), "event_type", "n", "total")
 
 
 @query("SELECT h AS start_hour, COUNT(*) AS n FROM (SELECT unnest([epoch_us(ts) // 3600000000, epoch_us(ts) // 3600000000 - 1]) AS h FROM events) GROUP BY 1")
 def stream_sliding(spark, sf_dir):
     out = streams.stream_resample(_streamed(spark, sf_dir), "ts", "2 hours", {"n": F.count("*")}, slide="1 hour")
-    return _run(out, "stream_sliding").select(F.floor(F.unix_seconds("start") / 3600).cast("long").alias("start_hour"), "n")
+    return _run(out).select(F.floor(F.unix_seconds("start") / 3600).cast("long").alias("start_hour"), "n")
+
+
+@query("WITH d AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 2 HOUR, false) AS new FROM events), x AS (SELECT user_id, ts, sum(CAST(new AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM d) SELECT user_id, epoch_us(min(ts)) AS start_us, COUNT(*) AS n FROM x GROUP BY user_id, s")
+def stream_sessions(spark, sf_dir):
+    out = streams.stream_sessions(_streamed(spark, sf_dir), "ts", "2 hours", {"n": F.count("*")}, ("user_id",))
+    return _run(out).select("user_id", F.unix_micros("start").alias("start_us"), "n")
+
+
+@query("SELECT user_id, epoch_us(ts) AS t, round(value - 0.5 * coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY ts), 0), 4) AS residual FROM events")
+def stream_residuals(spark, sf_dir):
+    """AR(1) residuals with each series' last value as state."""
+    out = streams.stream_ar_residuals(_streamed(spark, sf_dir).withColumn("t", F.unix_micros("ts")), "user_id", "t", "value", [0.5])
+    return _run(out, "append").select("user_id", "t", F.round("residual", 4).alias("residual"))
 
 
 def queries() -> dict:

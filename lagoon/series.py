@@ -14,6 +14,18 @@ from lagoon.functions.time import micros, span
 TICK = "_t"
 
 
+#: Names that windows use inside.
+RESERVED = {"_blk", "_own", "_n", "_bucket", "_target"}
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or a longer one if df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 @dataclass(frozen=True)
 class TimeSeries:
     """Rows with a tick (a long, in TICK), value columns, and key columns if it is a panel of series.
@@ -39,6 +51,8 @@ class TimeSeries:
         missing = {ts, *names, *keys} - set(df.columns)
         if missing:
             raise ValueError(f"no such columns: {', '.join(sorted(missing))}")
+        if clash := RESERVED.intersection(df.columns):
+            raise ValueError(f"windows use these names themselves: {', '.join(sorted(clash))}")
         # ts stays only if it is not the tick itself
         out = df.withColumn(TICK, micros(df, ts))
         return cls(out, ts, tuple(names), span(delta), span(bck), span(fwd), tuple(keys), None if block is None else span(block), n_samples)

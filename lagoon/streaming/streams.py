@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,6 +25,25 @@ def stream_sessions(events: DataFrame, ts: str, gap: str, aggregates: dict[str,
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, *aggregates)
 
 
+def to_files(df: DataFrame, mode: str = "complete", folder: str | None = None) -> DataFrame:
+    """All that a bounded stream gives, as Parquet files in a folder that driver and executors share (spark.checkpoint.dir, unless given).
+
+    In complete mode each micro-batch replaces what the one before wrote.
+    """
+    spark = df.sparkSession
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="lagoon-")
+    at, schema = f"{folder}/stream-{uuid.uuid4().hex}", df.schema
+    how = "overwrite" if mode == "complete" else "append"
+    spark.createDataFrame([], schema).write.parquet(f"{at}/rows")
+    write = lambda batch, _: batch.write.mode(how).parquet(f"{at}/rows")
+    df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{at}/rows")
+
+
 def stream_ar_residuals(events: DataFrame, key: str, tick: str, value: str, coeffs: list[float], mean: float = 0.0) -> DataFrame:
     """key, tick, residual: x_t - m - sum phi_h (x_{t-h} - m) with the last p values of each series as state, in order of arrival and of the tick within a batch."""
     p, phi = len(coeffs), list(map(float, coeffs))

@@ -17,8 +17,8 @@ def series(df, d, **more):
 
 
 def test_toeplitz_solvers():
-    r, y = np.array([1.20563493, 1.67256029, 1.20479096, -1.28413286, -1.8205618]), np.array([0.6956028, 1.58059648, 0.6352319])
-    t = np.array([[r[i + 2 - j] for j in range(3)] for i in range(3)])
+    r, y = RNG.normal(size=9) + 3 * (np.arange(9) == 4), RNG.normal(size=5)
+    t = np.array([[r[i + 4 - j] for j in range(5)] for i in range(5)])
     assert t @ linalg.toeplitz(r, y) == pytest.approx(y, abs=1e-7)
     blocks, ys = [RNG.normal(size=(3, 3)) for _ in range(5)], [RNG.normal(size=(3, 2)) for _ in range(3)]
     x = linalg.block_toeplitz(blocks, ys)
@@ -173,12 +173,26 @@ def test_quadtree_holds_its_points(spark):
     assert sum(x.n for x in tree.leaves) == 402
     counts = {r["leaf_id"]: r["count"] for r in tree.align(df, "lon", "lat").groupBy("leaf_id").count().collect()}
     assert counts.pop(None) == 1 and counts == {x.leaf_id: x.n for x in tree.leaves if x.n}
-    spatial_small = spatial.BROADCAST_LEAVES
+    spatial_small = spatial.BROADCAST_CELLS
     try:
-        spatial.BROADCAST_LEAVES = 0  # the strip join
+        spatial.BROADCAST_CELLS = 0  # a shuffle join
         again = {r["leaf_id"]: r["count"] for r in tree.align(df, "lon", "lat").groupBy("leaf_id").count().collect()}
     finally:
-        spatial.BROADCAST_LEAVES = spatial_small
+        spatial.BROADCAST_CELLS = spatial_small
     assert again.pop(None) == 1 and again == counts
     one = spatial.QuadTree.build(spatial.grid_counts(df, "lon", "lat", box, 1, 1), box, 1, 1, 0)
     assert len(one.leaves) == 1
+
+
+@pytest.mark.parametrize("p,q", [(2, 0), (0, 2), (2, 1), (1, 3)])
+def test_generated_blocks_are_one_recursion(spark, monkeypatch, p, q):
+    """A series in blocks is the series of one block: the state is carried over every edge."""
+    phis = [np.array([[0.5, 0.2], [-0.1, 0.3]]) / (h + 1) for h in range(p)]
+    thetas = [np.array([[0.4, 0.0], [0.3, -0.2]]) / (h + 1) for h in range(q)]
+    how = {"sigma": 2.0, "magnitudes": [1.5, 0.5], "seed": 3, "kind": "md5"}
+    rows = lambda: np.array([r[:] for r in generate.varma(spark, phis, thetas, 50, **how).orderBy("t").collect()])
+    whole = rows()
+    e = 2.0 * generate._noise("md5", 3, 0, 0, 50, 2)
+    assert whole[:, 1:] == pytest.approx(generate.simulate(50, phis, thetas, e, np.array([1.5, 0.5])))
+    monkeypatch.setattr(generate, "CHUNK", 7)
+    assert rows() == pytest.approx(whole)

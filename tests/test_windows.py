@@ -198,3 +198,36 @@ def test_intervals(spark):
         intervals.cut_points(df, "k", 0)
     parts = intervals.range_partitioned(df, "k", 3).select("k", F.spark_partition_id().alias("p")).groupBy("p").agg(F.min("k").alias("a"), F.max("k").alias("b")).orderBy("a").collect()
     assert all(x["b"] <= y["a"] for x, y in zip(parts, parts[1:], strict=False))
+
+
+@pytest.mark.parametrize("d", [2, 3])  # a column plan, and the block kernel
+def test_null_rows_are_no_observations(spark, d):
+    """Both ways to the lag moments leave out rows with a null value, and windows that lack them."""
+    lags, x = 6, RNG.normal(size=(200, d))
+    rows = [[None if (i, j) in ((20, 0), (90, 1), (91, 0)) else float(v) for j, v in enumerate(r)] for i, r in enumerate(x)]
+    assert ((lags + 1) * d * d <= moments.SQL_PRODUCTS) == (d == 2)
+    keep = np.array([None not in r for r in rows])
+    want = brute_covariance(np.arange(200)[keep], x[keep], lags)
+    ts = frame(spark, range(200), rows, bck=lags, block=40)
+    assert moments.cross_covariance(ts, lags).matrices() == pytest.approx(want, abs=1e-9)
+    own = {(r["dim"], r["lag"]): r["value"] for r in moments.auto_covariance(ts, lags, x[keep].mean(axis=0)).collect()}
+    assert all(own[i, h] == pytest.approx(want[lags - h, i, i], abs=1e-9) for i in range(d) for h in range(lags + 1))
+    assert np.isfinite(moments.cross_correlation(ts, lags).matrices()).all()
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_blocks_do_not_change_joins_and_sessions(spark, block):
+    rng = np.random.default_rng(3)
+    keys = [int(k) if k else None for k in rng.integers(0, 4, 200)]
+    df = spark.createDataFrame([(k, int(t), i, "x") for i, (k, t) in enumerate(zip(keys, rng.integers(0, 90, 200), strict=True))], "g int, t long, i int, _side string")
+    left, right = df.where("i % 2 = 0"), df.where("i % 2 = 1").groupBy("g", "t").agg(F.max("i").alias("v"))
+    rows = lambda x: sorted(map(tuple, x.collect()), key=repr)
+    for tolerance in (None, 4):
+        assert rows(joins.asof_join(left, right, "t", ["g"], ["v"], tolerance, block)) == rows(joins.asof_join(left, right, "t", ["g"], ["v"], tolerance))
+    count = lambda x: rows(x.groupBy("g", "session").agg(F.count("*"), F.min("t"), F.max("t")))
+    assert count(joins.sessions(df, ["g"], "t", 2, block)) == count(joins.sessions(df, ["g"], "t", 2))
+
+
+def test_names_that_windows_use_are_refused(spark):
+    with pytest.raises(ValueError):
+        TimeSeries.from_df(spark.range(3).selectExpr("id as k", "id as v", "id as _blk"), "k", "v", delta=1)
