@@ -41,13 +41,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagoon.llm.common import cut_lineage, frugal, slices
+from lagoon.llm.common import cut_lineage, frugal, give_back, slices
 
 SEQUENCE = 4096
 WINDOW_SEQUENCES = 16
 TAILS = 64
 END = 2
-KEPT_CHUNKS = 200_000
+#: Blank-separated chunks, and words of them, that a worker keeps the ids of.
+KEPT_CHUNKS, KEPT_WORDS = 150_000, 150_000
 #: Whole chunks of printable Latin letters, digits and signs: normal forms and case are plain there.
 LATIN = re.compile("[!-~\u00a1-\u024f]+").fullmatch
 #: Rows of (partition, queue) starts that may be broadcast; beyond, they are joined by a shuffle.
@@ -77,6 +78,7 @@ class Tokens(dict):
         self.hints = {m[:2] if not any(map(str.isalpha, m[:2])) else "" for m in self.marks}
         self.pattern = self.ids = None
         self._bare_engine(table)
+        give_back()  # what reading the table took
 
     def marked(self, text: str) -> bool:
         """Whether a text may hold the name of a special token, in any case."""
@@ -110,7 +112,7 @@ class Tokens(dict):
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) >= KEPT_CHUNKS:
+            if len(self.words) >= KEPT_WORDS:
                 self.words.clear()
             ids = self.ids
             self.words[word] = found = array(self.code, [ids[i] for i in self.merge(word.encode() + b"\xff")]).tobytes()

@@ -5,8 +5,10 @@ found twice or more. It fails the method's rule if the characters inside repeate
 occurrence not counted) or inside repeated lines exceed a share of all characters in words, or if its
 symbols do. The limits are lenient: a page that quotes one of its own lines stays.
 
-Defined cases: null text has no words and fails; equal rows get equal answers; long texts need memory in
-proportion to their own length; an empty table gives an empty result.
+Defined cases: null text has no words and fails; repeated rows get equal answers; of equal n-grams or lines the
+first is no repetition; a share that equals its limit passes; long texts need memory in proportion to their own
+length; only the id and the text are read (keep_good gives back whole rows), so no other column can clash; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lagoon.llm.common import as_bytes, id_and_text, mixed, rows_out, slices, window_hashes
+from lagoon.llm.common import as_bytes, frugal, id_and_text, mixed, rows_out, slices, window_hashes
 
 MIN_WORDS = 50
 #: n-gram length in words: largest share of characters inside repeated ones.
@@ -97,6 +99,7 @@ def measure(text: bytes) -> dict:
     }
 
 
+@frugal
 def _measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = {"coverage": pa.float64(), "line_coverage": pa.float64(), "base_failed": pa.bool_(), "kept": pa.bool_()}
     for part in slices(batches):
@@ -113,6 +116,7 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that pass both rules."""
     at = docs.columns.index(text_col)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             yield part.filter(pa.array([measure(x)["kept"] for x in as_bytes(part.column(at))], pa.bool_()))

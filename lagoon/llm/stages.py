@@ -1,4 +1,13 @@
-"""Pipeline stages over a documents table: the operators' decisions applied to its rows."""
+"""Pipeline stages over a documents table: the operators' decisions applied to its rows.
+
+All but the last give back rows of the table they get, with the same columns, whatever other columns there are.
+
+Defined cases. Null texts are empty: they are not toxic, fail the quality rules, and are near copies of each other.
+Rows with a null doc_id are scored and judged like any other, but they are copies of nothing and keep all words. Of
+rows that share a doc_id one stays after the near-copy stage, the one whose text has the smallest hash; before it,
+repeated rows are judged alike. Ties go to the smaller doc_id. Very long texts are worked on whole, as the operators
+say. An empty table gives an empty table at every stage.
+"""
 
 from __future__ import annotations
 

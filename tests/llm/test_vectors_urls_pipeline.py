@@ -150,6 +150,45 @@ def test_repeats_stage_edits_texts(spark):
     assert stages.drop_repeats(spark, frame(spark), "").columns == frame(spark).columns
 
 
+def stage_rows(spark, docs):
+    labels = spark.createDataFrame([(d[0], int(i % 7 == 0)) for i, d in enumerate(documents()) if d[0] is not None], "doc_id long, toxic int")
+    return labels, frame(spark, docs)
+
+
+def test_stages_on_awkward_tables(spark, tmp_path):
+    """Nulls, repeated ids, clashing columns and an empty table go through every stage."""
+    labels, df = stage_rows(spark, documents() + [(12, "another text under a known id " * 12, None, None, None)])
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (df, df.limit(0)):
+        n = docs.count()
+        for stage in (stages.drop_toxic, stages.drop_poor, stages.drop_near_copies, stages.drop_repeats):
+            docs = stage(spark, docs, str(tmp_path))
+            rows = docs.collect()
+            assert docs.columns == df.columns and len(rows) <= n and (bool(rows) == bool(n) or stage is not stages.drop_toxic)
+            if stage is stages.drop_poor:
+                assert all(len((r["text"] or "").split()) >= 50 for r in rows)
+            if stage is stages.drop_near_copies:
+                ids = [r["doc_id"] for r in rows if r["doc_id"] is not None]
+                assert len(ids) == len(set(ids))
+            docs = spark.createDataFrame(rows, df.schema)
+        pieces = stages.pack(spark, docs, str(tmp_path)).collect()
+        assert len({r["doc_id"] for r in pieces}) == len({r["doc_id"] for r in rows})
+
+
+def test_stage_decisions_are_the_operators(spark, tmp_path):
+    from lagoon.llm import quality, rlz, toxicity
+
+    labels, df = stage_rows(spark, documents())
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    scores = toxicity.scores(df, toxicity.fit(df, labels)).collect()
+    assert sorted(str(r["doc_id"]) for r in scores if r["score"] < 0.5) == sorted(str(r["doc_id"]) for r in stages.drop_toxic(spark, df, str(tmp_path)).collect())
+    kept = quality.measures(df).where("kept").collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(str(r["doc_id"]) for r in stages.drop_poor(spark, df, "").collect())
+    spans = {(r["doc_id"], r["text"]): r for r in rlz.duplicate_spans(df).collect()}
+    left = stages.drop_repeats(spark, df, "").collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left) == sorted((str(k[0]), r["kept"] if r["starts"] else k[1]) for k, r in spans.items() for _ in range(sum(d[0] == k[0] and (d[1] or "") == k[1] for d in documents())) if not r["starts"] or r["kept"])
+
+
 def test_pipeline_end_to_end(spark, tmp_path):
     import corpus_pipeline
 
