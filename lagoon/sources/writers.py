@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+from xml.sax.saxutils import escape
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,23 +19,28 @@ def write_wide(df: DataFrame, path: str, tick: str) -> None:
     df.orderBy(tick).write.mode("overwrite").option("header", True).csv(path)
 
 
-def picture(df: DataFrame, x: str, y: str, panel: list[str], title: str = "", save_to: str | None = None):
-    """Panels of y over x of a small long-form result (lags, spectra, models, profiles). Needs matplotlib, else raises ImportError."""
-    import matplotlib
-
-    matplotlib.use("Agg")
-    import matplotlib.pyplot as plt
-
-    rows = df.select(*panel, x, y).orderBy(*panel, x).toPandas()
-    groups = list(rows.groupby(panel))
-    fig, axes = plt.subplots(len(groups), 1, squeeze=False, figsize=(6, 2 * len(groups)))
-    for ax, (name, part) in zip(axes[:, 0], groups, strict=True):
-        ax.plot(part[x], part[y])
-        ax.set_ylabel(" ".join(map(str, name)))
-    fig.suptitle(title)
+#: Size of a panel, and of the margin around its line, in picture units.
+WIDTH, HEIGHT, MARGIN = 480, 120, 24
+
+
+def picture(df: DataFrame, x: str, y: str, panel: list[str], title: str = "", save_to: str | None = None) -> str:
+    """Panels of y over x of a small long-form result (lags, spectra, models, profiles), as SVG; rows without y are left out."""
+    lines: dict[tuple, list[tuple[float, float]]] = {}
+    for r in df.select(*panel, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("_x is not null and _y is not null").orderBy(*panel, "_x").collect():
+        lines.setdefault(tuple(r[: len(panel)]), []).append((r["_x"], r["_y"]))
+    out = [f'<text x="{MARGIN}" y="16">{escape(title)}</text>']
+    for i, (name, points) in enumerate(lines.items()):
+        (x0, x1), (y0, y1) = ((min(c), max(c)) for c in zip(*points, strict=True))
+        top = MARGIN + i * (HEIGHT + MARGIN)
+        at = [(MARGIN + (a - x0) / ((x1 - x0) or 1) * WIDTH, top + HEIGHT - (b - y0) / ((y1 - y0) or 1) * HEIGHT) for a, b in points]
+        out.append(f'<rect x="{MARGIN}" y="{top}" width="{WIDTH}" height="{HEIGHT}" fill="none" stroke="#ccc"/>')
+        out.append('<polyline fill="none" stroke="#15c" points="' + " ".join(f"{a:.1f},{b:.1f}" for a, b in at) + '"/>')
+        out.append(f'<text x="{MARGIN + 4}" y="{top + 14}">{escape(" ".join(map(str, name)))}: {x0:g} to {x1:g}, {y0:.4g} to {y1:.4g}</text>')
+    size = f'width="{WIDTH + 2 * MARGIN}" height="{MARGIN + len(lines) * (HEIGHT + MARGIN)}"'
+    svg = f'<svg xmlns="http://www.w3.org/2000/svg" {size} font-family="sans-serif" font-size="11">' + "".join(out) + "</svg>"
     if save_to:
-        fig.savefig(save_to)
-    return fig
+        Path(save_to).write_text(svg, encoding="utf-8")
+    return svg
 
 
 def correlation_picture(cc: DataFrame, title: str = "Cross-correlation", save_to: str | None = None):

@@ -45,11 +45,25 @@ def test_sinks(spark, tmp_path):
     writers.write_by_bin(df, str(tmp_path / "bins"), "bin")
     writers.write_wide(df, str(tmp_path / "wide"), "k")
     assert (tmp_path / "bins/bin=a").exists() and spark.read.option("header", True).csv(str(tmp_path / "wide")).count() == 2
-    try:
-        import matplotlib  # noqa: F401
-    except ImportError:
-        with pytest.raises(ImportError):
-            writers.picture(df, "k", "k", ["bin"])
+
+
+def test_pictures(spark, tmp_path):
+    from xml.dom import minidom
+
+    cc = spark.createDataFrame([(lag, i, j, lag * 1.5 + i) for lag in range(-2, 3) for i in (0, 1) for j in (0, 1)], "lag int, i int, j int, value double")
+    lines = lambda svg: [x.getAttribute("points").split() for x in minidom.parseString(svg).getElementsByTagName("polyline")]
+    found = lines(writers.correlation_picture(cc, "a < b", str(tmp_path / "cc.svg")))
+    assert [len(x) for x in found] == [5] * 4 and found[0][0] == "24.0,144.0" and found[0][-1] == "504.0,24.0"
+    assert (tmp_path / "cc.svg").read_text().startswith("<svg")
+    spectrum = cc.withColumnsRenamed({"lag": "freq_idx", "value": "magnitude"})
+    assert len(lines(writers.spectrum_picture(spectrum))) == 4
+    vector = spark.createDataFrame([("ar", 1, 0, 0, 0.5), ("ar", 2, 0, 0, None), ("ma", 1, 0, 0, 0.1), ("noise", 0, 0, 0, 1.0)], "kind string, lag int, i int, j int, value double")
+    assert [len(x) for x in lines(writers.model_picture(vector))] == [1, 1]
+    scalar = spark.createDataFrame([(0, "ar", 1, 0.5), (1, "ar", 1, 0.2)], "dim int, kind string, lag int, value double")
+    assert len(lines(writers.model_picture(scalar))) == 2
+    profile = spark.createDataFrame([(0, 1.0, 2.0), (1, 3.0, 2.0)], "bucket long, a double, b double")
+    assert len(lines(writers.profile_picture(profile, ["a", "b"]))) == 2
+    assert lines(writers.picture(cc.limit(0), "lag", "value", ["i"])) == []
 
 
 def test_generators(spark):
