@@ -5,15 +5,15 @@ confirmed on the texts. That joins most classes at little cost, but 64 bits can'
 from one below (such pairs differ in some 10 bits, and so do many others), so the classes are completed by
 prefix filtering, which loses no pair: with all shingles in one order, two sets of similarity NUM / DEN or
 more share one of their first n - ceil(n * NUM / DEN) + 1 shingles. Those are the block keys; pairs whose
-sizes or places rule out the similarity are skipped, and each other pair is confirmed on its texts before
-it links. The order puts shingles that are common in a bounded sample last. It decides only how many pairs
+sizes or places rule out the similarity are skipped, and so are pairs whose bitmaps do: each text has a
+parity bitmap of its shingles, and the exclusive-or of two bitmaps has at most as many ones as the sets have
+shingles that only one of them holds. All other pairs are confirmed on their texts before they link, so
+texts travel only for pairs that are likely similar. The order puts shingles that are common in a bounded sample last. It decides only how many pairs
 are looked at, never the result.
 
 Blocks of up to SMALL texts give all their pairs. Larger ones first give each text's next NEXT neighbours
-by size. Once those links are known, only the pairs between different classes are left. For them each text
-gets a parity bitmap of its shingles: the exclusive-or of two bitmaps has at most as many ones as the sets
-have shingles that only one of them holds, so a pair with too many can't be similar. Bitmaps are compared
-tile by tile; blocks above CELL_ROWS are dealt out as pairs of parts, so no task holds more than two parts.
+by size. Once those links are known, only the pairs between different classes are left. Their bitmaps are
+compared tile by tile; blocks above CELL_ROWS are dealt out as pairs of parts, so no task holds more than two parts.
 
 Defined cases: words are A-Z lower-cased; null text is the empty text; texts without words are copies of
 each other; a text of fewer than 5 words is one shingle; rows with a null doc_id take no part; rows of
@@ -42,6 +42,7 @@ SMALL, NEXT = 16, 4
 SAMPLE_ROWS, COMMON = 8_000, 100_000
 #: Rows of a block that meet in one task at most (twice as many, of two parts), bits of a bitmap, and rows of a tile.
 CELL_ROWS, BITS, TILE_ROWS = 16_384, 2048, 256
+BITMAPS = "rep long, bits binary, size long"
 
 
 def shingles(text: bytes, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -166,17 +167,49 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @frugal
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The parity of the shingles that fall on each of BITS bits."""
+    """The parity of the shingles that fall on each of BITS bits, and the number of shingles."""
     for part in slices(batches):
-        ones = [np.bincount((shingles(x) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1 for x in as_bytes(part.column(1))]
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.packbits(x.astype(bool)).tobytes() for x in ones], pa.binary())], names=["rep", "bits"])
+        sets = [shingles(x) for x in as_bytes(part.column(1))]
+        ones = [np.bincount((x % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1 for x in sets]
+        packed = pa.array([np.packbits(x.astype(bool)).tobytes() for x in ones], pa.binary())
+        yield pa.RecordBatch.from_arrays([part.column(0), packed, pa.array(list(map(len, sets)), pa.int64())], names=["rep", "bits", "size"])
+
+
+def bit_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
+def _room(a: np.ndarray, b: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Whether the bitmaps of two sets leave room for the similarity; both is the sum of their sizes."""
+    apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return (NUM + DEN) * apart <= (DEN - NUM) * both
+
+
+@frugal
+def _roomy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose bitmaps leave room."""
+    for part in slices(batches, 4096):
+        a, b, size_a, size_b = (part.column(x).to_numpy() for x in ("a", "b", "size_a", "size_b"))
+        good = _room(bit_rows(part.column("bits_a")), bit_rows(part.column("bits_b")), size_a + size_b)
+        yield rows_out(a=(a[good], pa.int64()), b=(b[good], pa.int64()))
+
+
+def roomy(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their bitmaps don't rule out; where rows share a doc_id, those of any of its texts."""
+    pairs = cut_lineage(pairs)
+    reps = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    bits = cut_lineage(docs.mapInArrow(_bitmaps, BITMAPS).join(reps, "rep", "left_semi"))  # bitmaps are dealt, not texts
+    left, right = (bits.select(F.col("rep").alias(x), F.col("bits").alias(f"bits_{x}"), F.col("size").alias(f"size_{x}")) for x in "ab")
+    found = cut_lineage(pairs.join(left, "a").join(right, "b").mapInArrow(_roomy, "a long, b long"))
+    forget(pairs, bits)
+    return found.distinct()
 
 
 def _cell(rows: pa.Table) -> pa.Table:
     """Pairs of one block, or of two parts of it, that sizes, places and bitmaps allow and whose classes differ."""
     rows = rows.sort_by("n")
     rep, n, pos, root, part = (rows[x].to_numpy() for x in ("rep", "n", "pos", "root", "part"))
-    bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(len(rep), -1)
+    bits = bit_rows(rows["bits"])
     two, found = len(np.unique(part)) > 1, []
     for at in range(0, len(rep), TILE_ROWS):
         till = min(len(rep), at + TILE_ROWS)
@@ -192,8 +225,7 @@ def _cell(rows: pa.Table) -> pa.Table:
             i, j = i[keep], j[keep]
             for k in range(0, len(i), 1 << 16):
                 a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-                apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
-                good = (NUM + DEN) * apart <= (DEN - NUM) * (n[a].astype(np.int64) + n[b])
+                good = _room(bits[a], bits[b], n[a].astype(np.int64) + n[b])
                 found.append((rep[a[good]], rep[b[good]]))
     a, b = (np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in (0, 1))
     return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
@@ -206,10 +238,10 @@ def across(docs: DataFrame, large: DataFrame, roots: DataFrame) -> DataFrame:
     mixed = cut_lineage(mixed.select("key", F.ceil(F.col("rows") / CELL_ROWS).cast("int").alias("parts")))
     rows = cut_lineage(named.join(mixed, "key"))
     texts = docs.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    bits = cut_lineage(texts.mapInArrow(_bitmaps, "rep long, bits binary"))
+    bits = cut_lineage(texts.mapInArrow(_bitmaps, BITMAPS))
     part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.least(x, F.col("part")) * F.col("parts") + F.greatest(x, F.col("part")))
-    dealt = rows.join(bits, "rep").withColumn("part", part).withColumn("cell", F.explode(cells))
+    dealt = rows.join(bits.drop("size"), "rep").withColumn("part", part).withColumn("cell", F.explode(cells))
     found = cut_lineage(dealt.groupBy("key", "cell").applyInArrow(_cell, "a long, b long"))
     forget(named, mixed, rows, bits)
     return found.distinct()
@@ -242,7 +274,7 @@ def links(docs: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
     pairs = found.where("b is not null").select("a", "b").distinct()
     for x in "ab":
         pairs = pairs.join(known.select(F.col("rep").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
-    near = cut_lineage(confirmed(docs, pairs.where("not root_a <=> root_b or root_a is null").select("a", "b")))
+    near = cut_lineage(confirmed(docs, roomy(docs, pairs.where("not root_a <=> root_b or root_a is null").select("a", "b"))))
     large = found.where("b is null").select("key", F.col("a").alias("rep"), "n", "pos")
     if large.isEmpty():
         return near
