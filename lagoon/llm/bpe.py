@@ -8,7 +8,9 @@ chunks are joined at the first common one. Matches that the end of a chunk may h
 an overlap holds no common boundary (a very long run of one kind), the text is matched again from the
 last confirmed boundary, over twice as many chunks each time, until a boundary is common: however long the
 run, it is matched again some two times its length, not once for each chunk.
-Texts of one chunk need no stitching and no shuffle.
+Texts of one chunk need no stitching and no shuffle. Columns that are derived from ids and bytes (hashes, say) can be
+made in the process that encoded them, so that these, several times the size of the text, need not go through the JVM
+to a second Python worker.
 
 Defined cases: null text is empty; an empty text has no tokens, and the hash of the empty string; the
 rows of one doc_id are told apart, and repeated rows are encoded each; merges of equal rank go from the left,
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +37,10 @@ from lagoon.llm.common import frugal, id_and_text, rows_out, slices
 CHUNK = 1 << 15
 OVERLAP = 1 << 10
 KEPT_PIECES = 200_000
+#: Ids that are written out as text at once.
+HASHED = 1 << 16
 IDS = "doc_id long, ids binary, raw binary"
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 class Codec(dict):
@@ -114,15 +119,41 @@ def stitch(parts: list[tuple[int, str, np.ndarray, list[bytes]]], c: Codec, over
     return b"".join(out + ids[at:])
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, ids (little-endian 32-bit), raw (the decoded bytes) for each row of docs."""
+def as_encoded(doc_id: pa.Array, ids: list[bytes], raw: list[bytes]) -> pa.RecordBatch:
+    """Rows of IDS."""
+    return rows_out(doc_id=(doc_id, pa.int64()), ids=(ids, pa.binary()), raw=(raw, pa.binary()))
+
+
+def ids_sha256(ids: bytes) -> str:
+    """Hash of the decimal ids joined by one space; HASHED ids are written out at once."""
+    found, numbers = hashlib.sha256(), np.frombuffer(ids, "<u4")
+    for at in range(0, len(numbers), HASHED):
+        found.update(((" " if at else "") + " ".join(map(str, numbers[at : at + HASHED].tolist()))).encode())
+    return found.hexdigest()
+
+
+def as_digests(doc_id: pa.Array, ids: list[bytes], raw: list[bytes]) -> pa.RecordBatch:
+    """Rows of DIGESTS."""
+    return rows_out(
+        doc_id=(doc_id, pa.int64()),
+        n_tokens=([len(x) // 4 for x in ids], pa.int64()),
+        ids_sha256=(list(map(ids_sha256, ids)), pa.string()),
+        decoded_sha256=([hashlib.sha256(x).hexdigest() for x in raw], pa.string()),
+    )
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK, overlap: int = OVERLAP, derive: Callable = as_encoded, schema: str = IDS) -> DataFrame:
+    """doc_id, ids (little-endian 32-bit), raw (the decoded bytes) for each row of docs; or what derive makes of them, with the schema given.
+
+    derive gets the doc_ids, ids and raw of some rows and returns a batch; it runs where they were encoded.
+    """
 
     @frugal
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for part in slices(batches):
             ids = [c.encode(c.pieces(x)) for x in part.column(1).to_pylist()]
-            yield rows_out(doc_id=(part.column(0), pa.int64()), ids=(ids, pa.binary()), raw=(list(map(c.decode, ids)), pa.binary()))
+            yield derive(part.column(0), ids, list(map(c.decode, ids)))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
@@ -151,13 +182,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             at = np.cumsum([0, *np.frombuffer(sizes, "<i4")]).tolist()
             parts.append((start, text, np.frombuffer(ends, "<i8"), [ids[a:b] for a, b in zip(at, at[1:], strict=False)]))
         ids = stitch(parts, c, overlap)
-        return pa.table({"doc_id": rows.column("doc_id").slice(0, 1), "ids": pa.array([ids], pa.binary()), "raw": pa.array([c.decode(ids)], pa.binary())})
+        return pa.Table.from_batches([derive(pa.array(rows.column("doc_id").slice(0, 1).to_pylist(), pa.int64()), [ids], [c.decode(ids)])])
 
     texts, limit = id_and_text(docs, id_col, text_col), size + overlap
-    one = texts.where(F.length("text") <= limit).mapInArrow(short, IDS)
+    one = texts.where(F.length("text") <= limit).mapInArrow(short, schema)
     many = texts.where(F.length("text") > limit).withColumn("row", F.monotonically_increasing_id()).mapInArrow(split, "row long, doc_id long, k int, start long, last boolean, text string")
     pieces = many.repartition("row", "k").mapInArrow(encoded, "row long, doc_id long, k int, start long, text string, ends binary, sizes binary, ids binary")
-    return one.union(pieces.groupBy("row").applyInArrow(whole, IDS))
+    return one.union(pieces.groupBy("row").applyInArrow(whole, schema))
 
 
 def digests(encoded: DataFrame) -> DataFrame:
@@ -165,12 +196,6 @@ def digests(encoded: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            ids = [np.frombuffer(x, "<u4").tolist() for x in part.column(1).to_pylist()]
-            yield rows_out(
-                doc_id=(part.column(0), pa.int64()),
-                n_tokens=(list(map(len, ids)), pa.int64()),
-                ids_sha256=([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids], pa.string()),
-                decoded_sha256=([hashlib.sha256(x).hexdigest() for x in part.column(2).to_pylist()], pa.string()),
-            )
-
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            yield as_digests(part.column(0), part.column(1).to_pylist(), part.column(2).to_pylist())
+
+    return encoded.mapInArrow(run, DIGESTS)

@@ -27,7 +27,7 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
+    return bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, derive=bpe.as_digests, schema=bpe.DIGESTS)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from lagoon.llm import bpe, langid, licences, packing, quality, toxicity
+from lagoon.llm import bpe, langid, licences, packing, quality, queries, toxicity
 from tests.llm.cases import documents, frame, prose, rows_of
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -38,6 +38,23 @@ def test_chunked_encoding_equals_whole(spark, encoding, size, overlap):
     assert got == sorted(want, key=repr)
 
 
+def test_op3_makes_its_digests_where_it_encodes(spark, tmp_path):
+    docs = [*documents(), (901, "ab " * 30_000, None, None, 0)]
+    frame(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op3_byte_bpe(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "raw#" not in plan and "ids_sha256#" in plan  # ids and bytes don't go through the JVM to a second worker
+    by_rows = bpe.digests(bpe.encode(spark.read.parquet(f"{tmp_path}/documents.parquet"), PATH, public_tokenizers.PATTERN))
+    assert found.dtypes == by_rows.dtypes and rows_of(found) == rows_of(by_rows)
+
+
+def test_ids_are_hashed_in_blocks(monkeypatch):
+    monkeypatch.setattr(bpe, "HASHED", 4)
+    for n in range(14):
+        ids = np.arange(7, 7 + n * 5000, 5000)
+        assert bpe.ids_sha256(ids.astype("<u4").tobytes()) == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
 def test_stitching_a_long_run_matches_it_a_few_times(encoding):
     c = bpe.Codec(PATH, public_tokenizers.PATTERN)
     matched = [0]
